@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality
+from . import exact_dedup, langid, quality, sentencepieces, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_language_id": langid.op6_language_id,
+    "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
