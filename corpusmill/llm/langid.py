@@ -39,7 +39,7 @@ _MIX = np.uint32(2654435769)
 _letters: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
+def letters() -> np.ndarray:
     """For each code point, if it is a letter."""
     if not _letters:
         _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
@@ -67,7 +67,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     code = np.frombuffer((" " + " ".join(low) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, low), np.int64, len(low)) + 1
     start = np.cumsum(size) - size
-    letter = _is_letter()[code]
+    letter = letters()[code]
     code = np.where(letter, code, np.uint32(32))
     any_letter = np.add.reduceat(letter, start, dtype=np.int64)[: len(low)] > 0
     end = int(size.sum())

@@ -1,6 +1,6 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and five-letter parts of words that tell the labels apart in
+Terms are words and four-letter parts of words that tell the labels apart in
 a bounded sample of labelled rows. Examples with equal vectors are one entry
 with their counts. The entries lie in an inverted index in blocks; the
 largest weight of each term in each block bounds the cosine of everything in
@@ -21,7 +21,6 @@ Defined results
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,26 +32,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .langid import letters
 
 #: Labelled rows that are learned from, at most: those whose ids have the smallest hashes.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 256
+MAX_TERMS = 512
 MIN_Z = 5.0
-PART = 5
+#: Lengths of parts, the edges of the word among them.
+PARTS = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 #: Votes that count for the share of toxic rows over all examples.
 PRIOR_VOTES = 0.5
-_words = re.compile(r"[^\W\d_]+").findall
+
+
+def normal(text: str) -> str:
+    """The text in lower case between blanks, with a blank for whatever is no letter."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return f" {np.where(letters()[code], code, np.uint32(32)).tobytes().decode('utf-32-le', 'surrogatepass')} "
 
 
 def terms_of(text: str) -> set[str]:
-    """Distinct words (in blanks) and parts of words of a text."""
+    """Distinct words and parts of words of a text; a blank in a term is the edge of a word."""
     out: set[str] = set()
-    for w in set(_words(text.lower())):
-        out.add(f" {w[:64]} ")
-        out.update(w[k : k + PART] for k in range(len(w) - PART + 1))
+    for w in set(normal(text).split()):
+        w = f" {w[:64]} "
+        out.add(w)
+        for n in PARTS:
+            out.update([w[k : k + n] for k in range(len(w) - n + 1)])
     return out
 
 
@@ -64,14 +72,7 @@ class Matcher:
 
         self.find = ahocorasick.Automaton()
         for k, t in enumerate(terms):
-            if t[0] == " ":
-                self.find.add_word(t.strip(), (k, len(t) - 2, True, []))
-        for k, t in enumerate(terms):
-            if t[0] != " ":
-                if t in self.find:  # a word and a part alike
-                    self.find.get(t)[3].append(k)
-                else:
-                    self.find.add_word(t, (k, len(t), False, []))
+            self.find.add_word(t, k)
         self.terms = len(terms)
         if terms:
             self.find.make_automaton()
@@ -80,16 +81,7 @@ class Matcher:
         """(term, count) of the terms in a text, in order."""
         if not text or not self.terms:
             return ()
-        low, n = text.lower(), Counter()
-        for end, (k, size, whole, also) in self.find.iter(low):
-            for x in also:
-                n[x] += 1
-            if whole:
-                begin = end - size
-                if begin >= 0 and low[begin].isalpha() or end + 1 < len(low) and low[end + 1].isalpha():
-                    continue
-            n[k] += 1
-        return tuple(sorted(n.items()))
+        return tuple(sorted(Counter([k for _, k in self.find.iter(normal(text))]).items()))
 
 
 @dataclass
@@ -223,7 +215,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
                 if v not in known:
                     known[v] = own.score(v)
                 scores.append(min(1.0, max(0.0, known[v])))
-                evidence.append([own.terms[k].strip() for k, _ in v])
+                evidence.append([own.terms[k] for k, _ in v])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.string()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence"],
