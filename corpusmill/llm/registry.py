@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, quality, sentencepieces, toxicity
+from . import exact_dedup, langid, near_join, quality, sentencepieces, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_ngram_jaccard": near_join.op5_ngram_jaccard,
     "op6_language_id": langid.op6_language_id,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
