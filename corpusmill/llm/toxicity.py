@@ -38,6 +38,10 @@ from .langid import letters
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 512
 MIN_Z = 5.0
+#: Texts whose terms a worker holds at once while it counts.
+COUNT_ROWS = 128
+#: Scores of vectors that a worker remembers.
+KNOWN = 5_000
 #: Lengths of parts, the edges of the word among them.
 PARTS = (4, 5, 6)
 BLOCK = 64
@@ -140,7 +144,7 @@ def choose_terms(sample: DataFrame) -> tuple[list[str], int, int]:
     """The terms with the highest z-score of toxic rows among those with the term; rows; toxic rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, COUNT_ROWS) for b in batches for k in range(0, len(b), COUNT_ROWS)):
             total, toxic = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = terms_of(text)
@@ -208,11 +212,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
         find, known = Matcher(own.terms), {}
         for batch in batches:
             scores, evidence = [], []
-            if len(known) > 100_000:
-                known.clear()
             for text in batch.column(2).to_pylist():
                 v = find.count(text)
                 if v not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     known[v] = own.score(v)
                 scores.append(min(1.0, max(0.0, known[v])))
                 evidence.append([own.terms[k] for k, _ in v])
