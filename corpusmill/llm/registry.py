@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, near_join, quality, sentencepieces, toxicity
+from . import exact_dedup, langid, mixing, near_join, quality, sentencepieces, sharding, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_ngram_jaccard": near_join.op5_ngram_jaccard,
     "op6_language_id": langid.op6_language_id,
+    "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
+    "op2_mixing": mixing.SQL,
     "op4_quality_rules": quality.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
