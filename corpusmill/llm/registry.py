@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, near_join, quality, sentencepieces, sharding, toxicity
+from . import exact_dedup, langid, mixing, near_join, quality, sentencepieces, sharding, toxicity, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_ngram_jaccard": near_join.op5_ngram_jaccard,
     "op6_language_id": langid.op6_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": mixing.SQL,
+    "op3_warc": warc.SQL,
     "op4_quality_rules": quality.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
