@@ -7,10 +7,11 @@ n - ceil(t n) + m shingles, for any m; each document takes the m whose prefix
 has the least estimated cost, longer prefixes demanding more shared shingles.
 
 Where at most SMALL nodes share a prefix shingle, their pairs are counted and
-those with enough shared shingles are verified. Nodes around a shingle of
-more are one cluster; clusters are verified block against block inside
-workers, which return the edges of a spanning forest only, never all pairs.
-Nothing is capped: both ways together cover every pair that can be similar.
+those that may share enough shingles are verified. Pairs that share none of
+these need m shingles of more nodes each: nodes that have so many form
+clusters, which are verified block against block inside workers, which return
+the edges of a spanning forest only, never all pairs. Nothing is capped: both
+ways together cover every pair that can be similar.
 
 Defined results
 * null, empty and blank texts: no shingle, linked with nothing
@@ -160,14 +161,14 @@ def _postings(prefixes: DataFrame) -> DataFrame:
 
 
 def _meetings(postings: DataFrame) -> DataFrame:
-    """(kind, a, b, m) out of postings sorted by token: kind 0 are the pairs around a shingle of few nodes, kind 1 hangs the nodes around a shingle of many on their first."""
+    """(kind, a, b, m) out of postings sorted by token: kind 0 are the pairs around a shingle of few nodes, kind 1 the postings (a: token, b: node) of a shingle of many."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(m)], ["kind", "a", "b", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        hot: tuple[int, int] | None = None  # token of many nodes that the last batch ended with, and its first node
+        hot: int | None = None  # token of many nodes that the last batch ended with
 
         def meet(token: np.ndarray, node: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(token):
@@ -182,14 +183,14 @@ def _meetings(postings: DataFrame) -> DataFrame:
                     yield rows(0, np.minimum(a, b), np.maximum(a, b), np.minimum(m[i], m[i + d]))
             many = np.flatnonzero(of > SMALL)
             if len(many):
-                yield rows(1, np.repeat(node[first], size)[many], node[many], m[many])
+                yield rows(1, token[many], node[many], m[many])
 
         for batch in batches:
             token, node, m = (batch.column(k).to_numpy() for k in range(3))
             if hot is not None:
-                n = int(np.searchsorted(token, hot[0], "right"))
+                n = int(np.searchsorted(token, hot, "right"))
                 if n:
-                    yield rows(1, np.full(n, hot[1]), node[:n], m[:n])
+                    yield rows(1, token[:n], node[:n], m[:n])
                 if n == len(token):
                     continue
                 hot, token, node, m = None, token[n:], node[n:], m[n:]
@@ -199,7 +200,7 @@ def _meetings(postings: DataFrame) -> DataFrame:
                 continue
             last = int(np.searchsorted(token, token[-1], "left"))
             if len(token) - last > SMALL:
-                hot = (int(token[-1]), int(node[last]))
+                hot = int(token[-1])
                 yield from meet(token, node, m)
             else:
                 held = (token[last:], node[last:], m[last:])
@@ -210,6 +211,21 @@ def _meetings(postings: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "kind int, a long, b long, m int")
 
 
+def _around_many(postings: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b): star edges between nodes that may share enough of the shingles of many nodes alone.
+
+    postings: (token, node, m); many: (node, h), the number of such shingles
+    of a node. A pair without a shingle of few nodes in common needs at least
+    min(m, m') of them on both sides, so a node with fewer than its own m, and
+    than the least m around the shingle, has no such partner there.
+    """
+    least = common.stored(postings.groupBy("token").agg(F.min("m").alias("least")), "least")
+    able = postings.join(many, "node").join(least, "token").where(F.col("h") >= F.least("m", "least"))
+    able = common.stored(able.select("token", "node"), "able")
+    first = common.stored(able.groupBy("token").agg(F.min("node").alias("a")), "first")
+    return able.join(first, "token").select("a", F.col("node").alias("b")).where("a <> b")
+
+
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """A bit for each hash of a node, of fixed size."""
     rows = nodes.select(F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("at")).agg(
@@ -319,11 +335,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
 
     prefixes = _prefixes(source.where("doc_id is not null"), words, percent, sketch, bits).where("m > 0")
     ids = nodes.select(F.col("node").alias("doc_id")).distinct()
-    met = common.stored(
-        _meetings(_postings(prefixes.join(ids, "doc_id", "left_semi"))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met"
-    )
-    pairs = met.where("kind = 0 and n >= m").select("a", "b")
-    around = met.where("kind = 1").select("a", "b")
+    met = common.stored(_meetings(_postings(prefixes.join(ids, "doc_id", "left_semi"))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
+    crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
+    many = common.stored(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "many")
+    # shared shingles of few nodes, and at most so many of many nodes
+    bound = F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = met.where("kind = 0").join(many.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left")
+    pairs = common.stored(pairs.where(bound >= F.col("m")).select("a", "b"), "pairs")
+    around = _around_many(crowded, many)
     clusters = connected_components(around)
     members = common.stored(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "members").withColumnRenamed("component", "cluster")
 
