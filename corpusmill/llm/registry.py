@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, near_join, quality, sentencepieces, sharding, toxicity, warc
+from . import exact_dedup, langid, mixing, near_join, pii, quality, sentencepieces, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
