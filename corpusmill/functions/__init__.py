@@ -1 +1 @@
-""""""
+"""Column functions: text cleaning, titles, labels, ranges, folds."""

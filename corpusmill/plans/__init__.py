@@ -1 +1 @@
-""""""
+"""Whole plans composed of operators, and the catalogue of queries."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import retrieval_queries
 
 FLAGSHIP = "hybrid_search"
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**retrieval_queries.QUERIES}
+ORACLES = {**retrieval_queries.ORACLES}

@@ -1 +1 @@
-""""""
+"""Tables, files, archives and ledgers as DataFrames."""
