@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges that one task writes: rounds over few edges leave few files.
+TASK_EDGES = 250_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) long. Returns (node, component) for every node that is not the smallest of its component.
@@ -17,18 +20,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     seen = _digest(e)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return common.stored(df.coalesce(2 * -(-seen[0] // TASK_EDGES)), name)
+
     while seen[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = common.stored(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
         up = e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        large = common.stored(
+        large = kept(
             up.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .unionByName(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct(),
             "large",
         )
-        lowest = common.stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
+        lowest = kept(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
         small = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = common.stored(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        e = kept(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         now = _digest(e)
         if now == seen:
             break
