@@ -9,6 +9,8 @@ from ..params import DEFAULT, Params
 
 #: What Python counts as white space, for Java patterns with (?U).
 _SPACE = r"[\s\x1c-\x1f]"
+#: The same as characters.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # A line that fits one of these belongs to a table of contents.
 TOC_LINES = (r"^目\s*录\s*$", r"[.…]{3,}\s*\d{1,4}\s*$", r"\t{1,3}\d{1,4}\s*$", r"[（(]\d{1,4}[）)]\s*$")
@@ -36,7 +38,7 @@ MARKUP = (
 
 def strip(c: Column) -> Column:
     """Without white space at either end, as Python sees white space."""
-    return F.regexp_replace(c, rf"(?Ud)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -45,11 +47,15 @@ def words(c: Column) -> Column:
 
 
 def is_toc_line(line: Column) -> Column:
-    stripped = strip(line)
-    found = F.lit(False)
-    for p in TOC_LINES:
-        found = found | stripped.rlike(f"(?Ud){p}")
-    return found
+    """Stripped once, and looked at closely only where the last character can end such a line."""
+
+    def fits(stripped: Column) -> Column:
+        found = F.lit(False)
+        for p in TOC_LINES:
+            found = found | stripped.rlike(f"(?Ud){p}")
+        return F.substring(stripped, -1, 1).rlike(r"(?U)[\d)）录]") & found
+
+    return F.exists(F.array(strip(line)), fits)
 
 
 def drop_toc_lines(c: Column) -> Column:

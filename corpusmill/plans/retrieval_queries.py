@@ -36,7 +36,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = keyword.tokenised(tables.chunks(spark, sf_dir))
-    df = keyword.document_frequency(tokens).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df"))
+    df = keyword.document_frequency(keyword.term_frequency(tokens)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df"))
     return keyword.corpus_stats(tokens).join(df, "user_id").select("user_id", "n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "sum_df", "max_df")
 
 

@@ -17,7 +17,7 @@ NOISE = ("a\x01b\x0c\n\n\n\n12\nIntro.....12\nx    y\t\n  --- Page 3 ---\nKap (1
 
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(NOISE[0]), "text", F.lit(NOISE[1])).alias("text"))
+    return tables.documents(spark, sf_dir).select("doc_id", F.concat(F.lit(NOISE[0]), "text", F.lit(NOISE[1])).alias("text"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,31 +36,31 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookarounds have no counterpart in the other dialect: held against Python in the tests."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir)
     marked = F.concat(F.lit("# H\n> **b** [t](u) ![a](u) *i* ~~s~~ `c`\n- "), "text", F.lit("\n\n\n\n1. x <b>y</b>\n---"))
     return d.select("doc_id", F.md5(tx.strip_markup(marked)).alias("md5"))
 
 
 def markdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir)
     marked = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), "text", F.lit("\n\n### "), F.col("lang"), F.lit("\n\n- a\n  - b\n\n| x | y |\n|---|---|\n| 1 | 2 |\n"))
     return d.select("doc_id", md.markdown(marked).alias("m")).select("doc_id", F.md5("m.text").alias("md5"), F.element_at("m.toc", -1)["path"].alias("last_path"))
 
 
 def toc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) % 4).cast("int").alias("level"), F.substring(x, 1, 8).alias("text")))
-    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.to_json(tx.toc_paths(heads))).alias("md5"))
+    return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.to_json(tx.toc_paths(heads))).alias("md5"))
 
 
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir)
     pages = d.select(F.col("source").alias("user_id"), F.md5(F.concat_ws("|", "doc_id", "text")).alias("md5"), F.lit(1).alias("page"), "text")
     return chunking.split_chunks(pages).select("chunk_id", "chunk_index", F.md5("text").alias("md5"), F.length("text").cast("long").alias("n"))
 
 
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents that an empty ledger lets in, by tenant."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir)
     files = d.select(F.col("source").alias("user_id"), F.col("doc_id").alias("file_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("original_filename"), "text")
     chunks, _ = ingest.ingest(files, tables.empty(spark, "user_id string, md5 string"))
     return chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("md5").alias("n_files"), F.max(F.length("text")).cast("long").alias("longest"))
@@ -174,7 +174,7 @@ def classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored in two encodings come back as they were."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.documents(spark, sf_dir)
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "e"), "ISO-8859-1"))
     return d.select("doc_id", F.md5(loaders.encodings_column(content)).alias("md5"))
 

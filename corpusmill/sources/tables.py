@@ -10,9 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input for each core below which a table is dealt out anew.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small for the cores is dealt out to all of them: its file may be one row group, which one task reads. Larger ones stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the chunks of their tenants: user_id, chunk_id, text."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
