@@ -120,13 +120,17 @@ class _Reader:
 
     @staticmethod
     def _list_end(lines: list[str], k: int) -> int:
-        end = k + 1
+        end, first = k + 1, _ITEM.match(lines[k])
         while end < len(lines):
+            own = _ITEM.match(lines[end])
+            if own and len(own[1]) <= len(first[1]) and own[2][-1] != first[2][-1]:  # another mark begins another list
+                return end
             if not lines[end].strip():
                 after = next((j for j in range(end, len(lines)) if lines[j].strip()), len(lines))
                 if after == len(lines) or not (lines[after].startswith((" ", "\t")) or _ITEM.match(lines[after])):
                     return end
                 end = after
+                continue
             elif not _ITEM.match(lines[end]) and not lines[end].startswith((" ", "\t")) and (_HEADING.match(lines[end]) or _FENCE.match(lines[end]) or _BREAK.match(lines[end])):
                 return end
             end += 1
