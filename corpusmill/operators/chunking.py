@@ -6,6 +6,8 @@ works on such a group by itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,19 +149,22 @@ def batch_numbers(items: Column, p: Params = DEFAULT) -> Column:
 def assign_batches(items: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """items: (user_id, seq, n_chunks, n_chars). user_id, seq, batch.
 
-    Batches depend on all that went before, so a tenant's items are folded in
-    order by one task, as a stream that holds three counters.
+    Batches depend on all that went before, so a tenant's items pass one task
+    in order; they stream through it, and three counters are all it holds.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        batch = n = c = 0
-        out = []
-        for x, y in zip(pdf["n_chunks"].tolist(), pdf["n_chars"].tolist(), strict=True):
-            out.append(batch)
-            n, c = n + x, c + y
-            if n >= p.batch_count or c >= p.batch_chars:
-                batch, n, c = batch + 1, 0, 0
-        return pd.DataFrame({"user_id": pdf["user_id"], "seq": pdf["seq"], "batch": out})
-
-    return items.select("user_id", F.col("seq").cast("long"), F.col("n_chunks").cast("long"), F.col("n_chars").cast("long")).groupBy("user_id").applyInPandas(run, "user_id string, seq long, batch int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, batch, n, c = None, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for u, x, y in zip(pdf["user_id"], pdf["n_chunks"].tolist(), pdf["n_chars"].tolist(), strict=True):
+                if u != user:
+                    user, batch, n, c = u, 0, 0, 0
+                out.append(batch)
+                n, c = n + x, c + y
+                if n >= p.batch_count or c >= p.batch_chars:
+                    batch, n, c = batch + 1, 0, 0
+            yield pd.DataFrame({"user_id": pdf["user_id"], "seq": pdf["seq"], "batch": out})
+
+    rows = items.select("user_id", F.col("seq").cast("long"), F.col("n_chunks").cast("long"), F.col("n_chars").cast("long"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "seq").mapInPandas(run, "user_id string, seq long, batch int")

@@ -168,17 +168,17 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_to_memory(ev.progress(_event_stream(spark, sf_dir)), "stream_progress", "complete")
+    return ev.run_to_table(ev.progress(_event_stream(spark, sf_dir)), "stream_progress", "complete")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_to_memory(ev.windows(_event_stream(spark, sf_dir)), "stream_windows", "complete").select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n", "total")
+    return ev.run_to_table(ev.windows(_event_stream(spark, sf_dir)), "stream_windows", "complete").select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n", "total")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many (task, type) uploads are in flight, each counted once."""
     held = _event_stream(spark, sf_dir).select("user_id", F.col("event_type").alias("md5"), F.col("ts").cast("timestamp").alias("ts"))
-    return ev.run_to_memory(ev.first_uploads(held, "3650 days"), "stream_dedup", "append").select("user_id", "md5")
+    return ev.run_to_table(ev.first_uploads(held, "3650 days"), "stream_dedup", "append").select("user_id", "md5")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +50,15 @@ def ingest_stream(spark: SparkSession, folder: str, schema, checkpoint: str, sin
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All of a bounded stream, drained into a table."""
+def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """All of a bounded stream, drained into a Parquet table: in append mode batch by batch, in complete mode the last state."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={n if mode == 'append' else 0}")
+
+    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table").select(stream.columns)

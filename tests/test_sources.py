@@ -93,7 +93,7 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert seen == [3]
     stream = spark.readStream.schema(rows.schema).parquet(src)
-    assert ev.run_to_memory(ev.first_uploads(stream), "first_uploads", "append").count() == 2
+    assert ev.run_to_table(ev.first_uploads(stream), "first_uploads", "append").count() == 2
     assert ev.sessions(rows).count() == 2
     steps = spark.createDataFrame([(1, 1, "stage"), (1, 2, "done"), (1, 3, "token"), (2, 1, "stage")], "task_id long, seq long, event string")
     assert ev.until_done(steps).count() == 3
