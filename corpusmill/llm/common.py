@@ -17,8 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1024
 
 
+#: Bytes of input for each core below which a table in few files is dealt out anew.
+SPREAD_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is small and in fewer files than cores is dealt out to all cores, as a file may be a single row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

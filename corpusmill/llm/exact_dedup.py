@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """The rows of docs that stay, one of each group, with all their columns."""
     keys = exact_groups(docs, text_col, id_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"))
     names = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     held = held.withColumn("_exact", F.sha2(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), 256)).withColumn("_id", F.col(f"row.{id_col}"))
     same = held["_exact"].eqNullSafe(keys["_exact"]) & held["_id"].eqNullSafe(keys["_id"])
     one = held.join(keys, same, "left_semi").dropDuplicates(["_exact", "_id"])

@@ -104,7 +104,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float
     """The rows of docs, with all their columns, each as often as the mixture emits it."""
     copies = mixture(docs, max_repeats, target_entropy, text_col, id_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg((F.max("pass") + 1).alias("_copies"))
     names = docs.columns
-    held = docs.select(docs[id_col].alias("_own"), F.struct(*[docs[c] for c in names]).alias("_row"))
+    held = docs.select(docs[id_col].alias("_own"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     out = held.join(copies, held["_own"].eqNullSafe(copies["_id"])).select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
     return out.select([F.col(f"_row.`{c}`").alias(c) for c in names])
 

@@ -242,7 +242,9 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([own.score(find.count(t)) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the names are
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
