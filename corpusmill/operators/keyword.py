@@ -19,15 +19,14 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
 
 
-def term_frequency(tokens: DataFrame) -> DataFrame:
-    """user_id, chunk_id, dl, term, tf."""
-    terms = tokens.select("user_id", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return terms.groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _exploded(rows: DataFrame, terms, *columns) -> DataFrame:
+    """A row for each term. The outer form keeps the optimiser from tokenising a text once more, in the scan, to see if it has terms."""
+    return rows.select(*columns, F.explode_outer(terms).alias("term")).where("term is not null")
 
 
-def document_frequency(tf: DataFrame) -> DataFrame:
-    """user_id, term, df."""
-    return tf.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(tokens: DataFrame) -> DataFrame:
+    """user_id, term, df: terms are made distinct inside their row, so the shuffle sees each once."""
+    return _exploded(tokens, F.array_distinct("terms"), "user_id").groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def inverse_frequency(df: DataFrame, stats: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -48,12 +47,14 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, p: Params = DEFAULT, tok
     """
     tokens = tokenised(chunks, tokenizer)
     stats = corpus_stats(tokens)
-    terms = queries.select("query_id", "user_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = _exploded(queries, tokenizer(F.col("text")), "query_id", "user_id").groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = terms.select("user_id", "term").distinct()
-    # both sides below start from the same exchange, which runs once
-    counted = term_frequency(tokens)
-    frequency = inverse_frequency(document_frequency(counted), stats, p).join(asked, ["user_id", "term"], "left_semi")
-    postings = counted.join(asked, ["user_id", "term"], "left_semi")
+    frequency = inverse_frequency(document_frequency(tokens), stats, p).join(asked, ["user_id", "term"], "left_semi")
+    postings = (
+        _exploded(tokens, F.col("terms"), "user_id", "chunk_id", F.size("terms").alias("dl"))
+        .join(asked, ["user_id", "term"], "left_semi")
+        .groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
     tf, norm = F.col("tf"), p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl"))
     weighted = postings.join(frequency, ["user_id", "term"]).join(stats, "user_id").select("user_id", "term", "chunk_id", (F.col("idf") * tf * (p.k1 + 1) / (tf + norm)).alias("w"))
     scored = terms.join(weighted, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
