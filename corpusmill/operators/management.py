@@ -171,3 +171,23 @@ def last_lines(lines: Column, n: int = 10) -> Column:
 
 def chat_role(kind: Column) -> Column:
     return F.when(kind == "human", "user").otherwise("assistant")
+
+
+def create_conversations(new: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """new: (session_id, user_id, first_query, now). Rows of conversations that begin."""
+    return new.select("session_id", "user_id", tx.title(F.coalesce("first_query", F.lit("")), p).alias("session_title"), F.lit(0).alias("is_top"), F.col("now").alias("last_chat_time"), F.col("now").alias("created_at"))
+
+
+def touch(conversations: DataFrame, seen: DataFrame) -> DataFrame:
+    """seen: (session_id, now). Times of the last message go on."""
+    return conversations.join(seen, "session_id", "left").withColumn("last_chat_time", F.coalesce("now", "last_chat_time")).drop("now")
+
+
+def cancel_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that are under way become cancelled."""
+    return tasks.withColumn("status", F.when(F.col("status").isin("completed", "failed"), F.col("status")).otherwise("cancelled"))
+
+
+def merge_pages(shown: DataFrame, more: DataFrame) -> DataFrame:
+    """A list that goes on with the next page, each conversation once."""
+    return shown.unionByName(more).dropDuplicates(["session_id"])
