@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -38,25 +40,50 @@ def inverse_frequency(df: DataFrame, stats: DataFrame, p: Params = DEFAULT) -> D
     return raw.join(mean, "user_id").select("user_id", "term", "df", idf.alias("idf"))
 
 
-def keyword_topk(chunks: DataFrame, queries: DataFrame, p: Params = DEFAULT, tokenizer=tx.words, fill: bool = False) -> DataFrame:
+class Index(NamedTuple):
+    """What ranking needs of the chunks: stats (user_id, n_docs, avgdl), frequency (user_id, term, df, idf), postings (user_id, term, chunk_id, dl, tf)."""
+
+    stats: DataFrame
+    frequency: DataFrame
+    postings: DataFrame
+
+
+def term_tables(chunks: DataFrame, p: Params = DEFAULT, tokenizer=tx.words) -> Index:
+    """The index of chunks as plans; nothing runs yet."""
+    tokens = tokenised(chunks, tokenizer)
+    stats = corpus_stats(tokens)
+    postings = _exploded(tokens, F.col("terms"), "user_id", "chunk_id", F.size("terms").alias("dl"))
+    return Index(stats, inverse_frequency(document_frequency(tokens), stats, p), postings)
+
+
+def write_index(index: Index, path: str) -> None:
+    """Keep an index: a tenant is a folder, and terms are sorted, so that a search reads the row groups of its terms only."""
+    counted = index.postings.groupBy("user_id", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    for name, rows in (("frequency", index.frequency), ("postings", counted)):
+        rows.repartitionByRange("user_id", "term").sortWithinPartitions("user_id", "term").write.mode("overwrite").partitionBy("user_id").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/frequency"), spark.read.parquet(f"{path}/postings"))
+
+
+def keyword_topk(chunks: DataFrame, queries: DataFrame, p: Params = DEFAULT, tokenizer=tx.words, fill: bool = False, index: Index | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the best chunks of the query's tenant.
 
     Only chunks that share a term are ranked; with ``fill`` those without take
     the remaining ranks with score 0, by id. Query terms count as often as
-    they stand in the query.
+    they stand in the query. Without a kept index the terms are counted anew.
     """
-    tokens = tokenised(chunks, tokenizer)
-    stats = corpus_stats(tokens)
     terms = _exploded(queries, tokenizer(F.col("text")), "query_id", "user_id").groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = terms.select("user_id", "term").distinct()
-    frequency = inverse_frequency(document_frequency(tokens), stats, p).join(asked, ["user_id", "term"], "left_semi")
-    postings = (
-        _exploded(tokens, F.col("terms"), "user_id", "chunk_id", F.size("terms").alias("dl"))
-        .join(asked, ["user_id", "term"], "left_semi")
-        .groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    found = index or term_tables(chunks, p, tokenizer)
+    frequency = found.frequency.join(asked, ["user_id", "term"], "left_semi")
+    postings = found.postings.join(asked, ["user_id", "term"], "left_semi")
+    if "tf" not in postings.columns:
+        postings = postings.groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf, norm = F.col("tf"), p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl"))
-    weighted = postings.join(frequency, ["user_id", "term"]).join(stats, "user_id").select("user_id", "term", "chunk_id", (F.col("idf") * tf * (p.k1 + 1) / (tf + norm)).alias("w"))
+    weighted = postings.join(frequency, ["user_id", "term"]).join(found.stats, "user_id").select("user_id", "term", "chunk_id", (F.col("idf") * tf * (p.k1 + 1) / (tf + norm)).alias("w"))
     scored = terms.join(weighted, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
     if fill:
         every = queries.select("query_id", "user_id").join(chunks.select("user_id", "chunk_id"), "user_id").select("query_id", "chunk_id")

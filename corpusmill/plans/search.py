@@ -19,6 +19,7 @@ def hybrid_search(
     p: Params = DEFAULT,
     scorer: Callable[[Column, Column], Column] | None = fusion.overlap_score,
     threshold: float | None = None,
+    index: keyword.Index | None = None,
 ) -> DataFrame:
     """query_id, strategy, chunk_id, rrf_score, rerank_score, final_rank.
 
@@ -28,7 +29,7 @@ def hybrid_search(
     no results.
     """
     asked = queries.where(F.coalesce("user_id", F.lit("")) != "").withColumn("strategy", fusion.strategy(F.col("text"), p))
-    words = keyword.keyword_topk(chunks, asked, p)
+    words = keyword.keyword_topk(chunks, asked, p, index=index)
     near = vector.vector_topk(vectors, asked.where((F.col("strategy") != "bm25_only") & F.col("embedding").isNotNull()), p, threshold)
     fused = fusion.rrf(words, near, p)
     texts = chunks.select("user_id", "chunk_id", "text")
