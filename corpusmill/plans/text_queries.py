@@ -49,7 +49,7 @@ def markdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) % 4).cast("int").alias("level"), F.substring(x, 1, 8).alias("text")))
-    return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.to_json(tx.toc_paths(heads))).alias("md5"))
+    return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(tx.toc_paths(heads), lambda h: F.concat_ws(":", h["level"], h["path"])), "|")).alias("md5"))
 
 
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +213,9 @@ ORACLES = {
     f"o AS (SELECT doc_id, {_STRIP.format('array_to_string(' + _LINES.replace("@TEXT@", "t") + ', chr(10))')} AS t FROM m) SELECT doc_id, md5(t) AS md5, length(t) AS n FROM o WHERE t <> ''",
     "toc_filter": f"WITH {_RAW}, o AS (SELECT doc_id, array_to_string({_LINES.replace("@TEXT@", "text")}, chr(10)) AS t FROM n) SELECT doc_id, md5(t) AS md5, length(t) AS n FROM o",
     "html_text": "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS md5 FROM pages",
+    "toc_paths": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t[1:8] AS t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
+    "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
+    "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
     "batch_assign": "WITH RECURSIVE i AS (SELECT source AS user_id, doc_id AS seq, CAST(ceil(length(text) / 450) AS BIGINT) AS n, length(text) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), "
     "r AS (SELECT user_id, seq, k, 0 AS batch, n, c FROM i WHERE k = 1 UNION ALL "
     "SELECT i.user_id, i.seq, i.k, r.batch + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 1 ELSE 0 END, i.n + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 0 ELSE r.n END, i.c + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 0 ELSE r.c END "
