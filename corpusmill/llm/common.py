@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: A word, as a Java and RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in one Arrow batch handed to Python. At a few kB a text this is
-#: 1 to 4 MB; a batch of nothing but very long texts stays near 100 MB.
+#: Documents in one Arrow batch handed to Python, and bytes beyond which a
+#: batch of longer texts ends; a single text may be longer.
 BATCH_ROWS = 1024
+BATCH_BYTES = 16 << 20
 
 
 #: Bytes of input for each core below which a table in few files is dealt out anew.
@@ -32,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches that carry whole texts to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
