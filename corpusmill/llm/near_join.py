@@ -367,3 +367,26 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, text_co
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(common.table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+#: All pairs that share a shingle, which small tables allow.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+p AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+i AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS k
+  FROM p a JOIN p b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (
+  SELECT x, y FROM i WHERE 100 * k >= 85 * (n - k)),
+e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(r.c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.g)
+"""

@@ -21,5 +21,6 @@ ORACLES = {
     "op2_mixing": mixing.SQL,
     "op3_warc": warc.SQL,
     "op4_quality_rules": quality.SQL,
+    "op5_ngram_jaccard": near_join.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
