@@ -112,20 +112,20 @@ def phash_groups(images: DataFrame, p: Params = DEFAULT) -> DataFrame:
         pdf = pdf.sort_values("seq")
         firsts: list[tuple[int, int]] = []
         reps = []
-        for seq, h in zip(pdf["seq"], pdf["hash"], strict=True):
-            if pd.isna(h):
+        for seq, text in zip(pdf["seq"], pdf["hash"], strict=True):
+            if text is None:
                 reps.append(seq)
                 continue
-            found = next((s for s, f in firsts if ((int(h) ^ f) & (2**64 - 1)).bit_count() <= p.hash_distance), None)
+            h = int(text)
+            found = next((s for s, f in firsts if ((h ^ f) & (2**64 - 1)).bit_count() <= p.hash_distance), None)
             if found is None:
-                firsts.append((seq, int(h)))
+                firsts.append((seq, h))
                 found = seq
             reps.append(found)
         return pd.DataFrame({"file_id": pdf["file_id"], "seq": pdf["seq"], "rep_seq": reps})
 
-    return images.select("file_id", "seq", F.col("hash").cast("decimal(20,0)").cast("string").alias("hash")).groupBy("file_id").applyInPandas(
-        lambda pdf: run(pdf.assign(hash=pdf["hash"].map(lambda x: None if x is None else int(x)).astype(object))), "file_id long, seq int, rep_seq int"
-    )
+    # as text: a column of longs with nulls would pass pandas as floating point, which has no room for 64 bits
+    return images.select("file_id", "seq", F.col("hash").cast("string").alias("hash")).groupBy("file_id").applyInPandas(run, "file_id long, seq int, rep_seq int")
 
 
 def batch_numbers(items: Column, p: Params = DEFAULT) -> Column:

@@ -216,6 +216,19 @@ ORACLES = {
     "toc_paths": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t[1:8] AS t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
     "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
     "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
+    "phash_dedup": "WITH RECURSIVE e AS (SELECT user_id AS file_id, CAST(event_id AS INTEGER) AS seq, CASE WHEN event_type <> 'view' THEN (CAST(1 AS BIGINT) << (event_id % 60)) - 1 END AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), "
+    "r AS (SELECT file_id, k, seq, seq AS rep_seq, CASE WHEN h IS NULL THEN [] ELSE [{'s': seq, 'h': h}] END AS firsts FROM e WHERE k = 1 UNION ALL "
+    "SELECT file_id, k, seq, coalesce(f, seq), CASE WHEN h IS NULL OR f IS NOT NULL THEN firsts ELSE list_append(firsts, {'s': seq, 'h': h}) END FROM ("
+    "SELECT e.file_id, e.k, e.seq, e.h, r.firsts, CASE WHEN e.h IS NOT NULL THEN list_filter(r.firsts, lambda x: bit_count(xor(x.h, e.h)) <= 10)[1].s END AS f FROM r JOIN e ON e.file_id = r.file_id AND e.k = r.k + 1)) "
+    "SELECT file_id, seq, rep_seq FROM r",
+    "semantic_merge": "WITH RECURSIVE e AS (SELECT CAST(label AS BIGINT) AS file_id, vec_id, 't' || vec_id AS t, CAST(vec_id % 50 AS INTEGER) AS page, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), "
+    "r AS (SELECT file_id, k, t, page, 0 AS g, length(t) AS size, e AS c FROM e WHERE k = 1 UNION ALL "
+    "SELECT file_id, k, t, page, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN size + length(t) ELSE length(t) END, CASE WHEN j THEN list_transform(range(1, len(e) + 1), lambda i: (c[i] + e[i]) / 2) ELSE e END FROM ("
+    "SELECT e.file_id, e.k, e.t, e.page, e.e, r.g, r.size, r.c, r.size + length(e.t) <= 60 AND list_dot_product(r.c, e.e) / (sqrt(list_dot_product(r.c, r.c)) * sqrt(list_dot_product(e.e, e.e)) + 1e-9) > 0.1 AS j "
+    "FROM r JOIN e ON e.file_id = r.file_id AND e.k = r.k + 1)), "
+    "p AS (SELECT DISTINCT file_id, g, page FROM r), i AS (SELECT *, page - row_number() OVER (PARTITION BY file_id, g ORDER BY page) AS d FROM p), n AS (SELECT file_id, g, min(page) AS a, max(page) AS b FROM i GROUP BY file_id, g, d), "
+    "q AS (SELECT file_id, g, string_agg(CASE WHEN b > a THEN a || '-' || b ELSE CAST(a AS VARCHAR) END, ',' ORDER BY a) AS page_range FROM n GROUP BY file_id, g) "
+    "SELECT file_id, g AS seq, md5(string_agg(t, '' ORDER BY k)) AS md5, any_value(page_range) AS page_range, CAST(count(*) AS INTEGER) AS n_merged FROM r JOIN q USING (file_id, g) GROUP BY file_id, g",
     "batch_assign": "WITH RECURSIVE i AS (SELECT source AS user_id, doc_id AS seq, CAST(ceil(length(text) / 450) AS BIGINT) AS n, length(text) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), "
     "r AS (SELECT user_id, seq, k, 0 AS batch, n, c FROM i WHERE k = 1 UNION ALL "
     "SELECT i.user_id, i.seq, i.k, r.batch + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 1 ELSE 0 END, i.n + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 0 ELSE r.n END, i.c + CASE WHEN r.n >= 50 OR r.c >= 18000 THEN 0 ELSE r.c END "

@@ -68,10 +68,10 @@ def test_merge(spark):
 
 
 def test_phash(spark):
-    rows = [(1, 0, 0), (1, 1, None), (1, 2, 1023), (1, 3, 2047), (1, 4, -1), (2, 0, 1)]
+    rows = [(1, 0, 0), (1, 1, None), (1, 2, 1023), (1, 3, 2047), (1, 4, -1), (2, 0, 1), (2, 1, None), (2, 2, 2**58 - 1), (2, 3, 2**58)]
     df = spark.createDataFrame(rows, "file_id long, seq int, hash long")
     got = {(r["file_id"], r["seq"]): r["rep_seq"] for r in chunking.phash_groups(df).collect()}
-    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 3, (1, 4): 4, (2, 0): 0}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 3, (1, 4): 4, (2, 0): 0, (2, 1): 1, (2, 2): 2, (2, 3): 0}
 
 
 def test_batches(spark):
