@@ -42,6 +42,8 @@ from .shingles import mix, sets
 SMALL = 16
 #: Nodes in a block of a cluster.
 BLOCK = 120
+#: Shingles whose owners are compared at once.
+RANGE_SHINGLES = 400_000
 MAX_MATCHES = 8
 #: Counters of the sketch: 2^16 to 2^24 (64 MB), about one for 64 shingles.
 SKETCH_BITS = (16, 24)
@@ -268,24 +270,36 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks: products of slices of the membership matrix, ranges of hashes one after the other."""
+    n = len(grams)
+    both = np.zeros((n, n), np.float32)
+    parts = 1 + sum(map(len, grams)) // RANGE_SHINGLES
+    edges = [k * (1 << 64) // parts for k in range(parts)]
+    cuts = [np.r_[np.searchsorted(g, np.array(edges, np.uint64)), len(g)] for g in grams]
+    for k in range(parts):
+        own = [g[c[k] : c[k + 1]] for g, c in zip(grams, cuts, strict=True)]
+        owner = np.repeat(np.arange(n), [len(g) for g in own])
+        if not len(owner):
+            continue
+        _, token, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = df[token] > 1
+        owner, token = owner[shared], (np.cumsum(df > 1) - 1)[token[shared]]
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        for c in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            lo, hi = np.searchsorted(token, [c, c + 4096])
+            dense = np.zeros((n, 4096), np.float32)
+            dense[owner[lo:hi], token[lo:hi] - c] = 1
+            both += dense @ dense.T
+    return both
+
+
 def forest(node: np.ndarray, side: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The edges of a spanning forest of the similar pairs, of which the sides differ if there are two; columns of the membership matrix are taken in slices."""
+    """The edges of a spanning forest of the similar pairs, of which the sides differ if there are two."""
     n = len(node)
     size = np.array([len(g) for g in grams])
-    owner = np.repeat(np.arange(n), size)
-    token = np.unique(np.concatenate(grams), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
-    df = np.bincount(token) if len(token) else np.zeros(0, np.int64)
-    shared = df[token] > 1 if len(token) else np.zeros(0, bool)
-    owner, token = owner[shared], np.cumsum(df > 1)[token[shared]] - 1 if len(token) else token
-    both = np.zeros((n, n), np.float32)
-    columns = int(token.max()) + 1 if len(token) else 0
-    order = np.argsort(token, kind="stable")
-    owner, token = owner[order], token[order]
-    for c in range(0, columns, 4096):
-        lo, hi = np.searchsorted(token, [c, c + 4096])
-        dense = np.zeros((n, min(4096, columns - c)), np.float32)
-        dense[owner[lo:hi], token[lo:hi] - c] = 1
-        both += dense @ dense.T
+    both = _overlaps(grams)
     union = size[:, None] + size[None, :] - both
     similar = (both > 0) & (100 * both >= percent * union)
     if (side != side[0]).any():

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at once, or one text if it is longer.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are hashed at once, or one text if it is longer: some 60 bytes of memory for each.
+SLICE_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _PLACES = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
