@@ -1,32 +1,34 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are words and four-letter parts of words that tell the labels apart in
-a bounded sample of labelled rows. Examples with equal vectors are one entry
-with their counts. The entries lie in an inverted index in blocks; the
-largest weight of each term in each block bounds the cosine of everything in
-that block, so blocks are scored in the order of their bounds until no bound
-exceeds the k-th best cosine: the neighbours are the exact ones.
+"""Toxicity: votes of the nearest labelled examples by exact cosine over all their terms.
+
+Terms are all words and four- to six-letter parts of words in a bounded sample
+of labelled rows, told apart by 64-bit hashes. A weight is TF x IDF x a growing
+function of the z-score of toxic rows among those with the term; it is above 0
+for every term. Examples with equal vectors are one entry with their counts.
+Heavy terms lie in an inverted index (those in many entries as a dense matrix),
+light ones with their entries. What light terms can add to a cosine is bounded
+by the lengths of both vectors' light parts, so entries are completed in the
+order of their bounds until no bound exceeds the k-th best cosine: the
+neighbours are the exact ones.
 
 Defined results
-* null and empty texts, and texts without a term: the share of toxic ones
+* null and empty texts, and texts without a known term: the share of toxic ones
   among the examples without a term
-* very long texts: whole
+* very long texts and words: whole
 * null doc_id: as the id '' when folds are dealt; null labels: not learned from
 * several labels of a document: toxic if any is
 * no labelled row at all: score 0
-* ties in cosine: all entries as near as the k-th vote
+* ties in cosine: all entries as near as the k-th
 * repeated rows, empty tables: row by row; extra or clashing columns: not looked at
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +38,20 @@ from .langid import letters
 
 #: Labelled rows that are learned from, at most: those whose ids have the smallest hashes.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 512
+#: z-scores by which weights are measured; from here on a term is evidence.
 MIN_Z = 5.0
-#: Texts whose terms a worker holds at once while it counts.
+POWER = 3
+#: Weight of terms that do not speak for toxicity.
+FLOOR = 1e-3
+#: Texts whose terms a worker holds at once while it counts, and that it scores at once.
 COUNT_ROWS = 128
-#: Scores of vectors that a worker remembers.
-KNOWN = 5_000
+SCORE_ROWS = 64
+#: z-score from which on a term is heavy; it decides on speed alone.
+HEAVY_Z = 1.75
+#: Examples whose terms come to the driver at once.
+PART_ROWS = 512
+#: Most frequent heavy terms, whose postings are a dense matrix.
+HEAD = 1_024
 #: Lengths of parts, the edges of the word among them.
 PARTS = (4, 5, 6)
 BLOCK = 64
@@ -57,35 +67,44 @@ def normal(text: str) -> str:
     return f" {np.where(letters()[code], code, np.uint32(32)).tobytes().decode('utf-32-le', 'surrogatepass')} "
 
 
-def terms_of(text: str) -> set[str]:
-    """Distinct words and parts of words of a text; a blank in a term is the edge of a word."""
-    out: set[str] = set()
-    for w in set(normal(text).split()):
-        w = f" {w[:64]} "
-        out.add(w)
-        for n in PARTS:
-            out.update([w[k : k + n] for k in range(len(w) - n + 1)])
-    return out
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-class Matcher:
-    """Counts chosen terms in texts with an automaton."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, 2 * n)
+        _powers[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0][:n], _powers[1][:n]
 
-    def __init__(self, terms: list[str]):
-        import ahocorasick
 
-        self.find = ahocorasick.Automaton()
-        for k, t in enumerate(terms):
-            self.find.add_word(t, k)
-        self.terms = len(terms)
-        if terms:
-            self.find.make_automaton()
+def windows(text: str | None) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(normal text, hash, start, end) of each word and part of a word, edges of words among them; as often as it occurs."""
+    clean = normal(text or "")
+    code = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code)
+    letter = code != 32
+    up, down = powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * down, out=total[1:])
+    seen = np.zeros(n + 1, np.int64)
+    np.cumsum(letter, out=seen[1:])
+    starts, ends = [], []
+    for k in PARTS:
+        if n >= k:
+            at = np.flatnonzero(seen[k - 1 : n] - seen[1 : n - k + 2] == k - 2)
+            starts.append(at)
+            ends.append(at + k)
+    first, last = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:]) + 2
+    other = ~np.isin(last - first, PARTS)  # the others are parts already
+    start, end = np.concatenate([*starts, first[other]]), np.concatenate([*ends, last[other]])
+    return clean, (total[end] - total[start]) * up[start], start, end
 
-    def count(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(term, count) of the terms in a text, in order."""
-        if not text or not self.terms:
-            return ()
-        return tuple(sorted(Counter([k for _, k in self.find.iter(normal(text))]).items()))
+
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the distinct terms of a text, in order of hashes."""
+    return np.unique(windows(text)[1], return_counts=True)
 
 
 @dataclass
@@ -124,10 +143,7 @@ class Index:
         keep = sims > 0
         return sims[keep], toxic[keep], count[keep]
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> float:
-        if not counts:
-            return self.bare
-        sims, toxic, count = self.neighbours(self.vector(counts))
+    def vote(self, sims: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(sims, 1))
         return float(((w * toxic).sum() + PRIOR_VOTES * self.base) / ((w * count).sum() + PRIOR_VOTES))
 
@@ -140,68 +156,230 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
 
-def choose_terms(sample: DataFrame) -> tuple[list[str], int, int]:
-    """The terms with the highest z-score of toxic rows among those with the term; rows; toxic rows."""
+#: Arrays, and if as steps, that are packed on their way to the workers, as each executor keeps a copy on its disk.
+PACKED = {"entry": True, "times": False, "light": True, "light_times": False, "start": True}
+PACK_SIZE = 1 << 22
+
+
+def pack(a: np.ndarray, steps: bool) -> tuple[str, list[tuple[int, list[bytes]]]]:
+    """Type, and for each slice of an array its size and the compressed bytes of its values or of the steps between them, those of equal rank side by side."""
+    out = []
+    for k in range(0, len(a), PACK_SIZE):
+        own = a[k : k + PACK_SIZE]
+        own = np.diff(own, prepend=own.dtype.type(0)) if steps else own
+        each = np.ascontiguousarray(own).view(np.uint8).reshape(len(own), a.itemsize)
+        out.append((len(own), [pa.compress(each[:, b].tobytes(), "zstd", asbytes=True) for b in range(a.itemsize)]))
+    return a.dtype.str, out
+
+
+def unpack(kind: str, slices: list[tuple[int, list[bytes]]], steps: bool) -> np.ndarray:
+    out, k = np.empty(sum(n for n, _ in slices), kind), 0
+    for n, planes in slices:
+        each = np.empty((n, len(planes)), np.uint8)
+        for b, plane in enumerate(planes):
+            each[:, b] = np.frombuffer(pa.decompress(plane, n, "zstd", asbytes=True), np.uint8)
+        values = each.view(kind)[:, 0]
+        out[k : k + n] = np.cumsum(values, dtype=kind) if steps else values
+        k += n
+    return out
+
+
+@dataclass
+class Postings(Index):
+    """An inverted index over all terms of the examples, by their hashes."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
+    z: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the postings of a term, none of light ones
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # place of the count in tf
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # rank of a term by frequency
+    row: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # start of the light terms of an entry
+    light: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # by rank
+    light_times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    light_norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # share of the unit length, by entry
+    norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by entry
+    n: np.ndarray = field(default_factory=lambda: np.zeros(0))  # examples by entry
+    n_toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    tf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def __getstate__(self) -> dict:
+        return {k: pack(v, PACKED[k]) if k in PACKED else v for k, v in self.__dict__.items() if k not in ("head", "column", "query")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: unpack(*v, PACKED[k]) if k in PACKED else v for k, v in state.items()})
+
+    def ready(self) -> None:
+        """The dense matrix of the most frequent terms; made once by each worker."""
+        often = np.argsort(np.diff(self.start), kind="stable")[::-1][:HEAD]
+        self.query = np.zeros(len(self.keys), np.float32)
+        self.column = np.full(len(self.keys), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.head = np.zeros((len(often), len(self.norm)), np.float32)
+        for k, t in enumerate(often):
+            own = slice(self.start[t], self.start[t + 1])
+            self.head[k, self.entry[own]] = self.tf[self.times[own]] * self.idf[t]
+
+    def known(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term, weight) of those that are in the index, of unit length."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        own = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        w = (1 + np.log(counts[own])) * self.idf[at[own]]
+        return at[own], w / max(float(np.sqrt((w * w).sum())), 1e-30)
+
+    def scores(self, texts: list[str | None]) -> tuple[list[float], list[np.ndarray]]:
+        """Score and terms of each text."""
+        if not hasattr(self, "head"):
+            self.ready()
+        found = [self.known(*terms_of(t)) for t in texts]
+        common_part = np.zeros((len(texts), len(self.head)), np.float32)
+        for k, (terms, w) in enumerate(found):
+            at = self.column[terms]
+            common_part[k, at[at >= 0]] = w[at >= 0]
+        dots = common_part @ self.head
+        out = []
+        for k, (terms, w) in enumerate(found):
+            if not len(terms):
+                out.append(self.bare)
+                continue
+            out.append(self.vote(*self.nearest(terms, w, dots[k])))
+        return out, [t for t, _ in found]
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, dots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cosine, toxic, count) of the k nearest entries and of all as near as the last; dots: what the dense terms add."""
+        heavy = self.z[terms] >= HEAVY_Z
+        rest = heavy & (self.column[terms] < 0)
+        sims = dots.astype(float)
+        if rest.any():
+            own, weight = terms[rest], (w[rest] * self.idf[terms[rest]]).astype(np.float32)
+            parts = list(zip(self.start[own].tolist(), self.start[own + 1].tolist(), strict=True))
+            weight = np.repeat(weight, self.start[own + 1] - self.start[own]) * self.tf[np.concatenate([self.times[a:b] for a, b in parts])]
+            sims += np.bincount(np.concatenate([self.entry[a:b] for a, b in parts]), weights=weight, minlength=len(sims))
+        sims /= self.norm
+        light, lw = self.place[terms[~heavy]], w[~heavy]
+        bound = sims + float(np.sqrt((lw * lw).sum())) * self.light_norm + 1e-6
+        k = min(NEIGHBOURS, len(sims))
+        least = np.partition(sims, -k)[-k]
+        near = np.flatnonzero(bound >= least - 1e-6)
+        near = near[np.argsort(-bound[near], kind="stable")]
+        self.query[light] = lw * self.idf[terms[~heavy]]
+        best = np.zeros(0)
+        for a in range(0, len(near), BLOCK):
+            own = near[a : a + BLOCK]
+            if bound[own[0]] < least - 1e-6:
+                near = near[:a]
+                break
+            size = self.row[own + 1] - self.row[own]
+            at = np.arange(size.sum()) + np.repeat(self.row[own] - np.cumsum(size) + size, size)
+            more = np.bincount(np.repeat(np.arange(len(own)), size), weights=self.query[self.light[at]] * self.tf[self.light_times[at]], minlength=len(own))
+            sims[own] += more / self.norm[own]
+            best = np.r_[best, sims[own]]
+            if len(best) >= k:
+                best = np.partition(best, -k)[-k:]
+                least = max(least, best[0])
+        self.query[light] = 0
+        near = near[(sims[near] >= least - 1e-6) & (sims[near] > 0)]
+        return sims[near], self.n_toxic[near], self.n[near]
+
+    def evidence(self, text: str | None, terms: np.ndarray) -> list[str]:
+        """The terms that speak for toxicity."""
+        strong = self.keys[terms[self.z[terms] >= MIN_Z]]
+        if not len(strong):
+            return []
+        clean, keys, start, end = windows(text)
+        at = np.flatnonzero(np.isin(keys, strong))
+        return sorted({clean[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)})
+
+
+def count_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, rows, toxic rows) of every term of the sample, in order of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, COUNT_ROWS) for b in batches for k in range(0, len(b), COUNT_ROWS)):
-            total, toxic = Counter(), Counter()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = terms_of(text)
-                total.update(found)
-                if label:
-                    toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([toxic[t] for t in total], pa.int64())], ["term", "n", "toxic"])
+            own = [terms_of(t)[0] for t in batch.column(1).to_pylist()]
+            keys, at = np.unique(np.concatenate(own), return_inverse=True)
+            label = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in own])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at).astype(np.int32)), pa.array(np.bincount(at, weights=label).astype(np.int32))], ["term", "n", "toxic"])
 
-    rows = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    if not rows["toxic"]:
-        return [], rows["n"], 0
-    base = rows["toxic"] / rows["n"]
-    by_term = sample.select("label", "text").mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    z = (F.col("toxic") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)) + 1)
-    best = by_term.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    return [r["term"] for r in best], rows["n"], rows["toxic"]
+    rows = sample.select("label", "text").mapInArrow(count, "term long, n int, toxic int").groupBy("term").agg(F.sum("n").cast("int").alias("n"), F.sum("toxic").cast("int").alias("toxic")).toArrow()
+    keys, n, toxic = (rows.column(k).to_numpy() for k in range(3))
+    del rows
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order], toxic[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """The index over a bounded sample of labelled rows of docs."""
+def fit(docs: DataFrame, labels: DataFrame) -> Postings:
+    """The index over all terms of a bounded sample of labelled rows of docs."""
     spark = docs.sparkSession
     common.text_batches(spark)
     sample = common.stored(examples(docs, labels), "examples")
-    terms, n, toxic = choose_terms(sample)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Matcher(terms)
-        for pdf in batches:
-            found = Counter((find.count(t), int(y)) for y, t in zip(pdf["label"], pdf["text"], strict=True))
-            yield pd.DataFrame({"v": [[x for kn in v for x in kn] for v, _ in found], "label": [y for _, y in found], "n": list(found.values())})
-
-    rows = sample.select("label", "text").mapInPandas(count, "v array<int>, label int, n long").groupBy("v").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("toxic")
-    ).collect()  # at most MAX_EXAMPLES
-    entries = sorted((tuple(zip(r["v"][::2], r["v"][1::2], strict=True)), r["n"], r["toxic"]) for r in rows)
-    df = np.zeros(len(terms))
-    for v, k, _ in entries:
-        for t, _ in v:
-            df[t] += k
-    index = Index(terms, np.log((1 + n) / (1 + df)) + 1, [], np.zeros((0, len(terms)), np.float32), [], [], toxic / max(n, 1), 0.0)
-    bare = [e for e in entries if not e[0]]
-    index.bare = sum(e[2] for e in bare) / max(1, sum(e[1] for e in bare))
-    held = [e for e in entries if e[0]]
-    vectors = np.array([index.vector(e[0]) for e in held], np.float32).reshape(len(held), len(terms))
-    order = np.lexsort((-vectors.max(1, initial=0), vectors.argmax(1))) if len(held) else np.zeros(0, int)  # alike side by side
-    for k in range(0, len(order), BLOCK):
-        own = order[k : k + BLOCK]
-        index.blocks.append(vectors[own])
-        index.count.append(np.array([held[i][1] for i in own], float))
-        index.toxic.append(np.array([held[i][2] for i in own], float))
-    if index.blocks:
-        index.most = np.array([b.max(0) for b in index.blocks])
-    return index
-
-
-def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted and the terms that were found (evidence) of each row of docs."""
+    rows = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    n, base = rows["n"], rows["toxic"] / max(rows["n"], 1)
+    keys, df, toxic = count_terms(sample)
+    z = (toxic - df * base) / np.sqrt(df * (base * (1 - base)) + 1)
+    idf = ((np.log((1 + n) / (1 + df)) + 1) * ((np.maximum(z, 0) / MIN_Z) ** POWER + FLOOR)).astype(np.float32)
+    heavy = z >= HEAVY_Z
+    start = np.r_[0, np.cumsum(np.where(heavy, df, 0), dtype=np.int64)]
+    place = np.empty(len(df), np.int32)
+    place[np.argsort(-df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+    light, light_times, row = np.zeros(df.sum() - start[-1], np.int32), np.zeros(df.sum() - start[-1], np.uint8), [0]
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, COUNT_ROWS) for b in batches for k in range(0, len(b), COUNT_ROWS)):
+            own = [terms_of(t) for t in batch.column(1).to_pylist()]
+            alike = [hashlib.blake2b(k.tobytes() + c.tobytes(), digest_size=16).digest() for k, c in own]
+            columns = [batch.column(0), pa.array(alike, pa.binary()), pa.array([k.tobytes() for k, _ in own], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "alike", "terms", "counts"])
+
+    parts = sample.select("label", "text").repartition(n // PART_ROWS + 1)
+    found = parts.mapInArrow(rows_of, "label int, alike binary, terms binary, counts binary")
+    entry, times, seen = np.zeros(start[-1], np.min_scalar_type(max(n, 1))), np.zeros(start[-1], np.uint8), start[:-1].copy()
+    norm, light_norm, count, marked, bare = [], [], [], [], [0, 0]
+    tf: dict[int, int] = {}
+    first: dict[bytes, int] = {}
+    for r in found.toLocalIterator(prefetchPartitions=True):  # a part at a time
+        if r["alike"] in first:
+            count[first[r["alike"]]] += 1
+            marked[first[r["alike"]]] += r["label"]
+            continue
+        own, times_of = np.searchsorted(keys, np.frombuffer(r["terms"], np.uint64)), np.frombuffer(r["counts"], np.int32)
+        if not len(own):
+            bare = [bare[0] + 1, bare[1] + r["label"]]
+            continue
+        k = first[bytes(r["alike"])] = len(norm)
+        distinct, at = np.unique(times_of, return_inverse=True)
+        places = np.array([tf.setdefault(c, len(tf)) for c in distinct.tolist()])
+        if np.min_scalar_type(len(tf)).itemsize > times.itemsize:
+            times, light_times = (a.astype(np.min_scalar_type(len(tf))) for a in (times, light_times))
+        much = heavy[own]
+        to = own[much]
+        entry[seen[to]], times[seen[to]] = k, places[at][much]
+        seen[to] += 1
+        row.append(row[-1] + len(own) - len(to))
+        ranks = place[own[~much]]
+        order = np.argsort(ranks)
+        light[row[-2] : row[-1]], light_times[row[-2] : row[-1]] = ranks[order], places[at][~much][order]
+        w = (1 + np.log(times_of)) * idf[own]
+        norm.append(math.sqrt(float((w * w).sum())))
+        light_norm.append(math.sqrt(float((w[~much] ** 2).sum())) / norm[-1])
+        count.append(1)
+        marked.append(r["label"])
+    # Postings of examples that are part of another entry were left free; all others move up.
+    size = seen - start[:-1]
+    if size.sum() < start[-1]:
+        free = np.zeros(start[-1] + 1, np.int8)
+        np.add.at(free, seen, 1)
+        np.add.at(free, start[1:], -1)
+        used = np.cumsum(free[:-1], dtype=np.int8) == 0
+        entry, times = entry[used], times[used]
+        start = np.r_[0, np.cumsum(size)]
+    weight = (1 + np.log(np.array(list(tf), float))).astype(np.float32)
+    return Postings([], idf, [], np.zeros((0, 0), np.float32), [], [], base, bare[1] / max(1, bare[0]), keys, z, start, entry, times, place, np.array(row, np.int64), light[: row[-1]], light_times[: row[-1]], np.array(light_norm), np.array(norm), np.array(count, float), np.array(marked, float), weight)
+
+
+def score(docs: DataFrame, index: Postings, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score, predicted and the terms that speak for toxicity (evidence) of each row of docs."""
     spark = docs.sparkSession
     common.text_batches(spark)
     shared = spark.sparkContext.broadcast(index)
@@ -209,17 +387,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        find, known = Matcher(own.terms), {}
-        for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(2).to_pylist():
-                v = find.count(text)
-                if v not in known:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[v] = own.score(v)
-                scores.append(min(1.0, max(0.0, known[v])))
-                evidence.append([own.terms[k] for k, _ in v])
+        for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
+            texts = batch.column(2).to_pylist()
+            scores, found = own.scores(texts)
+            scores = [min(1.0, max(0.0, s)) for s in scores]
+            evidence = [own.evidence(t, v) for t, v in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.string()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence"],
@@ -229,7 +401,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<string>")
 
 
-def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, index: Postings, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted toxic: one pass, nothing is shuffled."""
     spark = docs.sparkSession
     common.text_batches(spark)
@@ -238,9 +410,8 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        find = Matcher(own.terms)
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(find.count(t)) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+        for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
+            yield batch.filter(pa.array([s < THRESHOLD for s in own.scores(batch.column(at).to_pylist())[0]], pa.bool_()))
 
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the names are

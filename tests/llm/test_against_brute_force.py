@@ -154,6 +154,55 @@ def test_toxicity_finds_marked_words(spark):
     assert (held.predicted == held.toxic).mean() > 0.97
 
 
+def test_toxicity_learns_rare_words(spark):
+    """Words of at most eight toxic texts each: none reaches a z-score of 5."""
+    rng, vile = np.random.default_rng(5), ["grubzok", "flimquat", "wexmoddy", "hapjurnt", "zyglosk", "brovixen"]
+    plain = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(300)]
+    rows = [(k, " ".join([plain[x] for x in rng.integers(0, 300, 20)] + ([vile[k // 10 % 6]] if k % 10 == 0 else []))) for k in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, marks)
+    got = toxicity.score(docs, index).toPandas()
+    held = got[got.held_out]
+    assert index.z.max() < 5 and held[held.doc_id % 10 == 0].predicted.mean() > 0.7 and held[held.doc_id % 10 != 0].predicted.mean() < 0.1
+
+
+def test_toxicity_scores_are_those_of_all_terms(spark, documents):
+    """Every score against sums over every term as a string."""
+
+    def terms(text):
+        out = Counter()
+        for w in re.findall(r"\S+", toxicity.normal(text or "")):
+            w = f" {w} "
+            out.update([w[k : k + n] for n in (4, 5, 6) for k in range(len(w) - n + 1)] + [w] * (len(w) not in (4, 5, 6)))
+        return out
+
+    docs, labels = common.table(spark, TESTDATA, "documents"), common.table(spark, TESTDATA, "labels")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).toPandas().set_index("doc_id").score
+    sample = [(r["label"], terms(r["text"])) for r in toxicity.examples(docs, labels).collect()]
+    n, base = len(sample), sum(y for y, _ in sample) / len(sample)
+    df, toxic = Counter(t for _, c in sample for t in c), Counter(t for y, c in sample if y for t in c)
+    z = {t: (toxic[t] - df[t] * base) / math.sqrt(df[t] * base * (1 - base) + 1) for t in df}
+    idf = {t: (math.log((1 + n) / (1 + df[t])) + 1) * ((max(z[t], 0) / 5) ** 3 + 1e-3) for t in df}
+
+    def vector(counts):
+        v = {t: (1 + math.log(k)) * idf[t] for t, k in counts.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    entries = {}
+    for y, c in sample:
+        e = entries.setdefault(frozenset(c.items()), [vector(c), 0, 0])
+        e[1], e[2] = e[1] + 1, e[2] + y
+    for i, text in list(zip(documents.doc_id, documents.text, strict=True))[:40]:
+        q = vector(terms(text))
+        sims = [(sum(x * e[0].get(t, 0) for t, x in q.items()), e[1], e[2]) for e in entries.values() if e[0]]
+        least = sorted(s for s, _, _ in sims)[-toxicity.NEIGHBOURS]
+        near = [(1 / (1.05 - min(s, 1)), k, y) for s, k, y in sims if s > 0 and s >= least - 1e-6]
+        if q:
+            assert got[i] == pytest.approx((sum(w * y for w, _, y in near) + 0.5 * base) / (sum(w * k for w, k, _ in near) + 0.5), abs=1e-4), i
+
+
 def test_pieces_on_the_table(spark, documents):
     import sentencepiece
 
