@@ -126,6 +126,13 @@ def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
 
 
+def mixed_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of whole texts."""
+    cells = F.array(F.array(F.array(F.col("lang"), F.lit(None).cast("string")), F.array(F.col("source"), F.lit("z"))))
+    page = layout.mixed_page(F.col("text"), cells, F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(page).alias("md5"))
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("file_id"), "text")
     return uploads.fingerprint(files, per_user=False).select("file_id", "md5", "first_id", "duplicate")
@@ -183,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, toc_filter, html_text, markdown_strip, markdown_parse, toc_paths, split_chunks, ingest_files, semantic_merge, phash_dedup, batch_assign, page_ranges, pdf_type, page_types,
-        chart_rects, block_split, mixed_pages, exact_dedup, duplicate_files, validate_upload, archive_limits, magic_diagnosis, error_triage, classify_error, encoding_fallback,
+        chart_rects, block_split, mixed_pages, mixed_pages_whole, exact_dedup, duplicate_files, validate_upload, archive_limits, magic_diagnosis, error_triage, classify_error, encoding_fallback,
     )
 }
 
@@ -240,6 +247,7 @@ ORACLES = {
     "chart_rects": f"WITH {_BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b WHERE w * h > 5000) SELECT doc_id, count(k.n) AS n, CAST(coalesce(sum((x + w) * (y + h)), 0) AS BIGINT) AS s FROM documents LEFT JOIN (SELECT * FROM k WHERE n <= 5) k USING (doc_id) GROUP BY doc_id",
     "block_split": f"WITH {_BOXES} SELECT doc_id, {_BOX_LIST.format('NOT')} AS text_boxes, {_BOX_LIST.format('')} AS image_boxes FROM b GROUP BY doc_id",
     "mixed_pages": "SELECT doc_id, text[1:80] || chr(10) || chr(10) || lang || ' | ' || chr(10) || source || ' | z' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || '[图表描述]: ' || lang ELSE '' END AS page FROM documents",
+    "mixed_pages_whole": "SELECT doc_id, md5(text || chr(10) || chr(10) || lang || ' | ' || chr(10) || source || ' | z' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || '[图表描述]: ' || lang ELSE '' END) AS md5 FROM documents",
     "exact_dedup": f"WITH {_FILES} SELECT file_id, md5, min(file_id) OVER (PARTITION BY md5) AS first_id, file_id <> min(file_id) OVER (PARTITION BY md5) AS duplicate FROM f",
     "duplicate_files": f"WITH {_FILES} SELECT user_id, file_id, md5, min(file_id) OVER (PARTITION BY user_id, md5) AS first_id, file_id <> min(file_id) OVER (PARTITION BY user_id, md5) AS duplicate FROM f",
     "validate_upload": f"WITH n AS (SELECT doc_id, n_chars * 30000 AS size, 'd/f.' || {_pick(ENDINGS)} AS name FROM documents) SELECT doc_id, CASE WHEN size > 104857600 THEN 'size_exceeded' WHEN NOT {_OK} THEN 'unsupported_format' ELSE 'ok' END AS verdict FROM n",

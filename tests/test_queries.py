@@ -21,3 +21,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _two_texts(spark, path, a, b):
+    rows = [(1, a, "en", "s", len(a)), (3, b, "en", "s", len(b))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_mixed_pages_hold_whole_texts(spark, tmp_path):
+    at = _two_texts(spark, tmp_path, "x" * 80 + "a", "x" * 80 + "b")
+    assert len({r["md5"] for r in catalog.QUERIES["mixed_pages_whole"](spark, at).collect()}) == 2
