@@ -52,6 +52,12 @@ def toc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(tx.toc_paths(heads), lambda h: F.concat_ws(":", h["level"], h["path"])), "|")).alias("md5"))
 
 
+def toc_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines as headings."""
+    heads = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) % 4).cast("int").alias("level"), x.alias("text")))
+    return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(tx.toc_paths(heads), lambda h: F.concat_ws(":", h["level"], h["path"])), "|")).alias("md5"))
+
+
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.documents(spark, sf_dir)
     pages = d.select(F.col("source").alias("user_id"), F.md5(F.concat_ws("|", "doc_id", "text")).alias("md5"), F.lit(1).alias("page"), "text")
@@ -189,7 +195,7 @@ def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, toc_filter, html_text, markdown_strip, markdown_parse, toc_paths, split_chunks, ingest_files, semantic_merge, phash_dedup, batch_assign, page_ranges, pdf_type, page_types,
+        clean_text, toc_filter, html_text, markdown_strip, markdown_parse, toc_paths, toc_paths_whole, split_chunks, ingest_files, semantic_merge, phash_dedup, batch_assign, page_ranges, pdf_type, page_types,
         chart_rects, block_split, mixed_pages, mixed_pages_whole, exact_dedup, duplicate_files, validate_upload, archive_limits, magic_diagnosis, error_triage, classify_error, encoding_fallback,
     )
 }
@@ -223,6 +229,9 @@ ORACLES = {
     "toc_paths": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t[1:8] AS t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
     "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
     "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
+    "toc_paths_whole": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
+    "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
+    "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
     "phash_dedup": "WITH RECURSIVE e AS (SELECT user_id AS file_id, CAST(event_id AS INTEGER) AS seq, CASE WHEN event_type <> 'view' THEN (CAST(1 AS BIGINT) << (event_id % 60)) - 1 END AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), "
     "r AS (SELECT file_id, k, seq, seq AS rep_seq, CASE WHEN h IS NULL THEN [] ELSE [{'s': seq, 'h': h}] END AS firsts FROM e WHERE k = 1 UNION ALL "
     "SELECT file_id, k, seq, coalesce(f, seq), CASE WHEN h IS NULL OR f IS NOT NULL THEN firsts ELSE list_append(firsts, {'s': seq, 'h': h}) END FROM ("

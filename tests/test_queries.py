@@ -32,3 +32,8 @@ def _two_texts(spark, path, a, b):
 def test_mixed_pages_hold_whole_texts(spark, tmp_path):
     at = _two_texts(spark, tmp_path, "x" * 80 + "a", "x" * 80 + "b")
     assert len({r["md5"] for r in catalog.QUERIES["mixed_pages_whole"](spark, at).collect()}) == 2
+
+
+def test_toc_paths_hold_whole_lines(spark, tmp_path):
+    at = _two_texts(spark, tmp_path, "x" * 8 + "a", "x" * 8 + "b")
+    assert len({r["md5"] for r in catalog.QUERIES["toc_paths_whole"](spark, at).collect()}) == 2
