@@ -203,6 +203,15 @@ def test_toxicity_scores_are_those_of_all_terms(spark, documents):
             assert got[i] == pytest.approx((sum(w * y for w, _, y in near) + 0.5 * base) / (sum(w * k for w, k, _ in near) + 0.5), abs=1e-4), i
 
 
+def test_toxicity_learns_from_whole_runs_of_letters():
+    """Parts behind letter 64 of a run are terms, as is the whole run."""
+    run = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 90)))
+    terms = set(toxicity.terms_of(run)[0].tolist())
+    clean, keys, start, end = toxicity.windows(run)
+    found = {clean[a:b] for k, a, b in zip(keys.tolist(), start.tolist(), end.tolist(), strict=True) if k in terms}
+    assert found == {f" {run} "} | {f" {run} "[k : k + n] for n in (4, 5, 6) for k in range(93 - n)}
+
+
 def test_pieces_on_the_table(spark, documents):
     import sentencepiece
 
