@@ -1,21 +1,33 @@
-"""Toxicity: votes of the nearest labelled examples by exact cosine over all their terms.
-
-Terms are all words and four- to six-letter parts of words in a bounded sample
-of labelled rows, told apart by 64-bit hashes. A weight is TF x IDF x a growing
-function of the z-score of toxic rows among those with the term; it is above 0
-for every term. Examples with equal vectors are one entry with their counts.
-Heavy terms lie in an inverted index (those in many entries as a dense matrix),
-light ones with their entries. What light terms can add to a cosine is bounded
-by the lengths of both vectors' light parts, so entries are completed in the
-order of their bounds until no bound exceeds the k-th best cosine: the
-neighbours are the exact ones.
+"""Toxicity: calibrated votes of the nearest labelled examples by exact TF-IDF cosine over block-max postings.
+
+Terms are the words of a text (runs of letters, in lower case). Runs of over
+LONG_RUN letters and runs with letters of scripts that put no blanks between
+words also count with all their parts of PART letters. Every term of every
+example is in the index, with the weight TF x IDF x relevance; relevance is 1
+for a term that does not speak for toxicity and grows with its z-score.
+
+Examples with equal vectors are one entry with its counts. Entries lie in
+blocks of alike ones. The most frequent terms of all are a dense matrix over
+the entries, the others postings with the largest weight for each block. A
+text's cosine with an entry is what frequent terms give plus what postings
+add; the block maxima bound that sum for a whole block, and blocks whose bound
+is below the k-th best cosine are skipped. The neighbours are the exact ones.
+
+Votes are weighted by distance. Two parameters that turn a vote into a
+probability are fitted by letting a fixed part of the examples be judged by
+all others (leave-one-out), so a score of 0.3 means what it says.
+
+Bounds, all documented parameters: MAX_EXAMPLES labelled rows with at most
+MAX_POSTINGS terms altogether are learned from, those whose ids have the
+smallest hashes.
 
 Defined results
-* null and empty texts, and texts without a known term: the share of toxic ones
-  among the examples without a term
+* null and empty texts, and texts without a known term: the share of toxic
+  ones among all examples, calibrated
 * very long texts and words: whole
 * null doc_id: as the id '' when folds are dealt; null labels: not learned from
 * several labels of a document: toxic if any is
+* several texts under one id of an example: one of them, the same in every run
 * no labelled row at all: score 0
 * ties in cosine: all entries as near as the k-th
 * repeated rows, empty tables: row by row; extra or clashing columns: not looked at
@@ -24,7 +36,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,37 +46,31 @@ from pyspark.sql import functions as F
 
 from . import common
 from .langid import letters
+from .shingles import mix
 
-#: Labelled rows that are learned from, at most: those whose ids have the smallest hashes.
+#: Labelled rows that are learned from, and their terms altogether, at most.
 MAX_EXAMPLES = 20_000
-#: z-scores by which weights are measured; from here on a term is evidence.
-MIN_Z = 5.0
-POWER = 3
-#: Weight of terms that do not speak for toxicity.
-FLOOR = 1e-3
-#: Texts whose terms a worker holds at once while it counts, and that it scores at once.
-COUNT_ROWS = 128
+MAX_POSTINGS = 8_000_000
+#: Letters beyond which a run also counts with its parts; the first code point of scripts whose runs always do.
+LONG_RUN = 24
+UNSPACED = 0x0E00
+PART = 3
+#: Characters of a text that are taken apart at once.
+PIECE_CHARS = 1 << 20
+#: Texts that are scored at once.
 SCORE_ROWS = 64
-#: z-score from which on a term is heavy; it decides on speed alone.
-HEAVY_Z = 1.75
-#: Examples whose terms come to the driver at once.
-PART_ROWS = 512
-#: Most frequent heavy terms, whose postings are a dense matrix.
-HEAD = 1_024
-#: Lengths of parts, the edges of the word among them.
-PARTS = (4, 5, 6)
+#: Most frequent terms, whose weights are a dense matrix; it decides on speed alone.
+HEAD = 512
 BLOCK = 64
+#: Blocks that are looked into before any is skipped for what they hold.
+FIRST = 4
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 #: Votes that count for the share of toxic rows over all examples.
 PRIOR_VOTES = 0.5
-
-
-def normal(text: str) -> str:
-    """The text in lower case between blanks, with a blank for whatever is no letter."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return f" {np.where(letters()[code], code, np.uint32(32)).tobytes().decode('utf-32-le', 'surrogatepass')} "
-
+#: One example in so many is judged by the others for the calibration, which needs so many of either label.
+CALIBRATED = 4
+LEAST_LABELS = 10
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -79,73 +84,51 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def windows(text: str | None) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """(normal text, hash, start, end) of each word and part of a word, edges of words among them; as often as it occurs."""
-    clean = normal(text or "")
-    code = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(code)
-    letter = code != 32
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * down, out=total[1:])
-    seen = np.zeros(n + 1, np.int64)
-    np.cumsum(letter, out=seen[1:])
-    starts, ends = [], []
-    for k in PARTS:
-        if n >= k:
-            at = np.flatnonzero(seen[k - 1 : n] - seen[1 : n - k + 2] == k - 2)
-            starts.append(at)
-            ends.append(at + k)
-    first, last = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:]) + 2
-    other = ~np.isin(last - first, PARTS)  # the others are parts already
-    start, end = np.concatenate([*starts, first[other]]), np.concatenate([*ends, last[other]])
-    return clean, (total[end] - total[start]) * up[start], start, end
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin to its end, one range behind the other."""
+    size = end - begin
+    return np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
 
 
-def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of the distinct terms of a text, in order of hashes."""
-    return np.unique(windows(text)[1], return_counts=True)
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every term of a text, as often as it occurs."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.zeros(len(code) + 2, bool)
+    letter[1:-1] = letters()[code]
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    start, end = edge[::2], edge[1::2]
+    many = np.zeros(len(code) + 1, np.int64)
+    np.cumsum(code >= UNSPACED, out=many[1:])
+    parts = (end - start > PART) & ((end - start > LONG_RUN) | (many[end] > many[start]))
+    at = ranges(start[parts], end[parts] - PART + 1)
+    start, end = np.concatenate([start, at]), np.concatenate([end, at + PART])
+    up, down = powers(len(code) + 1)
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * down[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * up[start]), start, end
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of bounded length, cut at blanks."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        cut = text.rfind(" ", at, at + PIECE_CHARS)
+        if cut <= at:
+            cut = text.find(" ", at + PIECE_CHARS)
+            if cut < 0:
+                break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
-@dataclass
-class Index:
-    """A block-max inverted index over the distinct vectors of the examples."""
-
-    terms: list[str]
-    idf: np.ndarray
-    blocks: list[np.ndarray]  # entries x terms, unit length
-    most: np.ndarray  # blocks x terms: the largest weight
-    toxic: list[np.ndarray]  # toxic examples by entry
-    count: list[np.ndarray]  # examples by entry
-    base: float  # share of toxic ones over all examples
-    bare: float  # the same among examples without a term
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> np.ndarray:
-        v = np.zeros(len(self.terms), np.float32)
-        for k, n in counts:
-            v[k] = (1 + math.log(n)) * self.idf[k]
-        return v / max(float(np.sqrt((v * v).sum())), 1e-12)
-
-    def neighbours(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cosine, toxic, count) of the k nearest entries and of all as near as the last."""
-        bound = self.most @ v
-        sims, toxic, count = np.zeros(0), np.zeros(0), np.zeros(0)
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < least - 1e-6 or bound[b] <= 0:
-                break
-            sims = np.r_[sims, self.blocks[b] @ v]
-            toxic, count = np.r_[toxic, self.toxic[b]], np.r_[count, self.count[b]]
-            if len(sims) > NEIGHBOURS:
-                least = float(np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS])
-                keep = sims >= least - 1e-6
-                sims, toxic, count = sims[keep], toxic[keep], count[keep]
-        keep = sims > 0
-        return sims[keep], toxic[keep], count[keep]
-
-    def vote(self, sims: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> float:
-        w = 1 / (1.05 - np.minimum(sims, 1))
-        return float(((w * toxic).sum() + PRIOR_VOTES * self.base) / ((w * count).sum() + PRIOR_VOTES))
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the distinct terms of a text, in order of hashes."""
+    found = [np.unique(runs(p)[0], return_counts=True) for p in pieces(text or "")]
+    if len(found) == 1:
+        return found[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,230 +139,258 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
 
-#: Arrays, and if as steps, that are packed on their way to the workers, as each executor keeps a copy on its disk.
-PACKED = {"entry": True, "times": False, "light": True, "light_times": False, "start": True}
-PACK_SIZE = 1 << 22
-
-
-def pack(a: np.ndarray, steps: bool) -> tuple[str, list[tuple[int, list[bytes]]]]:
-    """Type, and for each slice of an array its size and the compressed bytes of its values or of the steps between them, those of equal rank side by side."""
-    out = []
-    for k in range(0, len(a), PACK_SIZE):
-        own = a[k : k + PACK_SIZE]
-        own = np.diff(own, prepend=own.dtype.type(0)) if steps else own
-        each = np.ascontiguousarray(own).view(np.uint8).reshape(len(own), a.itemsize)
-        out.append((len(own), [pa.compress(each[:, b].tobytes(), "zstd", asbytes=True) for b in range(a.itemsize)]))
-    return a.dtype.str, out
+def vectors(sample: DataFrame) -> DataFrame:
+    """(id, label, order, n, alike, terms, counts), one row for each id: the terms of the examples as packed hashes and counts; alike: a digest of both."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms_of(t) for t in batch.column(2).to_pylist()]
+            terms, counts = [k.tobytes() for k, _ in found], [c.astype(np.int32).tobytes() for _, c in found]
+            alike = [int.from_bytes(hashlib.blake2b(k + c, digest_size=8).digest(), "little", signed=True) for k, c in zip(terms, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(k) for k, _ in found], pa.int64()), pa.array(alike, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                ["id", "label", "n", "alike", "terms", "counts"],
+            )
 
-def unpack(kind: str, slices: list[tuple[int, list[bytes]]], steps: bool) -> np.ndarray:
-    out, k = np.empty(sum(n for n, _ in slices), kind), 0
-    for n, planes in slices:
-        each = np.empty((n, len(planes)), np.uint8)
-        for b, plane in enumerate(planes):
-            each[:, b] = np.frombuffer(pa.decompress(plane, n, "zstd", asbytes=True), np.uint8)
-        values = each.view(kind)[:, 0]
-        out[k : k + n] = np.cumsum(values, dtype=kind) if steps else values
-        k += n
-    return out
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.mapInArrow(run, f"id {kind}, label int, n long, alike long, terms binary, counts binary")
+    one = rows.groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct("alike", "n", "terms", "counts")).alias("v"))
+    return one.select("id", "label", F.xxhash64("id").alias("order"), "v.n", "v.alike", "v.terms", "v.counts")
 
 
 @dataclass
-class Postings(Index):
-    """An inverted index over all terms of the examples, by their hashes."""
-
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
-    z: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the postings of a term, none of light ones
-    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
-    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # place of the count in tf
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # rank of a term by frequency
-    row: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # start of the light terms of an entry
-    light: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # by rank
-    light_times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
-    light_norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # share of the unit length, by entry
-    norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by entry
-    n: np.ndarray = field(default_factory=lambda: np.zeros(0))  # examples by entry
-    n_toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    tf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+class Index:
+    """Block-max postings over all terms of the examples, by their hashes. What is made from the others by ``ready`` is not sent to workers."""
+
+    keys: np.ndarray  # hashes of terms, sorted
+    weight: np.ndarray  # by term: IDF x relevance
+    start: np.ndarray  # of the postings of a term
+    entry: np.ndarray
+    times: np.ndarray  # place of the count in tf
+    tf: np.ndarray
+    norm: np.ndarray  # by entry
+    n: np.ndarray  # examples by entry
+    toxic: np.ndarray  # toxic ones of them
+    alike: np.ndarray  # digest by entry
+    ids: list[str]  # an example by entry
+    base: float  # share of toxic ones over all examples
+    slope: float = 1.0
+    shift: float = 0.0
+    looked: list[int] = field(default_factory=lambda: [0, 0])  # blocks looked into, and all
+
+    MADE = ("head", "column", "group", "block", "most", "place", "value", "_first", "looked")
 
     def __getstate__(self) -> dict:
-        return {k: pack(v, PACKED[k]) if k in PACKED else v for k, v in self.__dict__.items() if k not in ("head", "column", "query")}
+        return {k: v for k, v in self.__dict__.items() if k not in self.MADE}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update({k: unpack(*v, PACKED[k]) if k in PACKED else v for k, v in state.items()})
+        self.__dict__.update(state | {"looked": [0, 0]})
 
     def ready(self) -> None:
-        """The dense matrix of the most frequent terms; made once by each worker."""
-        often = np.argsort(np.diff(self.start), kind="stable")[::-1][:HEAD]
-        self.query = np.zeros(len(self.keys), np.float32)
+        """The dense matrix, and the postings of all other terms by block."""
+        size = np.diff(self.start)
+        often = np.argsort(-size, kind="stable")[:HEAD]
         self.column = np.full(len(self.keys), -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        self.head = np.zeros((len(often), len(self.norm)), np.float32)
-        for k, t in enumerate(often):
+        self.column[often] = np.arange(len(often), dtype=np.int32)
+        blocks = -(-len(self.norm) // BLOCK)
+        self.head = np.zeros((len(often), blocks * BLOCK), np.float32)
+        for k, t in enumerate(often.tolist()):
             own = slice(self.start[t], self.start[t + 1])
-            self.head[k, self.entry[own]] = self.tf[self.times[own]] * self.idf[t]
+            self.head[k, self.entry[own]] = self.tf[self.times[own]] * self.weight[t] / self.norm[self.entry[own]]
+        term = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        rest = self.column[term] < 0
+        term, self.place = term[rest], self.entry[rest].astype(np.int32)
+        self.value = (self.tf[self.times[rest]] * self.weight[term] / self.norm[self.place]).astype(np.float32)
+        block = self.place // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        self.block = np.append(block[first], 0)
+        self.most = np.append(np.maximum.reduceat(self.value, first) if len(first) else self.value, np.float32(0))
+        self.group = np.searchsorted(term[first], np.arange(len(size) + 1)).astype(np.int64)  # groups of a term
+        self.place, self.value = np.append(self.place, 0), np.append(self.value, np.float32(0))
+        self._first = np.append(first, len(term))
 
     def known(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(term, weight) of those that are in the index, of unit length."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        own = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        w = (1 + np.log(counts[own])) * self.idf[at[own]]
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        own = self.keys[at] == keys
+        w = (1 + np.log(counts[own])) * self.weight[at[own]]
         return at[own], w / max(float(np.sqrt((w * w).sum())), 1e-30)
 
-    def scores(self, texts: list[str | None]) -> tuple[list[float], list[np.ndarray]]:
-        """Score and terms of each text."""
+    def nearest(self, found: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cosine, entry) of the k nearest entries of each vector, and of all as near as the last."""
         if not hasattr(self, "head"):
             self.ready()
-        found = [self.known(*terms_of(t)) for t in texts]
-        common_part = np.zeros((len(texts), len(self.head)), np.float32)
-        for k, (terms, w) in enumerate(found):
+        frequent = np.zeros((len(found), len(self.head)), np.float32)
+        for r, (terms, w) in enumerate(found):
             at = self.column[terms]
-            common_part[k, at[at >= 0]] = w[at >= 0]
-        dots = common_part @ self.head
-        out = []
-        for k, (terms, w) in enumerate(found):
+            frequent[r, at[at >= 0]] = w[at >= 0]
+        dots = frequent @ self.head
+        tops = dots.reshape(len(found), -1, BLOCK).max(2)
+        for r, (terms, w) in enumerate(found):
             if not len(terms):
-                out.append(self.bare)
+                yield np.zeros(0), np.zeros(0, np.int64)
                 continue
-            out.append(self.vote(*self.nearest(terms, w, dots[k])))
-        return out, [t for t, _ in found]
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, dots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cosine, toxic, count) of the k nearest entries and of all as near as the last; dots: what the dense terms add."""
-        heavy = self.z[terms] >= HEAVY_Z
-        rest = heavy & (self.column[terms] < 0)
-        sims = dots.astype(float)
-        if rest.any():
-            own, weight = terms[rest], (w[rest] * self.idf[terms[rest]]).astype(np.float32)
-            parts = list(zip(self.start[own].tolist(), self.start[own + 1].tolist(), strict=True))
-            weight = np.repeat(weight, self.start[own + 1] - self.start[own]) * self.tf[np.concatenate([self.times[a:b] for a, b in parts])]
-            sims += np.bincount(np.concatenate([self.entry[a:b] for a, b in parts]), weights=weight, minlength=len(sims))
-        sims /= self.norm
-        light, lw = self.place[terms[~heavy]], w[~heavy]
-        bound = sims + float(np.sqrt((lw * lw).sum())) * self.light_norm + 1e-6
-        k = min(NEIGHBOURS, len(sims))
-        least = np.partition(sims, -k)[-k]
-        near = np.flatnonzero(bound >= least - 1e-6)
-        near = near[np.argsort(-bound[near], kind="stable")]
-        self.query[light] = lw * self.idf[terms[~heavy]]
-        best = np.zeros(0)
-        for a in range(0, len(near), BLOCK):
-            own = near[a : a + BLOCK]
-            if bound[own[0]] < least - 1e-6:
-                near = near[:a]
-                break
-            size = self.row[own + 1] - self.row[own]
-            at = np.arange(size.sum()) + np.repeat(self.row[own] - np.cumsum(size) + size, size)
-            more = np.bincount(np.repeat(np.arange(len(own)), size), weights=self.query[self.light[at]] * self.tf[self.light_times[at]], minlength=len(own))
-            sims[own] += more / self.norm[own]
-            best = np.r_[best, sims[own]]
-            if len(best) >= k:
-                best = np.partition(best, -k)[-k:]
-                least = max(least, best[0])
-        self.query[light] = 0
-        near = near[(sims[near] >= least - 1e-6) & (sims[near] > 0)]
-        return sims[near], self.n_toxic[near], self.n[near]
-
-    def evidence(self, text: str | None, terms: np.ndarray) -> list[str]:
-        """The terms that speak for toxicity."""
-        strong = self.keys[terms[self.z[terms] >= MIN_Z]]
-        if not len(strong):
-            return []
-        clean, keys, start, end = windows(text)
-        at = np.flatnonzero(np.isin(keys, strong))
-        return sorted({clean[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)})
-
-
-def count_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, rows, toxic rows) of every term of the sample, in order of hashes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, COUNT_ROWS) for b in batches for k in range(0, len(b), COUNT_ROWS)):
-            own = [terms_of(t)[0] for t in batch.column(1).to_pylist()]
-            keys, at = np.unique(np.concatenate(own), return_inverse=True)
-            label = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in own])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at).astype(np.int32)), pa.array(np.bincount(at, weights=label).astype(np.int32))], ["term", "n", "toxic"])
-
-    rows = sample.select("label", "text").mapInArrow(count, "term long, n int, toxic int").groupBy("term").agg(F.sum("n").cast("int").alias("n"), F.sum("toxic").cast("int").alias("toxic")).toArrow()
-    keys, n, toxic = (rows.column(k).to_numpy() for k in range(3))
-    del rows
-    order = np.argsort(keys.view(np.uint64))
-    return keys.view(np.uint64)[order], n[order], toxic[order]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Postings:
-    """The index over all terms of a bounded sample of labelled rows of docs."""
+            yield self._nearest(terms, w, dots[r], tops[r], min(k, len(self.norm)))
+
+    def _nearest(self, terms: np.ndarray, w: np.ndarray, dots: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.column[terms] < 0
+        own, w = terms[rare], w[rare].astype(np.float32)
+        begin, end = self.group[own], self.group[own + 1]
+        group, w = ranges(begin, end), np.repeat(w, end - begin)
+        of = self.block[group]
+        bound = top + np.bincount(of, weights=w * self.most[group], minlength=len(top)) + 1e-6
+        order = np.argsort(-bound, kind="stable")
+        # k entries, one in each of k blocks, have at least what frequent terms give them
+        least = float(np.partition(top, -k)[-k]) if len(top) >= k else 0.0
+        sims, where = np.zeros(0), np.zeros(0, np.int64)
+        wanted, seen = order[:FIRST], FIRST
+        while len(wanted):
+            inside = np.zeros(len(top), bool)
+            inside[wanted] = True
+            mine = inside[of]
+            g = group[mine]
+            begin, end = self._first[g], self._first[g + 1]
+            at = ranges(begin, end)
+            more = np.bincount(self.place[at], weights=np.repeat(w[mine], end - begin) * self.value[at], minlength=len(dots))
+            entries = ranges(wanted * BLOCK, np.minimum(wanted * BLOCK + BLOCK, len(self.norm)))
+            sims, where = np.r_[sims, dots[entries] + more[entries]], np.r_[where, entries]
+            self.looked[0] += len(wanted)
+            if len(sims) >= k:
+                least = max(least, float(np.partition(sims, -k)[-k]))
+            keep = sims >= least - 1e-6
+            sims, where = sims[keep], where[keep]
+            rest = order[seen:]
+            wanted, seen = rest[bound[rest] >= least - 1e-6], len(order)
+        self.looked[1] += len(top)
+        keep = sims > 1e-9
+        return sims[keep], where[keep]
+
+    def vote(self, sims: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> float:
+        w = 1 / (1.05 - np.minimum(sims, 1))
+        return float(((w * toxic).sum() + PRIOR_VOTES * self.base) / ((w * n).sum() + PRIOR_VOTES))
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        if not len(self.norm):
+            return np.zeros(len(votes))
+        return 1 / (1 + np.exp(-(self.slope * logit(votes) + self.shift)))
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The score of each text, and its neighbours (cosine, entry)."""
+        if not len(self.norm):
+            return np.zeros(len(texts)), [(np.zeros(0), np.zeros(0, np.int64))] * len(texts)
+        near = list(self.nearest([self.known(*terms_of(t)) for t in texts]))
+        return self.calibrated(np.array([self.vote(s, self.n[e], self.toxic[e]) for s, e in near])), near
+
+    def evidence(self, sims: np.ndarray, entries: np.ndarray) -> list[dict]:
+        """The neighbours that voted, nearest first: an example of each entry, its cosine, the examples of the entry and the toxic ones of them."""
+        order = np.lexsort((entries, -sims))
+        return [{"id": self.ids[e], "cosine": min(1.0, float(s)), "n": int(self.n[e]), "toxic": int(self.toxic[e])} for s, e in zip(sims[order], entries[order].tolist(), strict=True)]
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through votes that fits the labels best; (1, 0) where there are too few."""
+    if min(labels.sum(), len(labels) - labels.sum()) < LEAST_LABELS:
+        return 1.0, 0.0
+    x, at = np.c_[logit(votes), np.ones(len(votes))], np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ at))
+        at = at - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - labels) + 1e-3 * (at - [1.0, 0.0]))
+    return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else (1.0, 0.0)
+
+
+def build(rows: list[dict]) -> Index:
+    """The index of rows (id, label, alike, terms, counts)."""
+    first: dict[int, int] = {}
+    for r in rows:
+        first.setdefault(r["alike"], len(first))
+    entry_of = np.array([first[r["alike"]] for r in rows], np.int64)
+    label = np.array([r["label"] for r in rows], float)
+    n, toxic = np.bincount(entry_of, minlength=len(first)).astype(float), np.bincount(entry_of, weights=label, minlength=len(first))
+    one = {e: r for e, r in zip(entry_of[::-1].tolist(), rows[::-1], strict=True)}
+    held = [one[e] for e in range(len(first))]
+    base = float(label.mean()) if len(rows) else 0.0
+    terms = [np.frombuffer(r["terms"], np.uint64) for r in held]
+    counts = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["counts"], np.int32) for r in held]])
+    entry = np.repeat(np.arange(len(held)), [len(t) for t in terms])
+    keys, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+    df, bad = np.bincount(term, weights=n[entry], minlength=len(keys)), np.bincount(term, weights=toxic[entry], minlength=len(keys))
+    z = (bad - df * base) / np.sqrt(df * (base * (1 - base)) + 1)
+    weight = ((np.log((1 + len(rows)) / (1 + df)) + 1) * (1 + np.maximum(z - 1, 0) ** 3)).astype(np.float32)
+    distinct, times = np.unique(counts, return_inverse=True)
+    tf = (1 + np.log(np.maximum(distinct, 1))).astype(np.float32)
+    value = tf[times] * weight[term]
+    norm = np.sqrt(np.bincount(entry, weights=value.astype(float) ** 2, minlength=len(held)))
+    norm[norm == 0] = 1.0
+    # alike entries side by side: those with the same heaviest term of the frequent ones, then of all
+    often = np.zeros(len(keys), bool)
+    often[np.argsort(-df, kind="stable")[:HEAD]] = True
+
+    def heaviest(v: np.ndarray) -> np.ndarray:
+        order, out = np.lexsort((v, entry)), np.full(len(held), -1)
+        out[entry[order]] = term[order]  # the last one of each entry stays
+        return out
+
+    place = np.empty(len(held), np.int64)
+    place[np.lexsort((heaviest(value), heaviest(np.where(often[term], value, 0))))] = np.arange(len(held))
+    order = np.lexsort((place[entry], term))
+    small = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
+    back = np.argsort(place)
+    return Index(
+        keys, weight, np.r_[0, np.cumsum(np.bincount(term, minlength=len(keys)))].astype(np.int64), small(place[entry][order]), small(times[order]), tf,
+        norm[back].astype(np.float32), n[back], toxic[back], np.array([held[e]["alike"] for e in back.tolist()], np.int64), [str(held[e]["id"]) for e in back.tolist()], base,
+    )
+
+
+def left_out(shared, rows: DataFrame) -> DataFrame:
+    """(vote, label) of examples, each judged by all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        order = np.argsort(index.alike)
+        for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
+            label, alike = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [index.known(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            votes = []
+            for (sims, entries), y, a in zip(index.nearest(found, NEIGHBOURS + 1), label, alike, strict=True):
+                self_ = order[np.searchsorted(index.alike, a, sorter=order)]
+                n, toxic = index.n[entries] - (entries == self_), index.toxic[entries] - y * (entries == self_)
+                best = np.argsort(-np.where(n > 0, sims, -1), kind="stable")[:NEIGHBOURS]
+                votes.append(index.vote(sims[best], n[best], toxic[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(0)], ["vote", "label"])
+
+    return rows.select("label", "alike", "terms", "counts").mapInArrow(run, "vote double, label int")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Index:
+    """The index over all terms of a bounded sample of labelled rows of docs, calibrated."""
     spark = docs.sparkSession
     common.text_batches(spark)
-    sample = common.stored(examples(docs, labels), "examples")
-    rows = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    n, base = rows["n"], rows["toxic"] / max(rows["n"], 1)
-    keys, df, toxic = count_terms(sample)
-    z = (toxic - df * base) / np.sqrt(df * (base * (1 - base)) + 1)
-    idf = ((np.log((1 + n) / (1 + df)) + 1) * ((np.maximum(z, 0) / MIN_Z) ** POWER + FLOOR)).astype(np.float32)
-    heavy = z >= HEAVY_Z
-    start = np.r_[0, np.cumsum(np.where(heavy, df, 0), dtype=np.int64)]
-    place = np.empty(len(df), np.int32)
-    place[np.argsort(-df, kind="stable")] = np.arange(len(df), dtype=np.int32)
-    light, light_times, row = np.zeros(df.sum() - start[-1], np.int32), np.zeros(df.sum() - start[-1], np.uint8), [0]
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, COUNT_ROWS) for b in batches for k in range(0, len(b), COUNT_ROWS)):
-            own = [terms_of(t) for t in batch.column(1).to_pylist()]
-            alike = [hashlib.blake2b(k.tobytes() + c.tobytes(), digest_size=16).digest() for k, c in own]
-            columns = [batch.column(0), pa.array(alike, pa.binary()), pa.array([k.tobytes() for k, _ in own], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "alike", "terms", "counts"])
-
-    parts = sample.select("label", "text").repartition(n // PART_ROWS + 1)
-    found = parts.mapInArrow(rows_of, "label int, alike binary, terms binary, counts binary")
-    entry, times, seen = np.zeros(start[-1], np.min_scalar_type(max(n, 1))), np.zeros(start[-1], np.uint8), start[:-1].copy()
-    norm, light_norm, count, marked, bare = [], [], [], [], [0, 0]
-    tf: dict[int, int] = {}
-    first: dict[bytes, int] = {}
-    for r in found.toLocalIterator(prefetchPartitions=True):  # a part at a time
-        if r["alike"] in first:
-            count[first[r["alike"]]] += 1
-            marked[first[r["alike"]]] += r["label"]
-            continue
-        own, times_of = np.searchsorted(keys, np.frombuffer(r["terms"], np.uint64)), np.frombuffer(r["counts"], np.int32)
-        if not len(own):
-            bare = [bare[0] + 1, bare[1] + r["label"]]
-            continue
-        k = first[bytes(r["alike"])] = len(norm)
-        distinct, at = np.unique(times_of, return_inverse=True)
-        places = np.array([tf.setdefault(c, len(tf)) for c in distinct.tolist()])
-        if np.min_scalar_type(len(tf)).itemsize > times.itemsize:
-            times, light_times = (a.astype(np.min_scalar_type(len(tf))) for a in (times, light_times))
-        much = heavy[own]
-        to = own[much]
-        entry[seen[to]], times[seen[to]] = k, places[at][much]
-        seen[to] += 1
-        row.append(row[-1] + len(own) - len(to))
-        ranks = place[own[~much]]
-        order = np.argsort(ranks)
-        light[row[-2] : row[-1]], light_times[row[-2] : row[-1]] = ranks[order], places[at][~much][order]
-        w = (1 + np.log(times_of)) * idf[own]
-        norm.append(math.sqrt(float((w * w).sum())))
-        light_norm.append(math.sqrt(float((w[~much] ** 2).sum())) / norm[-1])
-        count.append(1)
-        marked.append(r["label"])
-    # Postings of examples that are part of another entry were left free; all others move up.
-    size = seen - start[:-1]
-    if size.sum() < start[-1]:
-        free = np.zeros(start[-1] + 1, np.int8)
-        np.add.at(free, seen, 1)
-        np.add.at(free, start[1:], -1)
-        used = np.cumsum(free[:-1], dtype=np.int8) == 0
-        entry, times = entry[used], times[used]
-        start = np.r_[0, np.cumsum(size)]
-    weight = (1 + np.log(np.array(list(tf), float))).astype(np.float32)
-    return Postings([], idf, [], np.zeros((0, 0), np.float32), [], [], base, bare[1] / max(1, bare[0]), keys, z, start, entry, times, place, np.array(row, np.int64), light[: row[-1]], light_times[: row[-1]], np.array(light_norm), np.array(norm), np.array(count, float), np.array(marked, float), weight)
-
-
-def score(docs: DataFrame, index: Postings, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted and the terms that speak for toxicity (evidence) of each row of docs."""
+    rows = common.stored(vectors(examples(docs, labels)), "examples")
+    # Hash and number of terms of at most MAX_EXAMPLES rows: where the sample ends
+    sizes = sorted(tuple(r) for r in rows.select("order", "n").collect())
+    total = np.cumsum([n for _, n in sizes])
+    if len(sizes) and total[-1] > MAX_POSTINGS:
+        rows = rows.where(F.col("order") < sizes[int(np.searchsorted(total, MAX_POSTINGS, "right"))][0])
+    held = rows.select("id", "label", "order", "alike", "terms", "counts").toArrow()
+    index = build(sorted(held.to_pylist(), key=lambda r: (r["order"], str(r["id"]))))
+    del held
+    judged = left_out(spark.sparkContext.broadcast(index), rows.where(F.pmod("order", F.lit(CALIBRATED)) == 0)).collect()
+    index.slope, index.shift = platt(np.array([r["vote"] for r in judged]), np.array([r["label"] for r in judged], float))
+    return index
+
+
+_NEAR = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("n", pa.int32()), ("toxic", pa.int32())]))
+
+
+def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "doc_id", evidence: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of docs, and as evidence the neighbours that voted (an example's id, cosine, examples alike, toxic ones)."""
     spark = docs.sparkSession
     common.text_batches(spark)
     shared = spark.sparkContext.broadcast(index)
@@ -388,20 +399,18 @@ def score(docs: DataFrame, index: Postings, text_col: str = "text", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
-            texts = batch.column(2).to_pylist()
-            scores, found = own.scores(texts)
-            scores = [min(1.0, max(0.0, s)) for s in scores]
-            evidence = [own.evidence(t, v) for t, v in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.string()))],
-                ["doc_id", "held_out", "score", "predicted", "evidence"],
-            )
+            scores, near = own.scores(batch.column(2).to_pylist())
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))]
+            if evidence:
+                columns.append(pa.array([own.evidence(*x) for x in near], _NEAR))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"][: len(columns)])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<string>")
+    more = ", evidence array<struct<id:string,cosine:double,n:int,toxic:int>>" if evidence else ""
+    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int{more}")
 
 
-def drop_toxic(docs: DataFrame, index: Postings, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted toxic: one pass, nothing is shuffled."""
     spark = docs.sparkSession
     common.text_batches(spark)
@@ -411,7 +420,7 @@ def drop_toxic(docs: DataFrame, index: Postings, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
-            yield batch.filter(pa.array([s < THRESHOLD for s in own.scores(batch.column(at).to_pylist())[0]], pa.bool_()))
+            yield batch.filter(pa.array(own.scores(batch.column(at).to_pylist())[0] < THRESHOLD))
 
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the names are
@@ -421,4 +430,4 @@ def drop_toxic(docs: DataFrame, index: Postings, text_col: str = "text") -> Data
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     index = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, index).select("doc_id", "held_out", "score", "predicted")
+    return score(docs, index, evidence=False)

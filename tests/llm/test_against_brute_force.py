@@ -118,24 +118,43 @@ def test_language_scores_are_sums_of_log_probabilities(spark, documents):
     assert one[1][0] == pytest.approx(many[1][1])
 
 
-def test_neighbours_are_the_exact_ones():
+def example(id_, label, counts):
+    """A row as vectors() makes it, of counts by hash."""
+    terms, n = (np.array(x) for x in zip(*sorted(counts.items()), strict=True)) if counts else (np.zeros(0), np.zeros(0))
+    return {"id": id_, "label": label, "alike": hash(tuple(sorted(counts.items()))), "terms": terms.astype(np.uint64).tobytes(), "counts": n.astype(np.int32).tobytes()}
+
+
+@pytest.mark.parametrize("head", [0, 5, 512])
+def test_neighbours_are_the_exact_ones(monkeypatch, head):
+    """Against all cosines, whatever is dense; blocks are skipped."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = np.random.default_rng(2)
-    terms = [f"t{k}" for k in range(12)]
-    index = toxicity.Index(terms, rng.random(12) + 1, [], np.zeros((0, 12), np.float32), [], [], 0.2, 0.1)
-    counts = [tuple(sorted({int(k): int(rng.integers(1, 4)) for k in rng.integers(0, 12, 4)}.items())) for _ in range(400)]
-    vectors = np.array([index.vector(c) for c in counts])
-    order = np.lexsort((-vectors.max(1), vectors.argmax(1)))
-    for k in range(0, 400, toxicity.BLOCK):
-        own = order[k : k + toxicity.BLOCK]
-        index.blocks.append(vectors[own])
-        index.count.append(np.ones(len(own)))
-        index.toxic.append(own % 2.0)
-    index.most = np.array([b.max(0) for b in index.blocks])
-    for c in counts[:60]:
-        sims = np.sort(vectors @ index.vector(c))[::-1]
-        least = sims[toxicity.NEIGHBOURS - 1]
-        got, _, _ = index.neighbours(index.vector(c))
-        assert len(got) == (sims[sims > 0] >= least - 1e-6).sum() and np.allclose(np.sort(got)[::-1], sims[: len(got)], atol=1e-6)
+    topics = [rng.integers(0, 400, 30) for _ in range(12)]
+    draw = lambda: Counter(int(k) for k in rng.choice(topics[int(rng.integers(12))], 12)) + Counter({int(rng.integers(400)): 1})
+    rows = [example(k, int(k % 7 == 0), draw()) for k in range(600)]
+    index = toxicity.build(rows + [example(600, 1, {})])
+    dense = np.zeros((len(index.norm), len(index.keys)))
+    for t in range(len(index.keys)):
+        own = slice(index.start[t], index.start[t + 1])
+        dense[index.entry[own], t] = index.tf[index.times[own]] * index.weight[t]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-30)
+    assert index.n.sum() == 601 and index.toxic.sum() == sum(r["label"] for r in rows) + 1
+    queries = [index.known(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)])) for c in (draw() for _ in range(80))]
+    for (terms, w), (sims, entries) in zip(queries, index.nearest(queries), strict=True):
+        want = dense[:, terms] @ w
+        least = np.sort(want)[-toxicity.NEIGHBOURS]
+        assert np.allclose(sims, want[entries], atol=1e-5) and set(np.flatnonzero(want > least + 1e-5)) <= set(entries.tolist()) and sims.min() >= least - 1e-5
+    assert head or index.looked[0] < 0.8 * index.looked[1]
+
+
+def test_scores_are_calibrated():
+    """The logistic curve finds the parameters that labels were drawn with."""
+    rng = np.random.default_rng(3)
+    votes = rng.random(20_000)
+    labels = (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * toxicity.logit(votes) - 0.6)))).astype(float)
+    assert toxicity.platt(votes, labels) == pytest.approx((1.7, -0.6), abs=0.1)
+    assert toxicity.platt(votes[:5], labels[:5]) == (1.0, 0.0)
 
 
 def test_toxicity_finds_marked_words(spark):
@@ -155,61 +174,73 @@ def test_toxicity_finds_marked_words(spark):
 
 
 def test_toxicity_learns_rare_words(spark):
-    """Words of at most eight toxic texts each: none reaches a z-score of 5."""
+    """Words of at most eight toxic texts each."""
     rng, vile = np.random.default_rng(5), ["grubzok", "flimquat", "wexmoddy", "hapjurnt", "zyglosk", "brovixen"]
     plain = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(300)]
     rows = [(k, " ".join([plain[x] for x in rng.integers(0, 300, 20)] + ([vile[k // 10 % 6]] if k % 10 == 0 else []))) for k in range(480)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id long, toxic int")
-    index = toxicity.fit(docs, marks)
-    got = toxicity.score(docs, index).toPandas()
+    got = toxicity.score(docs, toxicity.fit(docs, marks)).toPandas()
     held = got[got.held_out]
-    assert index.z.max() < 5 and held[held.doc_id % 10 == 0].predicted.mean() > 0.7 and held[held.doc_id % 10 != 0].predicted.mean() < 0.1
+    assert held[held.doc_id % 10 == 0].predicted.mean() > 0.7 and held[held.doc_id % 10 != 0].predicted.mean() < 0.1
+    for r in held.itertuples():
+        assert all(0 < e["cosine"] <= 1 and e["n"] >= e["toxic"] for e in r.evidence) and [e["cosine"] for e in r.evidence] == sorted((e["cosine"] for e in r.evidence), reverse=True)
+        assert all(zlib.crc32(e["id"].encode()) % 4 != 2 for e in r.evidence)
 
 
 def test_toxicity_scores_are_those_of_all_terms(spark, documents):
-    """Every score against sums over every term as a string."""
+    """The whole query against sums over every term as a string."""
 
     def terms(text):
-        out = Counter()
-        for w in re.findall(r"\S+", toxicity.normal(text or "")):
-            w = f" {w} "
-            out.update([w[k : k + n] for n in (4, 5, 6) for k in range(len(w) - n + 1)] + [w] * (len(w) not in (4, 5, 6)))
-        return out
+        return Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
 
+    assert not any(len(w) > toxicity.LONG_RUN or max(w) >= chr(toxicity.UNSPACED) for t in documents.text.dropna() for w in terms(t))
     docs, labels = common.table(spark, TESTDATA, "documents"), common.table(spark, TESTDATA, "labels")
-    got = toxicity.score(docs, toxicity.fit(docs, labels)).toPandas().set_index("doc_id").score
-    sample = [(r["label"], terms(r["text"])) for r in toxicity.examples(docs, labels).collect()]
-    n, base = len(sample), sum(y for y, _ in sample) / len(sample)
-    df, toxic = Counter(t for _, c in sample for t in c), Counter(t for y, c in sample if y for t in c)
+    index = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op10_toxicity"](spark, TESTDATA).collect()}
+    assert len(got) == len(documents)
+    sample = [(r["id"], r["label"], terms(r["text"])) for r in toxicity.examples(docs, labels).collect()]
+    n, base = len(sample), sum(y for _, y, _ in sample) / len(sample)
+    df, toxic = Counter(t for _, _, c in sample for t in c), Counter(t for _, y, c in sample if y for t in c)
     z = {t: (toxic[t] - df[t] * base) / math.sqrt(df[t] * base * (1 - base) + 1) for t in df}
-    idf = {t: (math.log((1 + n) / (1 + df[t])) + 1) * ((max(z[t], 0) / 5) ** 3 + 1e-3) for t in df}
+    weight = {t: (math.log((1 + n) / (1 + df[t])) + 1) * (1 + max(z[t] - 1, 0) ** 3) for t in df}
 
     def vector(counts):
-        v = {t: (1 + math.log(k)) * idf[t] for t, k in counts.items() if t in idf}
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in counts.items() if t in weight}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / size for t, x in v.items()}
 
     entries = {}
-    for y, c in sample:
+    for _, y, c in sample:
         e = entries.setdefault(frozenset(c.items()), [vector(c), 0, 0])
         e[1], e[2] = e[1] + 1, e[2] + y
-    for i, text in list(zip(documents.doc_id, documents.text, strict=True))[:40]:
+    for i, text in zip(documents.doc_id, documents.text, strict=True):
         q = vector(terms(text))
-        sims = [(sum(x * e[0].get(t, 0) for t, x in q.items()), e[1], e[2]) for e in entries.values() if e[0]]
+        sims = [(sum(x * e[0].get(t, 0) for t, x in q.items()), e[1], e[2]) for e in entries.values()]
         least = sorted(s for s, _, _ in sims)[-toxicity.NEIGHBOURS]
         near = [(1 / (1.05 - min(s, 1)), k, y) for s, k, y in sims if s > 0 and s >= least - 1e-6]
-        if q:
-            assert got[i] == pytest.approx((sum(w * y for w, _, y in near) + 0.5 * base) / (sum(w * k for w, k, _ in near) + 0.5), abs=1e-4), i
+        vote = (sum(w * y for w, _, y in near) + 0.5 * base) / (sum(w * k for w, k, _ in near) + 0.5)
+        want = 1 / (1 + math.exp(-(index.slope * math.log(vote / (1 - vote)) + index.shift)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-3), i
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
 
 
 def test_toxicity_learns_from_whole_runs_of_letters():
-    """Parts behind letter 64 of a run are terms, as is the whole run."""
+    """Every part of a long run, or of a run of a script without blanks, is a term, as is the whole run; pieces of a text count as one."""
     run = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 90)))
-    terms = set(toxicity.terms_of(run)[0].tolist())
-    clean, keys, start, end = toxicity.windows(run)
-    found = {clean[a:b] for k, a, b in zip(keys.tolist(), start.tolist(), end.tolist(), strict=True) if k in terms}
-    assert found == {f" {run} "} | {f" {run} "[k : k + n] for n in (4, 5, 6) for k in range(93 - n)}
+    for text, parts in ((run, True), ("日本語日本語日", True), ("plainword", False)):
+        terms = set(toxicity.terms_of(text)[0].tolist())
+        keys, start, end = toxicity.runs(text)
+        found = {text[a:b] for k, a, b in zip(keys.tolist(), start.tolist(), end.tolist(), strict=True) if k in terms}
+        assert found == {text} | ({text[k : k + 3] for k in range(len(text) - 2)} if parts else set())
+
+
+def test_toxicity_terms_of_pieces(monkeypatch):
+    text = "one two three one 日本語 " * 40 + run_ if (run_ := "x" * 70) else ""
+    whole = toxicity.terms_of(text)
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 50)
+    cut = toxicity.terms_of(text)
+    assert len(list(toxicity.pieces(text))) > 5 and all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
 def test_pieces_on_the_table(spark, documents):
