@@ -36,7 +36,8 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -305,46 +306,63 @@ def platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else (1.0, 0.0)
 
 
-def build(rows: list[dict]) -> Index:
-    """The index of rows (id, label, alike, terms, counts)."""
-    first: dict[int, int] = {}
-    for r in rows:
-        first.setdefault(r["alike"], len(first))
-    entry_of = np.array([first[r["alike"]] for r in rows], np.int64)
-    label = np.array([r["label"] for r in rows], float)
-    n, toxic = np.bincount(entry_of, minlength=len(first)).astype(float), np.bincount(entry_of, weights=label, minlength=len(first))
-    one = {e: r for e, r in zip(entry_of[::-1].tolist(), rows[::-1], strict=True)}
-    held = [one[e] for e in range(len(first))]
-    base = float(label.mean()) if len(rows) else 0.0
-    terms = [np.frombuffer(r["terms"], np.uint64) for r in held]
-    counts = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["counts"], np.int32) for r in held]])
-    entry = np.repeat(np.arange(len(held)), [len(t) for t in terms])
-    keys, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
-    df, bad = np.bincount(term, weights=n[entry], minlength=len(keys)), np.bincount(term, weights=toxic[entry], minlength=len(keys))
+def count_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, examples, toxic examples) of every term, in order of hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()]
+            keys, at = np.unique(np.concatenate(own), return_inverse=True)
+            label = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in own])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int32)), pa.array(np.bincount(at, weights=label, minlength=len(keys)).astype(np.int32))], ["term", "n", "toxic"])
+
+    counted = rows.select("label", "terms").mapInArrow(count, "term long, n int, toxic int")
+    found = counted.groupBy("term").agg(F.sum("n").cast("int").alias("n"), F.sum("toxic").cast("int").alias("toxic")).toArrow()
+    keys, n, toxic = (found.column(k).to_numpy() for k in range(3))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order], toxic[order]
+
+
+def build(rows: Iterable, postings: int, keys: np.ndarray, df: np.ndarray, bad: np.ndarray, examples: int, toxic_examples: int) -> Index:
+    """The index of rows (id, label, alike, terms, counts), which are looked at one by one; postings: terms of all rows, at least."""
+    base = toxic_examples / max(examples, 1)
     z = (bad - df * base) / np.sqrt(df * (base * (1 - base)) + 1)
-    weight = ((np.log((1 + len(rows)) / (1 + df)) + 1) * (1 + np.maximum(z - 1, 0) ** 3)).astype(np.float32)
-    distinct, times = np.unique(counts, return_inverse=True)
-    tf = (1 + np.log(np.maximum(distinct, 1))).astype(np.float32)
-    value = tf[times] * weight[term]
-    norm = np.sqrt(np.bincount(entry, weights=value.astype(float) ** 2, minlength=len(held)))
-    norm[norm == 0] = 1.0
-    # alike entries side by side: those with the same heaviest term of the frequent ones, then of all
+    weight = ((np.log((1 + examples) / (1 + df)) + 1) * (1 + np.maximum(z - 1, 0) ** 3)).astype(np.float32)
     often = np.zeros(len(keys), bool)
     often[np.argsort(-df, kind="stable")[:HEAD]] = True
-
-    def heaviest(v: np.ndarray) -> np.ndarray:
-        order, out = np.lexsort((v, entry)), np.full(len(held), -1)
-        out[entry[order]] = term[order]  # the last one of each entry stays
-        return out
-
-    place = np.empty(len(held), np.int64)
-    place[np.lexsort((heaviest(value), heaviest(np.where(often[term], value, 0))))] = np.arange(len(held))
-    order = np.lexsort((place[entry], term))
+    term, times, size = np.zeros(postings, np.int32), np.zeros(postings, np.int32), 0
+    first: dict[int, int] = {}
+    tf: dict[int, int] = {}
+    ids: list[str] = []
+    n, toxic, norm, of, kind = [], [], [], [], []
+    for r in rows:
+        e = first.setdefault(r["alike"], len(first))
+        if e < len(n):
+            n[e], toxic[e], ids[e] = n[e] + 1, toxic[e] + r["label"], min(ids[e], str(r["id"]))
+            continue
+        own, counts = np.searchsorted(keys, np.frombuffer(r["terms"], np.uint64)), np.frombuffer(r["counts"], np.int32)
+        distinct, at = np.unique(counts, return_inverse=True)
+        term[size : size + len(own)] = own
+        times[size : size + len(own)] = np.array([tf.setdefault(c, len(tf)) for c in distinct.tolist()], np.int32)[at]
+        size += len(own)
+        value = (1 + np.log(counts)) * weight[own]
+        n.append(1)
+        toxic.append(r["label"])
+        ids.append(str(r["id"]))
+        norm.append(math.sqrt(float((value * value).sum())) or 1.0)
+        of.append(len(own))
+        # alike entries lie side by side: those with the same heaviest term of the frequent ones, then of all
+        kind.append((int(own[np.argmax(value * often[own])]), int(own[np.argmax(value)])) if len(own) else (-1, -1))
+    order = np.lexsort((np.array(ids), *np.array(kind, np.int64).reshape(-1, 2).T[::-1]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     small = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
-    back = np.argsort(place)
+    entry = small(np.repeat(place, of))
+    by_term = np.argsort(term[:size].astype(np.int64) * max(1, len(order)) + entry)
+    alike = np.array(list(first), np.int64)
     return Index(
-        keys, weight, np.r_[0, np.cumsum(np.bincount(term, minlength=len(keys)))].astype(np.int64), small(place[entry][order]), small(times[order]), tf,
-        norm[back].astype(np.float32), n[back], toxic[back], np.array([held[e]["alike"] for e in back.tolist()], np.int64), [str(held[e]["id"]) for e in back.tolist()], base,
+        keys, weight, np.r_[0, np.cumsum(np.bincount(term[:size], minlength=len(keys)))].astype(np.int64), entry[by_term], small(times[:size])[by_term],
+        (1 + np.log(np.array(list(tf), float))).astype(np.float32), np.array(norm, np.float32)[order], np.array(n, float)[order], np.array(toxic, float)[order], alike[order], [ids[e] for e in order.tolist()], base,
     )
 
 
@@ -378,9 +396,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     total = np.cumsum([n for _, n in sizes])
     if len(sizes) and total[-1] > MAX_POSTINGS:
         rows = rows.where(F.col("order") < sizes[int(np.searchsorted(total, MAX_POSTINGS, "right"))][0])
-    held = rows.select("id", "label", "order", "alike", "terms", "counts").toArrow()
-    index = build(sorted(held.to_pylist(), key=lambda r: (r["order"], str(r["id"]))))
-    del held
+    told = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    index = build(rows.select("id", "label", "alike", "terms", "counts").toLocalIterator(), told[2], *count_terms(rows), told[0], told[1])
     judged = left_out(spark.sparkContext.broadcast(index), rows.where(F.pmod("order", F.lit(CALIBRATED)) == 0)).collect()
     index.slope, index.shift = platt(np.array([r["vote"] for r in judged]), np.array([r["label"] for r in judged], float))
     return index

@@ -133,13 +133,17 @@ def test_neighbours_are_the_exact_ones(monkeypatch, head):
     topics = [rng.integers(0, 400, 30) for _ in range(12)]
     draw = lambda: Counter(int(k) for k in rng.choice(topics[int(rng.integers(12))], 12)) + Counter({int(rng.integers(400)): 1})
     rows = [example(k, int(k % 7 == 0), draw()) for k in range(600)]
-    index = toxicity.build(rows + [example(600, 1, {})])
+    rows.append(example(600, 1, {}))
+    keys = np.unique(np.concatenate([np.frombuffer(r["terms"], np.uint64) for r in rows]))
+    df = sum(np.isin(keys, np.frombuffer(r["terms"], np.uint64)).astype(int) for r in rows)
+    bad = sum(np.isin(keys, np.frombuffer(r["terms"], np.uint64)) * r["label"] for r in rows)
+    index = toxicity.build(rows, 20_000, keys, df, bad, 601, sum(r["label"] for r in rows))
     dense = np.zeros((len(index.norm), len(index.keys)))
     for t in range(len(index.keys)):
         own = slice(index.start[t], index.start[t + 1])
         dense[index.entry[own], t] = index.tf[index.times[own]] * index.weight[t]
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-30)
-    assert index.n.sum() == 601 and index.toxic.sum() == sum(r["label"] for r in rows) + 1
+    assert index.n.sum() == 601 and index.toxic.sum() == sum(r["label"] for r in rows)
     queries = [index.known(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)])) for c in (draw() for _ in range(80))]
     for (terms, w), (sims, entries) in zip(queries, index.nearest(queries), strict=True):
         want = dense[:, terms] @ w
