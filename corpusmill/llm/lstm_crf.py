@@ -159,33 +159,61 @@ class LstmCrf:
             np.multiply(s[:, 2 * h : 3 * h], top, out=state)
         return out
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x: (time, windows). The windows whose best path has any tag but 0, and those paths (time, such windows).
-
-        In a window where no tag beats tag 0 by as much as transitions could
-        ever give it, the path of zeros is the best one; that is certain, so
-        only the other windows go through Viterbi's algorithm.
-        """
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """x: (time, windows). The score of each tag (time, windows, tags)."""
         h, f = self.hidden, self.fast
         e = self._read(x, 0) @ f["emit"][:h]
         e += self._read(x, 1) @ f["emit"][h:]
         e += f["bias"]
-        move = f["move"]
-        gain = float((move - move[0, 0]).max())
-        lead = e[:, :, 1:].max(2) - e[:, :, 0]
-        open_ = np.flatnonzero(lead.max(0) + 2 * max(gain, 0.0) > 0)
-        if not len(open_):
-            return open_, np.zeros((len(x), 0), np.int8)
-        e = e[:, open_]
-        best, come = e[0], np.zeros((*e.shape[:2], self.tags), np.int8)
-        for t in range(1, len(x)):
-            step = best[:, :, None] + move
-            come[t] = step.argmax(1)
-            best = step.max(1) + e[t]
-        path = np.zeros((len(x), len(open_)), np.int8)
-        path[-1] = best.argmax(1)
-        b = np.arange(len(open_))
-        for t in range(len(x) - 1, 0, -1):
-            path[t - 1] = come[t][b, path[t]]
-        marked = path.any(0)
-        return open_[marked], path[:, marked]
+        return e
+
+    def gain(self) -> tuple[np.ndarray, float]:
+        """Bounds of what transitions give a run of tags other than 0 over as many of tag 0: for each place, by tag, and for the run."""
+        m = self.fast["move"] - self.fast["move"][0, 0]
+        inside = m[1:, 1:].max(0)
+        return inside, float((m[0, 1:] - inside).max() + m[1:, 0].max())
+
+
+def best_path(e: np.ndarray, move: np.ndarray, length: int = 64) -> np.ndarray:
+    """The tags of the best path through scores e (positions, tags), before which stands tag 0.
+
+    The chain is cut into runs of a length. For all runs at once: the best
+    score from each tag before to each last tag of a run. One pass over the
+    runs finds their last tags, then all are walked at once.
+    """
+    n, k = e.shape
+    if not n:
+        return np.zeros(0, np.int8)
+    parts = -(-n // length)
+    rest = parts * length - n
+    never = np.float32(-1e9)
+    if rest:  # tag 0 behind the end changes nothing but by what leads to it, so it is free
+        e = np.concatenate([e, np.zeros((rest, k), e.dtype)])
+    e = e.reshape(parts, length, k).swapaxes(0, 1)
+    valid = np.ones((length, parts), bool)
+    valid[length - rest :, -1] = False
+    stay = np.where(np.eye(k, dtype=bool), np.float32(0), never)
+    step = lambda t: np.where(valid[t][:, None, None], move + e[t][:, None, :], stay)
+    whole = step(0)
+    for t in range(1, length):
+        whole = (whole[:, :, :, None] + step(t)[:, None]).max(2)
+    score = np.full((parts + 1, k), never, np.float64)
+    score[0, 0] = 0
+    for p in range(parts):
+        score[p + 1] = (score[p][:, None] + whole[p]).max(0)
+    last = np.zeros(parts + 1, np.int64)
+    last[-1] = int(score[-1].argmax())
+    for p in range(parts - 1, -1, -1):
+        last[p] = int((score[p] + whole[p][:, last[p + 1]]).argmax())
+    all_ = np.arange(parts)
+    best = step(0)[all_, last[:-1]]
+    come = np.zeros((length, parts, k), np.int8)
+    for t in range(1, length):
+        ways = best[:, :, None] + step(t)
+        come[t] = ways.argmax(1)
+        best = ways.max(1)
+    path = np.zeros((length, parts), np.int8)
+    path[-1] = last[1:]
+    for t in range(length - 1, 0, -1):
+        path[t - 1] = come[t][all_, path[t]]
+    return path.T.ravel()[:n]

@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, clashing names: every operator and every stage."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,8 +164,15 @@ def test_pii(docs, nothing):
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == docs.count() and got[4]["spans"] == [] == got[5]["spans"]
     assert [(s["kind"], s["start"], s["end"]) for s in got[14]["base"]] == [("email", 5, 13), ("phone", 14, 31)]
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs.where("doc_id in (4, 14)"), model).collect()}
-    assert clean == {4: "", 14: "mail [EMAIL] [PHONE]"}
+    redacted = pii.redact(docs, model)
+    assert redacted.columns == docs.columns
+    count = lambda df: Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    want = count(docs)
+    del want[(14, "mail a.b@c.de +1 (555) 123-4567")]
+    want[(14, "mail [EMAIL] [PHONE]")] = 1
+    assert count(redacted) == want
+    same = docs.sparkSession.createDataFrame([(1, "x a@b.de"), (1, "y c@d.de e"), (None, "f@g.de"), (None, None)], "doc_id long, text string")
+    assert count(pii.redact(same, model)) == Counter([(1, "x [EMAIL]"), (1, "y [EMAIL] e"), (None, "[EMAIL]"), (None, None)])
     assert pii.detect(nothing, model).count() == 0
     assert pii.detect(nothing, pii.fit(nothing)).count() == 0
 
