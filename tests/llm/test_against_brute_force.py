@@ -421,6 +421,40 @@ def test_sharding_rows_law(spark, documents):
     assert len(m) == len(documents) and all(zlib.crc32(t.encode()) == c and len(t.encode()) + 1 == s for t, c, s in zip(m.text, m.text_crc32, m["size"], strict=True))
 
 
+def test_sharding_order_on_the_table(spark, documents):
+    """Bins, curve, ranks and slots of the whole query, recomputed."""
+    from corpusmill.llm.sharding import hilbert
+
+    got = registry.QUERIES["op7_hilbert_sharding"](spark, TESTDATA).toPandas().set_index("doc_id")
+    d = documents.assign(size=[len(t.encode()) + 1 for t in documents.text])
+
+    def binned(v):
+        first = np.searchsorted(np.sort(v), v, "left")
+        return first * 32 // len(v)
+
+    cell = hilbert([binned(d[c].to_numpy().astype(str) if c != "size" else d[c].to_numpy()) for c in ("source", "lang", "size")], 5)
+    order = sorted(range(len(d)), key=lambda k: (cell[k], hashlib.md5(str(d.doc_id[k]).encode()).hexdigest()))
+    least, more = divmod(len(d), 16)
+    want = [(s, k) for s in range(16) for k in range(least + (s < more))]
+    for k, (shard, slot) in zip(order, want, strict=True):
+        r = got.loc[d.doc_id[k]]
+        assert (r["cell"], r["shard"], r["slot"]) == (cell[k], shard, slot)
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """A filter on any dimension leaves most files unread."""
+    from corpusmill.llm import sharding
+
+    rows = [(k, "x" * (1 + k * 7919 % 1000), f"l{k % 8}", f"s{k * 31 % 16:02d}") for k in range(4096)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.assign(df, 64).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "t", "lang", "source"]), on="doc_id")
+    for column, value in (("lang", "l3"), ("source", "s05")):
+        spans = got.groupby("shard")[column].agg(["min", "max"])
+        assert ((spans["min"] <= value) & (spans["max"] >= value)).mean() < 0.55, column
+    spans = got.groupby("shard")["size"].agg(["min", "max"])
+    assert ((spans["min"] <= 100) & (spans["max"] >= 50)).mean() < 0.55
+
+
 def test_hilbert_curve_is_a_walk():
     from corpusmill.llm.sharding import hilbert
 

@@ -109,7 +109,7 @@ def test_mixing(docs, nothing):
     assert mixing.mixture(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
-def test_sharding(docs, nothing, tmp_path):
+def test_sharding(docs, nothing, tmp_path, monkeypatch):
     rows = sharding.assign(docs).collect()
     n = len(rows)
     assert n == docs.count()
@@ -120,9 +120,15 @@ def test_sharding(docs, nothing, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert {r["size"] for r in rows if r["doc_id"] in (4, 5)} == {1}
     assert sharding.assign(nothing).count() == 0
-    once = docs.where("doc_id is not null and doc_id <> 2").select("doc_id", "text", "lang", "source")
-    sharding.write_shards(once, str(tmp_path / "shards"), 4)
-    assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == once.count()
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
+    assert back.columns == [*docs.columns, "slot_", "shard_"]
+    rows = lambda df: Counter(map(repr, df.select([F.col(f"`{c}`") for c in docs.columns]).collect()))
+    assert rows(back) == rows(docs)
+    same = docs.sparkSession.createDataFrame([(k % 2 or None, "t", "en", "a") for k in range(50)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(sharding, "SPLIT", 3)
+    found = Counter(r["shard"] for r in sharding.assign(same, 4).collect())
+    assert found == {0: 13, 1: 13, 2: 12, 3: 12}
 
 
 def test_langid(docs, nothing):
