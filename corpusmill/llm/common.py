@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +38,29 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """The same for what is run inside; settings are as before afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    text_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
-    place = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, as spark.checkpoint.dir names it; one of our own only where none is set and Spark runs in one process."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if place is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            place = tempfile.mkdtemp(prefix="corpusmill-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="corpusmill-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(place)
-    return spark.conf.get("spark.checkpoint.dir", None) or place
+    return place
 
 
 _made: list[str] = []

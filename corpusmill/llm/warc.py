@@ -1,20 +1,25 @@
 """WARC archives with segment reassembly.
 
 Records are written by Spark's own writer, so that a lost executor leaves no
-half of a file behind: one gzip file of WARC records for each partition, in
-the folder that all executors share. Long records are cut into a first
-segment and continuation records. A reader takes files whole, puts the
-segments of a record together as far as they lie in the same file, groups the
-rest by origin identifier, orders by segment number, verifies the total
-length, and decodes the chunked transfer framing of the payload.
+half of a file behind: gzip files of WARC records, each of which begins with a
+``warcinfo`` record, in the folder that all executors share. Long records are
+cut into a first segment and continuation records. A reader takes files whole,
+puts the segments of a record together as far as they lie in the same file,
+groups the rest by origin identifier, orders by segment number, verifies the
+total length and the digest, and decodes the chunked transfer framing.
+
+``read_records`` reads archives of any writer: several gzip members a file or
+none, header lines without blanks or folded, records of other types.
 
 Defined results
 * null html: the empty payload; empty payloads are equal like any others
 * null url: an empty target; null page_id: its record is always a response
-* rows with the same page_id and payload: one outcome, a row each
+* rows with the same page_id and payload: one outcome, a row each; their
+  records have identifiers of their own, and revisits refer to one of them
 * ties between equal payloads: the smallest page_id is the response
 * very long payloads: as many segments as it takes
-* a record whose segments are missing or whose length is wrong: an error
+* a record whose segments are missing, or whose length, digest or framing is
+  wrong, and an archive that is none: a row with an error and without a payload
 * empty table: no archive file with records, empty result
 * extra or clashing columns: not looked at
 """
@@ -25,6 +30,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,39 +93,51 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, own: str, segment_bytes: int) -> list[bytes]:
-    """The records of a page without the blank lines behind them. own: makes the identifier unique."""
+def identifier(page_id: int | None, digest: str, number: object = None, segment: int | None = None) -> str:
+    """Of a record of a page; number: of a row whose page_id and payload another row has, too."""
+    return f"<urn:page:{page_id}:{digest}{'' if number is None else f':{number}'}{'' if segment is None else f'#{segment}'}>"
+
+
+def warcinfo(own: str) -> bytes:
+    """The record that each file begins with."""
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:warcinfo:{own}>"), ("WARC-Date", STAMP), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
+
+def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, number: object, segment_bytes: int) -> list[bytes]:
+    """The records of a page without the blank lines behind them."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     digest = base32_sha1(payload)
-    name = f"<urn:page:{page_id}:{digest}:{own}>"
+    name = identifier(page_id, digest, number)
     target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "")
     fields: list[tuple[str, object]] = [("WARC-Record-ID", name), ("WARC-Date", STAMP), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [_record([("WARC-Type", "revisit"), *fields, profile, ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>")], b"HTTP/1.1 200 OK\r\n\r\n")]
+        return [_record([("WARC-Type", "revisit"), *fields, profile, ("WARC-Refers-To", identifier(refers_to, digest))], b"HTTP/1.1 200 OK\r\n\r\n")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = segments(block, segment_bytes)
     if len(parts) == 1:
         return [_record([("WARC-Type", "response"), *fields], block)]
     out = [_record([("WARC-Type", "response"), *fields, ("WARC-Segment-Number", 1)], parts[0])]
     for k, part in enumerate(parts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{digest}:{own}.{k}>"), ("WARC-Date", STAMP), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k)]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", identifier(page_id, digest, number, k)), ("WARC-Date", STAMP), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k)]
         out.append(_record(more + [("WARC-Segment-Total-Length", len(block))] * (k == len(parts)), part))
     return out
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, key, refers_to) of the pages whose payload a page with a smaller id has; key: SHA-256 of the payload."""
-    keyed = common.stored(pages.where("page_id is not null").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("key")), "payloads")
-    first = common.stored(keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    return keyed.join(first, "key").where("page_id <> refers_to").distinct()
+def known_payloads(rows: DataFrame) -> DataFrame:
+    """(page_id, key, refers_to, first) of pages that revisit another one, or that several rows have; first: the number of the row whose record has the plain identifier. rows: (u, page_id, key)."""
+    pages = common.stored(rows.groupBy("page_id", "key").agg(F.min("u").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
+    first = common.stored(pages.where("page_id is not null").groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("pages")).where("pages > 1").drop("pages"), "first")
+    both = pages.join(first, "key", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to")))
+    return both.where("refers_to is not null or n > 1").select("page_id", "key", "refers_to", "first")
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write a record for each row of pages (page_id, url, html) below path."""
-    known = common.stored(revisits(pages), "revisits")
-    keyed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("key"))
-    rows = keyed.join(known, ["page_id", "key"], "left").select("page_id", "url", "html", "refers_to")
+    keyed = common.stored(pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("key"), F.monotonically_increasing_id().alias("u")), "pages")
+    known = common.stored(known_payloads(keyed.select("u", "page_id", "key")), "known").toDF("_page", "_key", "refers_to", "first")
+    rows = keyed.join(known, keyed["page_id"].eqNullSafe(known["_page"]) & (keyed["key"] == known["_key"]), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to", F.when(F.col("u") != F.col("first"), F.col("u")).alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,101 +145,153 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[bytes] = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n += 1
-                out += records(page_id, url, html, refers_to, f"{part}-{n}", segment_bytes)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in records(*row, segment_bytes):
+                    if n % FILE_RECORDS == 0:  # the writer begins a file here
+                        out.append(warcinfo(f"{part}-{n}"))
+                        n += 1
+                    out.append(r)
+                    n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
     rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def plain(data: bytes) -> bytes:
+    """The archive without its gzip members, if it has any."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def header(lines: list[str]) -> dict[str, str]:
+    """Fields by name in lower case; a line that begins with a blank goes on with the field before."""
+    fields: dict[str, str] = {}
+    last = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of an archive, in order."""
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
+    while True:
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(data):
+            return
+        end = data.find(b"\r\n\r\n", at)
+        if data[at : at + 5] != b"WARC/" or end < 0:
             raise ValueError("not at the beginning of a record")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+        fields = header(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
         at = end + 4
-        n = int(fields["content-length"])
-        if len(data) - at < n:
+        size = fields.get("content-length", "")
+        if not size.isdecimal() or len(data) - at < int(size):
             raise ValueError("the archive ends inside a record")
-        yield fields, data[at : at + n]
-        at += n + 4
+        yield fields, data[at : at + int(size)]
+        at += int(size)
+
 
+#: What is read of a record; its segment's fields and block where others of its segments lie elsewhere.
+_FIELDS = [("record_id", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("error", pa.string())]
+_ROW = pa.schema([*_FIELDS, ("origin", pa.string()), ("number", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_WHOLE = "record_id string, kind string, target string, refers string, payload_bytes long, digest string, error string"
 
-def _whole(fields: dict[str, str], block: bytes) -> dict[str, object]:
+
+def whole(fields: dict[str, str], block: bytes, error: str | None = None) -> dict[str, object]:
     """A row of a whole record."""
-    head, _, framed = block.partition(b"\r\n\r\n")
-    body = dechunked(framed) if b"transfer-encoding: chunked" in head.lower() else framed
-    page, digest = re.match(r"<urn:page:(.*?):(.*?):", fields["warc-record-id"]).groups()  # type: ignore[union-attr]
-    row = {"page_id": None if page == "None" else int(page), "kind": fields["warc-type"], "name": f"<urn:page:{page}:{digest}>", "refers": fields.get("warc-refers-to")}
-    if row["kind"] == "response":
-        if (found := base32_sha1(body)) != fields["warc-payload-digest"].removeprefix("sha1:"):
-            raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
-        row |= {"payload_bytes": len(body), "digest": found}
-    return row
-
-
-def _joined(parts: dict[int, tuple[dict[str, str], bytes]]) -> dict[str, object]:
+    row: dict[str, object] = {"record_id": fields.get("warc-record-id"), "kind": fields.get("warc-type"), "target": fields.get("warc-target-uri"), "refers": fields.get("warc-refers-to"), "payload_bytes": None, "digest": None, "error": error}
+    if error or row["kind"] not in ("response", "resource"):
+        return row
+    body = block
+    try:
+        if fields.get("content-type", "").startswith("application/http"):
+            head, _, body = block.partition(b"\r\n\r\n")
+            if "chunked" in header(head.decode("utf-8", "replace").split("\r\n")[1:]).get("transfer-encoding", "").lower():
+                body = dechunked(body)
+    except ValueError as e:
+        return row | {"error": f"framing: {e}"}
+    found, told = base32_sha1(body), fields.get("warc-payload-digest", "")
+    if told.startswith("sha1:") and found != told[5:].upper():
+        return row | {"error": "the payload does not have its digest"}
+    return row | {"payload_bytes": len(body), "digest": found}
+
+
+def joined(parts: dict[int, tuple[dict[str, str], bytes]]) -> dict[str, object]:
     """A row of a record from its segments by number."""
+    total = parts[max(parts)][0].get("warc-segment-total-length", "")
+    first = parts.get(1, parts[min(parts)])[0]
     block = b"".join(parts[k][1] for k in sorted(parts))
-    total = int(parts[max(parts)][0]["warc-segment-total-length"])
-    if total != len(block) or sorted(parts) != [*range(1, len(parts) + 1)]:
-        raise ValueError(f"{parts[min(parts)][0]}: segments are missing or their length is not the total")
-    return _whole(parts[1][0], block)
-
-
-_ROW = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
-_KIND = "page_id long, kind string, name string, refers string, payload_bytes long, digest string, origin string, number int, fields map<string,string>, block binary"
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each page in the archives below path."""
+    if sorted(parts) != [*range(1, len(parts) + 1)] or total != str(len(block)):
+        return whole(first, b"", "segments are missing or their length is not the total")
+    return whole(first, block)
+
+
+def read_file(content: bytes) -> Iterator[dict[str, object]]:
+    """Rows of the records of an archive; segments of records that are not whole as such."""
+    open_: dict[str, dict[int, tuple[dict[str, str], bytes]]] = {}
+    try:
+        for fields, block in parse(plain(content)):
+            number = fields.get("warc-segment-number", "")
+            if not number.isdecimal():
+                yield whole(fields, block)
+                continue
+            origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")
+            parts = open_.setdefault(origin, {})
+            parts[int(number)] = (fields, block)
+            if "warc-segment-total-length" in parts[max(parts)][0] and max(parts) == len(parts):
+                yield joined(open_.pop(origin))
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        yield whole({}, b"", f"archive: {e}")
+    for origin, parts in open_.items():
+        for k, (f, b) in parts.items():
+            yield {"origin": origin, "number": k, "fields": list(f.items()), "block": b}
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, kind, target, refers, payload_bytes, digest, error of each record in the archives below path, whoever wrote them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[dict] = []
-                open_: dict[str, dict[int, tuple[dict[str, str], bytes]]] = {}
-                for fields, block in parse(gzip.decompress(content.as_py())):
-                    if "warc-segment-number" not in fields:
-                        rows.append(_whole(fields, block))
-                        continue
-                    origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                    parts = open_.setdefault(origin, {})
-                    parts[int(fields["warc-segment-number"])] = (fields, block)
-                    if "warc-segment-total-length" in parts[max(parts)][0] and max(parts) == len(parts):
-                        rows.append(_joined(open_.pop(origin)))
-                for origin, parts in open_.items():
-                    rows += [{"origin": origin, "number": k, "fields": list(f.items()), "block": b} for k, (f, b) in parts.items()]
-                for k in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 5000], _ROW)
+                for row in read_file(content.as_py()):
+                    rows.append(row)
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_pylist(rows, _ROW)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, _ROW)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {int(n): (dict(f), bytes(b)) for n, f, b in zip(pdf["number"], pdf["fields"], pdf["block"], strict=True)}
-        return pd.DataFrame([_joined(parts)])[["page_id", "kind", "name", "payload_bytes", "digest"]]
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a batch is a file
-    found = common.stored(files.mapInArrow(run, _KIND), "records")
-    common.text_batches(spark)
-    rest = found.where("origin is not null").groupBy("origin").applyInPandas(gather, "page_id long, kind string, name string, payload_bytes long, digest string")
-    columns = ["page_id", "kind", "name", "refers", "payload_bytes", "digest"]
-    rows = common.stored(found.where("origin is null").select(columns).unionByName(rest, allowMissingColumns=True), "whole")
-    full = common.stored(rows.where("kind = 'response'").select(F.col("name").alias("refers"), F.col("payload_bytes").alias("b"), F.col("digest").alias("d"), F.col("page_id").alias("refers_to")).distinct(), "responses")
+        return pd.DataFrame([joined(parts)]).astype({"payload_bytes": "Int64"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path).where("length > 0").select("content")
+    with common.batches(spark, 1):  # a batch is a file
+        found = common.stored(files.mapInArrow(run, f"{_WHOLE}, origin string, number int, fields map<string,string>, block binary"), "records")
+    rest = found.where("origin is not null").groupBy("origin").applyInPandas(gather, _WHOLE)
+    names = [n for n, _ in _FIELDS]
+    return common.stored(found.where("origin is null").select(names).unionByName(rest.select(names)), "whole")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, error of each page in the archives below path; page_id: out of identifiers that ``write_archives`` gives, else null."""
+    rows = read_records(spark, path).where("kind is null or kind in ('response', 'revisit', 'resource')")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:([0-9-]+):", 1).try_cast("long")
+    full = common.stored(rows.where("kind <> 'revisit'").select(F.col("record_id").alias("refers"), F.col("payload_bytes").alias("b"), F.col("digest").alias("d"), page("record_id").alias("refers_to")), "responses")
     return rows.join(full, "refers", "left").select(
-        "page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("digest", "d").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"
+        page("record_id").alias("page_id"), F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("digest", "d").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "error"
     )
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.text_batches(spark)
     path = common.scratch(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).drop("error")
 
 
 SQL = f"""

@@ -196,6 +196,45 @@ def test_warc(spark, tmp_path):
     assert got[7]["payload_bytes"] == 14
 
 
+def test_warc_identifiers(spark, tmp_path):
+    """All identifiers differ, those referred to are there, and every file begins with a warcinfo record."""
+    pages = [(k % 7, "u", f"{k % 3}" * 3000) for k in range(60)] + [(None, "u", "x")] * 2
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"), segment_bytes=900)
+    found = []
+    for f in (tmp_path / "w").glob("part-*"):
+        held = [x for x, _ in warc.parse(warc.plain(f.read_bytes()))]
+        assert not held or held[0]["warc-type"] == "warcinfo"
+        found += held
+    ids = [x["warc-record-id"] for x in found]
+    assert len(ids) == len(set(ids)) and {x["warc-refers-to"] for x in found if "warc-refers-to" in x} <= set(ids)
+    assert Counter(x["warc-type"] for x in found)["response"] + Counter(x["warc-type"] for x in found)["revisit"] == len(pages)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding:chunked\r\n\r\n3;x=y\r\nabc\r\n0\r\n\r\n"
+    record = lambda head, block: (f"WARC/1.0\r\n{head}\r\nContent-Length:{len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    good = [
+        record("WARC-Type:warcinfo\r\nWARC-Record-ID:<urn:uuid:0>", b"software: x\r\n"),
+        record("WARC-Type:request\r\nWARC-Record-ID:<urn:uuid:1>", b"GET / HTTP/1.1\r\n\r\n"),
+        record("WARC-Type:response\r\nWARC-Record-ID:<urn:uuid:2>\r\nContent-Type: application/http;\r\n msgtype=response\r\nWARC-Target-URI: http://a/", http),
+        record("WARC-Type:resource\r\nWARC-Record-ID:<urn:uuid:3>\r\nContent-Type: text/plain", b"plain"),
+        record("WARC-Type:response\r\nWARC-Record-ID:<urn:uuid:4>\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:AAAA", http),
+        record("WARC-Type:continuation\r\nWARC-Record-ID:<urn:uuid:5>\r\nWARC-Segment-Origin-ID:<urn:uuid:9>\r\nWARC-Segment-Number:2\r\nWARC-Segment-Total-Length: 9", b"late"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in good))
+    (tmp_path / "b.warc").write_bytes(b"".join(good[:4])[:-30])
+    (tmp_path / "c.warc").write_bytes(b"no archive")
+    rows = [r.asDict() for r in warc.read_records(spark, str(tmp_path)).collect()]
+    named = {r["record_id"]: r for r in rows if r["record_id"]}
+    assert (named["<urn:uuid:2>"]["payload_bytes"], named["<urn:uuid:2>"]["digest"], named["<urn:uuid:2>"]["target"]) == (3, warc.base32_sha1(b"abc"), "http://a/")
+    assert named["<urn:uuid:3>"]["payload_bytes"] == 5 and named["<urn:uuid:0>"]["error"] is None
+    assert "digest" in named["<urn:uuid:4>"]["error"] and "segments" in named["<urn:uuid:5>"]["error"] and named["<urn:uuid:4>"]["payload_bytes"] is None
+    assert sum((r["error"] or "").startswith("archive") for r in rows) == 2
+    assert warc.read_archives(spark, str(tmp_path)).where("page_id is not null").count() == 0
+
+
 def test_warc_segments_in_other_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 2)
     df = spark.createDataFrame([(k, "u", f"{k}" * 5000) for k in range(4)], "page_id long, url string, html string").coalesce(1)
