@@ -129,42 +129,42 @@ class LstmCrf:
     # -- reading --------------------------------------------------------------
 
     def ready(self) -> None:
-        """Single-precision copies whose gates need one tanh for all: a sigmoid is half a tanh of half its input."""
+        """Single-precision copies, a row for each gate, that need one tanh for all: a sigmoid is half a tanh of half its input."""
         h, p = self.hidden, self.params
         half = np.r_[np.full(3 * h, 0.5), np.ones(h)]
-        self.fast = {f"gates{d}": np.ascontiguousarray(p[f"gates{d}"] * half, np.float32) for d in (0, 1)}
-        self.fast |= {f"back{d}": np.ascontiguousarray(p[f"back{d}"] * half, np.float32) for d in (0, 1)}
-        self.fast |= {n: p[n].astype(np.float32) for n in ("emit", "bias", "move")}
+        self.fast = {f"{n}{d}": np.ascontiguousarray((p[f"{n}{d}"] * half).T, np.float32) for d in (0, 1) for n in ("gates", "back")}
+        self.fast |= {"emit": np.ascontiguousarray(p["emit"].T, np.float32), "bias": p["bias"].astype(np.float32), "move": p["move"].astype(np.float32)}
 
-    def _read(self, x: np.ndarray, d: int) -> np.ndarray:
+    def _read(self, x: np.ndarray, d: int, out: np.ndarray) -> None:
+        """Hidden states of one direction into out (time, hidden, windows)."""
         h, n = self.hidden, x.shape[1]
         gates, back = self.fast[f"gates{d}"], self.fast[f"back{d}"]
-        out = np.empty((len(x), n, h), np.float32)
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        a, s = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
-        kept, top = np.empty((n, h), np.float32), np.empty((n, h), np.float32)
+        state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        a, s = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
+        kept, top = np.empty((h, n), np.float32), np.empty((h, n), np.float32)
         for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
-            np.take(gates, x[t], axis=0, out=a, mode="clip")
-            np.matmul(state, back, out=s)
+            np.take(gates, x[t], axis=1, out=a, mode="clip")
+            np.matmul(back, state, out=s)
             s += a
             np.tanh(s, out=s)
-            gate = s[:, : 3 * h]
+            gate = s[: 3 * h]
             gate *= 0.5
             gate += 0.5
-            np.multiply(s[:, :h], s[:, 3 * h :], out=kept)
-            cell *= s[:, h : 2 * h]
+            np.multiply(s[:h], s[3 * h :], out=kept)
+            cell *= s[h : 2 * h]
             cell += kept
             np.tanh(cell, out=top)
             state = out[t]
-            np.multiply(s[:, 2 * h : 3 * h], top, out=state)
-        return out
+            np.multiply(s[2 * h : 3 * h], top, out=state)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x: (time, windows). The score of each tag (time, windows, tags)."""
-        h, f = self.hidden, self.fast
-        e = self._read(x, 0) @ f["emit"][:h]
-        e += self._read(x, 1) @ f["emit"][h:]
-        e += f["bias"]
+        """x: (time, windows). The score of each tag (time, tags, windows)."""
+        h = self.hidden
+        hs = np.empty((len(x), 2 * h, x.shape[1]), np.float32)
+        self._read(x, 0, hs[:, :h])
+        self._read(x, 1, hs[:, h:])
+        e = np.matmul(self.fast["emit"], hs)
+        e += self.fast["bias"][:, None]
         return e
 
     def gain(self) -> tuple[np.ndarray, float]:

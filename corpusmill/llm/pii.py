@@ -262,24 +262,34 @@ def tagged(model: LstmCrf, texts: list[str]) -> dict[int, list[tuple[str, int, i
     time, tags = np.arange(WINDOW)[:, None], model.tags
     rise = (np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP
 
+    whole = place + WINDOW <= end
+
     def read(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, scores, weight) of all positions in windows, in turns in which no place occurs twice."""
+        """(place, scores, weight) of windows in turns in which no place occurs twice; places behind a text are those behind all texts."""
         for k in range(0, len(windows), AT_ONCE):
-            own = windows[k : k + AT_ONCE]
-            at = place[own] + time
-            inside = at < end[own]
-            e = model.emissions(np.where(inside, flat[np.where(inside, at, 0)], PAD).astype(np.intp))
-            weight = np.ones((WINDOW, len(own)), np.float32)
-            weight[:OVERLAP, number[own] > 0] *= rise[:, None]
-            weight[-OVERLAP:, number[own] + 1 < count[text[own]]] *= 1 - rise[:, None]
             for half in (0, 1):
-                ok = inside & (number[own] % 2 == half)
-                yield at[ok], e[ok], weight[ok]
-
+                own = windows[k : k + AT_ONCE]
+                own = own[number[own] % 2 == half]
+                if not len(own):
+                    continue
+                at = place[own] + time
+                if not whole[own].all():
+                    at = np.where(at < end[own], at, len(flat))
+                weight = np.ones((WINDOW, len(own)), np.float32)
+                weight[:OVERLAP, number[own] > 0] *= rise[:, None]
+                weight[-OVERLAP:, number[own] + 1 < count[text[own]]] *= 1 - rise[:, None]
+                yield at, model.emissions(padded[at]), weight
+
+    padded = np.r_[flat, np.uint8(PAD)].astype(np.intp)
     gain, least = model.gain()
-    lead = np.zeros(len(flat), np.float32)
+    lead = np.zeros(len(flat) + 1, np.float32)
     for at, e, weight in read(np.arange(len(text))):
-        lead[at] += (e[:, 1:] - e[:, :1] + gain).max(1) * weight
+        most = e[:, 1] + gain[0]
+        for k in range(2, tags):
+            np.maximum(most, e[:, k] + gain[k - 1], out=most)
+        most -= e[:, 0]
+        lead[at] += most * weight
+    lead = lead[:-1]
     open_ = best_run(lead) + least > 0
     position = np.flatnonzero(open_)
     if not len(position):
@@ -287,10 +297,11 @@ def tagged(model: LstmCrf, texts: list[str]) -> dict[int, list[tuple[str, int, i
     mine = np.searchsorted(begin + size, position, "right")
     window = (np.cumsum(count) - count)[mine] + np.minimum((position - begin[mine]) // step, count[mine] - 1)
     shared = (number[window] > 0) & (position - place[window] < OVERLAP)
-    score, rank = np.zeros((len(position), tags), np.float32), np.cumsum(open_) - 1
+    score, rank = np.zeros((len(position), tags), np.float32), np.cumsum(open_) - 1  # rank of a place among the open ones
+    open_ = np.append(open_, False)
     for at, e, weight in read(np.union1d(window, window[shared] - 1)):
         ok = open_[at]
-        score[rank[at[ok]]] += e[ok] * weight[ok, None]
+        score[rank[at[ok]]] += e.swapaxes(1, 2)[ok] * weight[ok, None]
     # one chain of all runs of open positions, each behind a place that has tag 0 for certain
     apart = np.flatnonzero(np.r_[True, (np.diff(position) > 1) | np.isin(position[1:], begin)][: len(position)])
     certain = np.r_[np.float32(0), np.full(tags - 1, -1e6, np.float32)]
