@@ -9,9 +9,13 @@ has the least estimated cost, longer prefixes demanding more shared shingles.
 Where at most SMALL nodes share a prefix shingle, their pairs are counted and
 those that may share enough shingles are verified. Pairs that share none of
 these need m shingles of more nodes each: nodes that have so many form
-clusters, which are verified block against block inside workers, which return
-the edges of a spanning forest only, never all pairs. Nothing is capped: both
-ways together cover every pair that can be similar.
+clusters. Small clusters are one block that is verified inside a worker, which
+returns the edges of a spanning forest only, never all pairs. In large ones
+all nodes are compared with some pivots; most hang on one and are joined.
+Jaccard distances obey the triangle inequality, so a node apart from these can
+be similar only to nodes of pivots within twice the distance, and is compared
+with those; the nodes apart form the clusters of the next turn. Nothing is
+capped: all ways together cover every pair that can be similar.
 
 Defined results
 * null, empty and blank texts: no shingle, linked with nothing
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,8 +44,16 @@ from .shingles import mix, sets
 
 #: Nodes around a shingle up to which their pairs are counted one by one.
 SMALL = 16
-#: Nodes in a block of a cluster.
+#: Nodes in a block of a cluster; a cluster of more has pivots.
 BLOCK = 120
+#: Pivots of a cluster, and bytes of their sets, at most; bytes of the sets that are compared with them in one group; turns with pivots.
+PIVOTS = 64
+PIVOT_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
+TURNS = 6
+#: Documents by the sketch from which on a shingle counts as one of many nodes unseen, and parts that its postings are dealt to.
+HOT = 5_000
+HOT_PARTS = 64
 #: Shingles whose owners are compared at once.
 RANGE_SHINGLES = 400_000
 MAX_MATCHES = 8
@@ -119,7 +131,7 @@ def choose_prefix(excess: np.ndarray, n: int, percent: int) -> tuple[int, int]:
 
 
 def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
-    """doc_id, m, tokens: the prefix of each document as packed hashes."""
+    """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value.astype(np.float32)
@@ -128,11 +140,12 @@ def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) ->
         level = np.where(counts > bound, 1 + (4 * np.log2(np.maximum(counts, 1) / bound)).astype(np.int64), 0).astype(np.uint8)
         excess = np.where(counts > bound, counts - usual, 0)
         for batch in batches:
-            m, tokens = [], []
+            m, tokens, hot = [], [], []
             for u in sets(batch.column(1), words):
                 if not len(u):
                     m.append(0)
                     tokens.append(b"")
+                    hot.append(b"")
                     continue
                 at = (u >> np.uint64(64 - bits)).astype(np.int64)
                 lv = level[at]
@@ -142,24 +155,24 @@ def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) ->
                 k, size = choose_prefix(excess[at], len(u), percent)
                 m.append(k)
                 tokens.append(u[:size].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(m, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "m", "tokens"])
+                hot.append((counts[at[:size]] > HOT).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(m, pa.int32()), pa.array(tokens, pa.binary()), pa.array(hot, pa.binary())], ["doc_id", "m", "tokens", "hot"])
 
-    return source.mapInArrow(run, "doc_id long, m int, tokens binary")
+    return source.mapInArrow(run, "doc_id long, m int, tokens binary, hot binary")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """token, node, m: one row for each shingle of each prefix."""
+    """token, node, m, part: one row for each shingle of each prefix; part: from 1 on for shingles in very many documents, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(2).to_pylist()
+            tokens, hot = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             size = np.fromiter((len(t) // 8 for t in tokens), np.int64, len(tokens))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(tokens), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(batch.column(1).to_numpy(), size))],
-                ["token", "node", "m"],
-            )
+            node = np.repeat(batch.column(0).to_numpy(), size)
+            part = np.where(np.frombuffer(b"".join(hot), bool), 1 + mix(node.view(np.uint64)) % np.uint64(HOT_PARTS), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(tokens), np.int64)), pa.array(node), pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(part)], ["token", "node", "m", "part"])
 
-    return prefixes.mapInArrow(run, "token long, node long, m int")
+    return prefixes.mapInArrow(run, "token long, node long, m int, part int")
 
 
 def _meetings(postings: DataFrame) -> DataFrame:
@@ -188,7 +201,12 @@ def _meetings(postings: DataFrame) -> DataFrame:
                 yield rows(1, token[many], node[many], m[many])
 
         for batch in batches:
-            token, node, m = (batch.column(k).to_numpy() for k in range(3))
+            token, node, m, part = (batch.column(k).to_numpy() for k in range(4))
+            if part.any():
+                yield rows(1, token[part > 0], node[part > 0], m[part > 0])
+                token, node, m = token[part == 0], node[part == 0], m[part == 0]
+                if not len(token):
+                    continue
             if hot is not None:
                 n = int(np.searchsorted(token, hot, "right"))
                 if n:
@@ -209,7 +227,7 @@ def _meetings(postings: DataFrame) -> DataFrame:
                 yield from meet(token[:last], node[:last], m[:last])
         yield from meet(*held)
 
-    near = postings.repartition("token").sortWithinPartitions("token", "node")
+    near = postings.repartition("token", "part").sortWithinPartitions("token", "node")
     return near.mapInArrow(run, "kind int, a long, b long, m int")
 
 
@@ -321,10 +339,9 @@ def forest(node: np.ndarray, side: np.ndarray, grams: list[np.ndarray], percent:
     return edges
 
 
-def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of every two blocks of every cluster; members: (node, cluster, grams)."""
-    sizes = common.stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    blocks = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+def _in_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of every two blocks of every cluster; members: (node, cluster, grams), sizes: (cluster, size)."""
+    blocks = members.join(sizes.select("cluster", "size"), "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = blocks.select("cluster", "node", "own", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
@@ -336,6 +353,122 @@ def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def compare(grams: list[np.ndarray], pivots: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similar, near) of each set and pivot; near: within twice the distance, so that a set similar to the pivot may be similar to it."""
+    tokens, at = np.unique(np.concatenate(pivots), return_inverse=True)
+    has = np.zeros((len(tokens), len(pivots)), np.uint8)
+    has[at, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
+    both = np.zeros((len(grams), len(pivots)), np.int64)
+    for k, g in enumerate(grams):
+        found = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
+        both[k] = has[found[tokens[found] == g]].sum(0, dtype=np.int64)
+    union = np.array([len(g) for g in grams])[:, None] + np.array([len(p) for p in pivots]) - both
+    return 100 * both >= percent * union, 100 * both >= (2 * percent - 100) * union
+
+
+def main_component(pdf: pd.DataFrame) -> tuple[dict[int, int], set[int], list[tuple[int, int]]]:
+    """Of rows (what, x, y) of a cluster, what 0: pivot x is node y, 1: y nodes hang on pivot x, 2: a node is similar to pivots x and y.
+
+    Returns the node of each pivot, the pivots of the component with the most nodes, and the edges between pivots' nodes.
+    """
+    of = [list(zip(*(pdf.loc[pdf["what"] == w, c].tolist() for c in ("x", "y")), strict=True)) for w in (0, 1, 2)]
+    node, hang = dict(of[0]), dict(of[1])
+    root = {x: x for x in node}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in of[2]:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    total: dict[int, int] = {}
+    for x in node:
+        total[find(x)] = total.get(find(x), 0) + hang.get(x, 0)
+    best = min(total, key=lambda r: (-total[r], r))
+    return node, {x for x in node if find(x) == best}, [(node[x], node[y]) for x, y in of[2]]
+
+
+def _around_pivots(members: DataFrame, sizes: DataFrame, percent: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
+    """One turn over large clusters: edges (a, b), and the members that are left to be compared with each other."""
+    groups = sizes.withColumn("parts", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int")).select("cluster", "parts")
+    m = members.join(groups, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
+    first = Window.partitionBy("cluster").orderBy("draw", "node")
+    drawn = members.select("cluster", "node", F.xxhash64("node", F.lit(100 + turn)).alias("draw"), F.octet_length("grams").cast("long").alias("size")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
+    drawn = drawn.withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rank") == 1) | (F.col("upto") <= PIVOT_BYTES))
+    drawn = common.stored(drawn.select("cluster", "node", F.col("rank").cast("long").alias("rank")), "drawn")
+    pivots = common.stored(members.join(drawn, ["cluster", "node"]).join(groups, "cluster").select("cluster", "rank", "node", "grams", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "pivots")
+
+    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        similar, near = compare([np.frombuffer(g, np.uint64) for g in own["grams"]], [np.frombuffer(g, np.uint64) for g in drawn["grams"]], percent)
+        rank, node = drawn["rank"].to_numpy(), drawn["node"].to_numpy()
+        hangs = similar.any(1)
+        on = np.where(hangs, similar.argmax(1), 0)
+        return pd.DataFrame({
+            "cluster": own["cluster"], "node": own["node"], "pivot": np.where(hangs, rank[on], 0), "hub": np.where(hangs, node[on], 0),
+            "others": [rank[np.flatnonzero(s)[1:]].tolist() for s in similar], "near": [[] if h else rank[n].tolist() for n, h in zip(near, hangs, strict=True)],
+            "close": [rank[n].tolist() if h else [] for n, h in zip(near, hangs, strict=True)],
+        })
+
+    told = m.groupBy("cluster", "part").cogroup(pivots.groupBy("cluster", "part")).applyInPandas(run, "cluster long, node long, pivot long, hub long, others array<long>, near array<long>, close array<long>")
+    told = common.stored(told, "told")
+    hang = told.where("pivot > 0")
+    row = lambda df, what, x, y: df.select("cluster", F.lit(what).alias("what"), x.alias("x"), y.alias("y"))
+    facts = row(drawn, 0, F.col("rank"), F.col("node")).unionByName(row(hang.groupBy("cluster", "pivot").agg(F.count(F.lit(1)).alias("n")), 1, F.col("pivot"), F.col("n")))
+    facts = facts.unionByName(row(hang.select("cluster", "pivot", F.explode("others").alias("other")).distinct(), 2, F.col("pivot"), F.col("other")))
+
+    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        node, main, edges = main_component(pdf)
+        rows = [(key[0], x, x in main, None, None) for x in node] + [(key[0], 0, False, a, b) for a, b in edges]
+        return pd.DataFrame(rows, columns=["cluster", "pivot", "main", "a", "b"]).astype({"a": "Int64", "b": "Int64"})
+
+    judged = common.stored(facts.groupBy("cluster").applyInPandas(judge, "cluster long, pivot long, main boolean, a long, b long"), "judged")
+    main = judged.where("main").select("cluster", "pivot")
+    edges = [hang.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), judged.where("a is not null").select("a", "b")]
+    apart = common.stored(told.join(main, ["cluster", "pivot"], "left_anti").select("cluster", "node", F.concat("near", "close").alias("near")), "apart")
+    left = common.stored(members.join(apart.select("cluster", "node"), ["cluster", "node"]), "left")
+
+    # nodes apart against the nodes of every pivot of the main component that may have one similar to them
+    pairs = common.stored(apart.select("cluster", "node", F.explode("near").alias("pivot")).join(main, ["cluster", "pivot"], "left_semi"), "near")
+    wanted = pairs.select("cluster", "pivot").distinct()
+    held = hang.select("cluster", "node", "pivot").join(wanted, ["cluster", "pivot"], "left_semi")
+    count = lambda df, name: df.groupBy("cluster", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = common.stored(count(held, "in_i").join(count(pairs, "in_j"), ["cluster", "pivot"]), "dealt")
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        own, other = ("i", "j") if side == 0 else ("j", "i")
+        d = df.join(blocks, ["cluster", "pivot"]).withColumn(own, F.pmod(F.xxhash64("node", F.lit(7)), F.col(f"in_{own}")).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"in_{other}") - 1))).select("cluster", "pivot", "i", "j", F.lit(side).alias("side"), "node", "grams")
+
+    both = dealt(members.join(held, ["cluster", "node"]), 0).unionByName(dealt(left.join(pairs, ["cluster", "node"]), 1))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = forest(pdf["node"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], percent)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    edges.append(both.groupBy("cluster", "pivot", "i", "j").applyInPandas(verify, "a long, b long"))
+    return edges, left
+
+
+def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect what is similar in every cluster; members: (node, cluster, grams)."""
+    members = common.stored(members, "clusters")
+    edges: list[DataFrame] = []
+    for turn in range(TURNS + 1):
+        sizes = common.stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("grams").cast("long")).alias("bytes")).where("size > 1"), "sizes")
+        large = sizes.where(F.col("size") > BLOCK)
+        if turn == TURNS or large.isEmpty():
+            edges.append(_in_blocks(members, sizes, percent))
+            break
+        edges.append(_in_blocks(members, sizes.where(F.col("size") <= BLOCK), percent))
+        found, members = _around_pivots(members.join(large.select("cluster"), "cluster", "left_semi"), large, percent, turn)
+        edges += found
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: components of the pairs with 100 * intersection >= percent * union."""
     spark = docs.sparkSession

@@ -58,11 +58,11 @@ def test_near_on_the_table(spark, documents):
     assert got == want
 
 
-@pytest.mark.parametrize("small, block", [(1, 3), (2, 120), (16, 120)])
-def test_near_on_planted_copies(spark, monkeypatch, small, block):
-    """A base with edits of every size, whatever is counted pair by pair and whatever goes into blocks."""
-    monkeypatch.setattr(near_join, "SMALL", small)
-    monkeypatch.setattr(near_join, "BLOCK", block)
+@pytest.mark.parametrize("small, block, pivots, hot", [(1, 3, 2, 5000), (16, 120, 64, 5000), (4, 10, 1, 3)])
+def test_near_on_planted_copies(spark, monkeypatch, small, block, pivots, hot):
+    """A base with edits of every size, whatever is counted pair by pair, goes into blocks or around pivots, and is common unseen."""
+    for name, value in (("SMALL", small), ("BLOCK", block), ("PIVOTS", pivots), ("HOT", hot), ("GROUP_BYTES", 20_000)):
+        monkeypatch.setattr(near_join, name, value)
     rng = np.random.default_rng(5)
     texts = {}
     for g in range(3):
@@ -80,6 +80,33 @@ def test_near_on_planted_copies(spark, monkeypatch, small, block):
         assert got == components(texts, words, percent)
 
 
+def test_near_cluster_grows_in_proportion(spark):
+    """Near copies of one text: what is dealt in blocks and around pivots grows with the cluster, not with its square."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+
+    def dealt(n):
+        seen = []
+        make = near_join._in_blocks
+        near_join._in_blocks = lambda members, sizes, percent: (seen.append(members.join(sizes, "cluster").select((near_join.F.ceil(near_join.F.col("size") / near_join.BLOCK)).alias("k")).agg(near_join.F.sum("k")).first()[0] or 0), make(members, sizes, percent))[1]
+        try:
+            rows = []
+            for k in range(n):
+                w = list(base)
+                for at in rng.integers(0, 120, int(rng.integers(0, 3))):
+                    w[at] = f"e{rng.integers(0, 99999)}"
+                rows.append((k, " ".join(w)))
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            got = near_join.near_groups(df, 4, 85).select("component_id").distinct().count()
+        finally:
+            near_join._in_blocks = make
+        return sum(seen), got
+
+    small, one = dealt(800)
+    large, other = dealt(3200)
+    assert one == other == 1 and large <= 6 * max(small, 20), (small, large)
+
+
 def test_prefixes_never_lose_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -348,7 +375,7 @@ def test_tags_are_those_of_the_whole_text(monkeypatch):
                 x = np.full((20, 1), lstm_crf.PAD)
                 part = text[at : at + 20]
                 x[: len(part), 0] = pii.symbols([part])
-                e = model.emissions(x)[:, 0]
+                e = model.emissions(x)[:, :, 0]
                 for t in range(len(part)):
                     up = (t + 0.5) / 6 if i and t < 6 else 1
                     down = 1 - (t - 14 + 0.5) / 6 if i + 1 < len(starts) and t >= 14 else 1
