@@ -1,15 +1,16 @@
 """Exact de-duplication by content-defined chunk recipes, in DataFrame operations only.
 
-Each text, freed of blanks, is cut where its own content says so. A chunk is
-known by a 64-bit hash that is verified by SHA-256 over all chunks of the
-corpus: different contents under one hash get different ordinals. A document
-is then an ordered list of verified identifiers (its recipe), and equal
-recipes are equal texts. Long texts are read once and never shuffled; only
-digests move.
+Each text, freed of blanks, is cut where its own content says so: two
+bytes of its UTF-8 with low digits 0 or 1 end a chunk, whatever the script. A chunk is known by a 64-bit hash that is verified by SHA-256 over all
+chunks of the corpus: different contents under one hash get different
+ordinals. A document is then an ordered list of verified identifiers (its
+recipe), and equal recipes are equal texts. To find the groups, texts are read
+once and never shuffled; only digests move. ``exact_dedup`` moves whole rows
+once, equal ones together before they leave their task.
 
 Defined results
 * null text: the empty text; empty and blank-only texts form one group
-* null doc_id: a document like any other, behind all ids in ties
+* ids of any type that has an order; null doc_id: behind all ids in ties
 * repeated rows: members of their group like any other, of which one stays
 * very long texts: longer recipes, nothing else
 * empty table: empty result
@@ -18,30 +19,35 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import common
 
-#: A chunk ends at the first such letters after 256 characters, or at 2,048.
-CHUNK = r"(?s).{256,2045}?[aeo][nrst][a-m]|.{1,2048}"
+#: In hexadecimal digits: a chunk ends behind the first such two bytes after 256, or at 2,048. No letter or digit of any script always has them.
+CHUNK = r".{512,4092}?(?:.[01]){2}|.{1,4096}"
+
+
+def _row_key(id_: Column, raw: Column) -> Column:
+    """A digest of id and raw text, the same for equal rows alone."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.lit("i"), F.sha2(id_.cast("string"), 256)), F.lit("-")), raw), 256))
 
 
 def _digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """A row of digests for each row: u, doc_id, n_chars, exact (hash of the raw text), text_sha256, chunks."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """A row of digests for each row: u, doc_id, n_chars, exact (of id and raw text), text_sha256, chunks."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("raw"))
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("raw"))
         .withColumn("norm", common.without_blanks(F.col("raw")))
         .select(
             F.monotonically_increasing_id().alias("u"),
             "doc_id",
             F.length("raw").cast("long").alias("n_chars"),
-            F.sha2("raw", 256).alias("exact"),
+            _row_key(F.col("doc_id"), F.col("raw")).alias("exact"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.transform(
-                F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)),
+                F.regexp_extract_all(F.hex("norm"), F.lit(CHUNK), F.lit(0)),
                 lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("v")),
             ).alias("chunks"),
         )
@@ -69,11 +75,11 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     recipes = common.stored(
         base.drop("chunks").join(lists, "u", "left").withColumn("recipe", F.coalesce("recipe", nothing)), "recipes"
     )
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"), "u"))
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "u"))
     groups = common.stored(
         recipes.groupBy("recipe")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("recipe", "group_size", F.col("best.u").alias("keep_u"), (-F.col("best.neg_id")).alias("keep_id")),
+        .select("recipe", "group_size", F.col("best.u").alias("keep_u"), F.col("best.doc_id").alias("keep_id")),
         "groups",
     )
     return recipes.join(groups, "recipe").select(
@@ -83,12 +89,12 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
-    keys = exact_groups(docs, text_col, id_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"))
+    keys = exact_groups(docs, text_col, id_col).where("kept").select(F.col("exact").alias("_key"))
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    held = held.withColumn("_exact", F.sha2(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), 256)).withColumn("_id", F.col(f"row.{id_col}"))
-    same = held["_exact"].eqNullSafe(keys["_exact"]) & held["_id"].eqNullSafe(keys["_id"])
-    one = held.join(keys, same, "left_semi").dropDuplicates(["_exact", "_id"])
+    held = held.withColumn("_key", _row_key(F.col(f"row.`{id_col}`"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
+    # rows with one key meet before the shuffle, which the join then shares
+    one = held.groupBy("_key").agg(F.first("row").alias("row")).join(keys, "_key", "left_semi")
     return one.select([F.col(f"row.`{c}`").alias(c) for c in names])
 
 
