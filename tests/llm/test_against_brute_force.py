@@ -523,6 +523,21 @@ def test_mixing_meets_its_targets(spark):
     assert -(h * np.log(h)).sum() == pytest.approx(1.0, abs=0.01)
 
 
+def test_mix_emits_the_mixture(spark, documents):
+    """Rows as often as the mixture has them; every stretch of the blocks in order has the target weights."""
+    from corpusmill.llm import mixing
+
+    df = common.table(spark, TESTDATA, "documents")
+    want = Counter(r["doc_id"] for r in mixing.mixture(df).collect())
+    assert Counter(r["doc_id"] for r in mixing.mix(df).select("doc_id").collect()) == want
+    m = mixing.mixture(df).toPandas()
+    whole = m.groupby("source").n_tokens.sum() / m.n_tokens.sum()
+    assert np.allclose(m.groupby("source").weight.first(), whole, atol=0.03)
+    assert m.place.between(0, 10**9).all()
+    for _, g in m.groupby("source"):
+        assert g.sort_values(["pass", "block"]).place.is_monotonic_increasing
+
+
 def test_pipeline_stage_by_stage(spark, documents):
     """Each stage against what it is meant to leave of what it was given."""
     docs = common.table(spark, TESTDATA, "documents")

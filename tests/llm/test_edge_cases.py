@@ -75,6 +75,26 @@ def test_exact(docs, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0 and exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_string_ids(spark):
+    rows = [("b", "x y", "s"), ("a", "xy", "s"), (None, "x  y", "s"), ("a", "z", None), ("c", "z", None), ("c", "z", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = Counter((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(df).collect())
+    assert got == Counter([("b", None, False), ("a", None, False), (None, None, True), ("a", "a", True), ("c", "a", False), ("c", "a", False)])
+    assert Counter((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(df).collect()) == Counter([(None, "x  y"), ("a", "z")])
+    emitted = Counter(r["doc_id"] for r in mixing.mixture(df).collect())
+    assert Counter(r["doc_id"] for r in mixing.mix(df).collect()) == emitted and set(emitted) == {"a", "b", "c", None}
+
+
+def test_chunks_follow_the_content(spark):
+    """In every script: behind an insertion chunks are the same again."""
+    rng = random.Random(5)
+    for low, high in ((97, 122), (0x430, 0x44F), (0x4E00, 0x9FFF), (48, 57)):
+        text = "".join(chr(rng.randint(low, high)) for _ in range(20_000))
+        df = spark.createDataFrame([(1, text), (2, "!" + text)], "doc_id long, text string")
+        found = [{c["h"] for c in r["chunks"]} for r in exact_dedup._digests(df, "text", "doc_id").orderBy("doc_id").collect()]
+        assert len(found[0]) > 5 and len(found[0] & found[1]) >= len(found[0]) - 2
+
+
 def test_quality(docs, nothing):
     rows = {r["doc_id"]: r for r in quality.measures(docs).collect()}
     assert rows[4]["n_words"] == 0 and rows[4]["base_failed"] and not rows[4]["kept"]
