@@ -2,14 +2,16 @@
 
 Texts are cut into words at the marker of a blank. All distinct words of a
 batch lie in one flat symbol array; a round finds the smallest pair rank of
-each word, merges the leftmost such pair in every word at once, compacts the
-array, and drops words in which no pair is left. One merge a word and round
-is what the library's agenda does, so results are the same piece by piece.
+each word, merges its occurrences from the left in every word at once, compacts
+the array, and drops words in which no pair is left. Where a merge would give
+rise to a pair of the same or a smaller rank, which the library's agenda would
+take before the word's next occurrence, only the leftmost is merged, so results
+are the same piece by piece.
 
 Defined results
 * null text: the empty text, of which only the end id remains
-* very long texts: whole; a single word of over 256 symbols goes through an
-  agenda of its own instead of the rounds, with the same result
+* very long texts and words: whole; words of over LONG_WORD symbols go through
+  rounds of their own, so that short ones need not wait for them
 * characters outside the vocabulary: their UTF-8 bytes as byte pieces
 * repeated rows, null ids, empty tables: row by row, as they come
 * extra or clashing columns: not looked at
@@ -18,7 +20,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 SPACE = "▁"
-#: Symbols in a word from which its merges go through an agenda.
+#: Symbols beyond which a word has rounds of its own.
 LONG_WORD = 256
-#: Words that a worker remembers; the memory starts anew beyond that.
+#: Words, and bytes of what they come to, that a worker remembers; the memory starts anew beyond that.
 CACHE_WORDS = 300_000
+CACHE_BYTES = 128 << 20
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -72,7 +74,6 @@ class Bpe:
                 a, b = self.symbols.get(p[:k]), self.symbols.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
-        self.pairs = pairs
         self.rank = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in sorted(pairs)], np.int32)
@@ -82,6 +83,7 @@ class Bpe:
                 self.of_char[ord(c)] = i
         self.decimal = [str(i) for i in range(n)]
         self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,31 +94,6 @@ class Bpe:
         piece = np.where(hit, self.merged[at], 0)
         return np.where(hit, self.rank[piece], _NEVER), piece
 
-    def _agenda(self, word: list[int]) -> list[int]:
-        """The merges of one long word, n log n."""
-        sym, n = list(word), len(word)
-        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (p := self.pairs.get(sym[i] << 32 | sym[j])) is not None:
-                heapq.heappush(heap, (int(self.rank[p]), i, sym[i], sym[j], p))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, p = heapq.heappop(heap)
-            if not alive[i] or sym[i] != a or (j := after[i]) < 0 or sym[j] != b:
-                continue
-            sym[i], alive[j], after[i] = p, False, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s, x in zip(sym, alive, strict=True) if x]
-
     def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The merges of many words at once: which word, its number of symbols, and all symbols, in the order in which words were done."""
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -141,19 +118,45 @@ class Bpe:
                     break
             word = np.repeat(np.arange(len(own)), length)
             at = np.flatnonzero(rank == best[word])
-            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]  # the leftmost of each word
+            at = self._merged_at_once(at, word, best, sym, piece)
             sym[at] = piece[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             sym, rank, piece = sym[keep], rank[keep], piece[keep]
-            at -= np.arange(len(at))
-            length = length - 1
+            length = length - np.bincount(word[at], minlength=len(own))
+            at = at - np.arange(len(at))
             touched = np.concatenate([at, at[at > 0] - 1])
             touched = touched[touched + 1 < len(sym)]
             rank[touched], piece[touched] = self._look_up(sym[touched], sym[touched + 1])
             rank[np.cumsum(length) - 1] = _NEVER
         return tuple(np.concatenate(x) for x in zip(*done, strict=True))  # type: ignore[return-value]
 
+    def _merged_at_once(self, at: np.ndarray, word: np.ndarray, best: np.ndarray, sym: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Of the places of the smallest rank in each word: those that are merged in this round."""
+        first = np.r_[True, word[at[1:]] != word[at[:-1]]]
+        if first.all():
+            return at
+        # of places in a row every other one, as they share symbols
+        begin = np.r_[True, at[1:] != at[:-1] + 1]
+        run = np.flatnonzero(begin)
+        at = at[(np.arange(len(at)) - run[np.cumsum(begin) - 1]) % 2 == 0]
+        first = np.r_[True, word[at[1:]] != word[at[:-1]]]
+        own = word[at]
+        if first.all():
+            return at
+        # what each merge would stand beside for a while: the symbol before, itself merged if it is one of these, and the one behind
+        right = np.minimum(at + 2, len(sym) - 1)
+        has_right = (at + 2 < len(sym)) & (word[right] == own)
+        after = np.where(has_right, self._look_up(piece[at].astype(np.int64), sym[right])[0], _NEVER)
+        left = np.maximum(at - 1, 0)
+        has_left = (at > 0) & (word[left] == own)
+        joined = np.r_[False, at[1:] == at[:-1] + 2] & has_left
+        beside = np.where(joined, piece[np.maximum(at - 2, 0)], sym[left])
+        before = np.where(has_left, self._look_up(beside.astype(np.int64), piece[at])[0], _NEVER)
+        early = np.zeros(len(best), bool)
+        early[own[np.minimum(after, before) <= best[own]]] = True
+        return at[first | ~early[own]]
+
     def _bytes_in(self, word: str, symbols: list[int]) -> list[int]:
         """Piece ids of symbols of which some are no piece: those become bytes."""
         chars = iter(c for c in word if not 0 <= self.symbols.get(c, -1) < self.n)
@@ -166,30 +169,32 @@ class Bpe:
         return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.words[word] = (" ".join([self.decimal[k] for k in ids]), len(ids), b"".join([self.text[k] for k in ids]))
+        found = (" ".join([self.decimal[k] for k in ids]), len(ids), b"".join([self.text[k] for k in ids]))
+        self.words[word] = found
+        self.held += 4 * len(word) + len(found[0]) + len(found[2])
 
     def learn(self, words: Iterable[str]) -> None:
         """Put words into the memory."""
         new = [w for w in words if w not in self.words]
-        for w in (w for w in new if len(w) > LONG_WORD):
-            merged = self._agenda([self.symbols.get(c, -1) for c in w])
-            self._keep(w, self._bytes_in(w, merged))
-        if short := [w for w in new if len(w) <= LONG_WORD]:
-            own, length, symbols = self._rounds(short)
+        for part in ([w for w in new if len(w) <= LONG_WORD], *([w] for w in new if len(w) > LONG_WORD)):
+            if not part:
+                continue
+            own, length, symbols = self._rounds(part)
             odd = (symbols < 0) | (symbols >= self.n)
             begin = np.cumsum(length) - length
             odd_word = np.logical_or.reduceat(odd, begin)
             flat = symbols.tolist()
             for k, a, n, x in zip(own.tolist(), begin.tolist(), length.tolist(), odd_word.tolist(), strict=True):
                 ids = flat[a : a + n]
-                self._keep(short[k], self._bytes_in(short[k], ids) if x else ids)
+                self._keep(part[k], self._bytes_in(part[k], ids) if x else ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text the ids as decimal words, their number, and the decoded text in UTF-8; the end id is last."""
         for k in range(0, len(texts), 256):
             cut = [self.segments(t) for t in texts[k : k + 256]]
-            if len(self.words) > CACHE_WORDS:
+            if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
                 self.words.clear()
+                self.held = 0
             self.learn({w for c in cut for w in c})
             for c in cut:
                 got = [self.words[w] for w in c]

@@ -135,15 +135,52 @@ def test_language(spark, documents):
     assert (held.lang_pred == held.lang).mean() > 0.95
 
 
-def test_language_scores_are_sums_of_log_probabilities(spark, documents):
+def test_language_on_the_table(spark, documents):
+    """The whole query: every count, prior and sum in plain Python."""
+    bits = langid.BITS
+
+    def grams_of(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()}  ")
+        for k in range(len(s) - 2):
+            h = 0
+            for order in (1, 2, 3):
+                h = ord(s[k]) if order == 1 else (h * 0x01000193 & 0xFFFFFFFF) ^ ord(s[k + order - 1])
+                yield order, (h * 2654435769 & 0xFFFFFFFF) >> (32 - bits)
+
+    seen, counts = Counter(), defaultdict(Counter)
+    for i, t, lang in zip(documents.doc_id, documents.text, documents.lang, strict=True):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            seen[lang] += 1
+            counts[lang].update(grams_of(t))
+    total = {(x, o): sum(n for (order, _), n in counts[x].items() if order == o) + 0.5 * 2**bits for x in seen for o in (1, 2, 3)}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_language_id"](spark, TESTDATA).collect()}
+    for i, t in list(zip(documents.doc_id, documents.text, strict=True))[:60]:
+        own = Counter(grams_of(t))
+        logs = {x: math.log(seen[x] / sum(seen.values())) + sum(n * math.log((counts[x][g] + 0.5) / total[x, g[0]]) for g, n in own.items()) for x in sorted(seen)}
+        best = max(logs, key=logs.get)
+        assert got[i]["lang_pred"] == (best if any(c.isalpha() for c in t) else "und")
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_language_of_a_text_alone_and_among_others(spark, monkeypatch):
     df = spark.createDataFrame([("aa bb", "x"), ("bb cc", "y"), ("aa", "x")], "text string, lang string")
-    langs, matrix = langid.fit(df)
-    assert langs == ["x", "y"] and np.allclose(np.exp(matrix.astype(float)).reshape(3, -1, 2).sum(1), 1, atol=1e-3)
-    names, scores = langid.score(["aa", "cc cc", None, "12"], langs, matrix)
+    model = langid.fit(df)
+    assert model.langs == ["x", "y"] and np.allclose(np.exp(model.matrix.astype(float)).reshape(3, -1, 2).sum(1), 1, atol=1e-3) and np.allclose(np.exp(model.prior), [2 / 3, 1 / 3])
+    names, scores = langid.score(["aa", "cc cc", None, "12"], model)
     assert names == ["x", "y", "und", "und"] and scores[2:] == [0.0, 0.0]
-    one, _ = langid.score(["aa bb"], langs, matrix), None
-    many = langid.score(["cc", "aa bb", "x"], langs, matrix)
-    assert one[1][0] == pytest.approx(many[1][1])
+    texts = ["cc", "aa bb " * 30, "x", "bb", "aa"]
+    alone = [langid.score([t], model)[1][0] for t in texts]
+    assert langid.score(texts, model)[1] == pytest.approx(alone)
+    monkeypatch.setattr(langid, "PIECE_CHARS", 7)
+    assert langid.score(texts, model)[1] == pytest.approx(alone)
+
+
+def test_many_languages(spark, monkeypatch):
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" * 5, f"l{k:04d}") for k in range(700)]
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 1 << 22)
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.langs) == 700 and model.matrix.nbytes <= 1 << 22
+    assert np.mean([a == b for a, (_, b) in zip(langid.score([t for t, _ in rows], model)[0], rows, strict=True)]) > 0.5
 
 
 def example(id_, label, counts):
@@ -286,6 +323,23 @@ def test_pieces_on_the_table(spark, documents):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(lib.decode(ids).encode()))
 
 
+def test_pieces_of_long_words():
+    """Rounds give what the library gives, for runs of any length and for words in which merges follow each other."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    model = sentencepieces.Bpe(sentencepieces.default_model())
+    rng = np.random.default_rng(4)
+    texts = ["a" * 300, "ab" * 400, "the" * 500, "日本語の文章です" * 200, "".join(map(chr, rng.integers(97, 123, 5000))), "0123456789" * 300, "=" * 777, "_-" * 300]
+    texts += ["".join(rng.choice(list("abeinst"), int(rng.integers(2, 40)))) for _ in range(3000)]
+    for t, (ids, n, decoded) in zip(texts, model.encode(texts), strict=True):
+        want = lib.encode(t, add_eos=True)
+        assert ids == " ".join(map(str, want)) and n == len(want) and decoded.decode() == lib.decode(want), t[:50]
+    began = time.time()
+    ((_, n, decoded),) = list(model.encode(["".join(map(chr, rng.integers(97, 123, 100_000)))]))
+    assert n > 10_000 and time.time() - began < 60
+
+
 def test_pieces_round_trip():
     model = sentencepieces.Bpe(sentencepieces.default_model())
     text = "  Héllo wörld\n\t🙂 ▁x"
