@@ -28,15 +28,31 @@ MAX_REPEATED_PERCENT = 20
 #: A document stays only if at least this share of its word characters is on lines that stay.
 MIN_KEPT_PERCENT = 50
 
+
+
+def either_case(phrase: str) -> str:
+    """A pattern for a phrase in upper and lower ASCII letters, the same in every dialect."""
+    return "".join(f"[{c.upper()}{c}]" if c.isascii() and c.isalpha() else c for c in phrase)
+
+
 #: Patterns that make a line fail. Portable between regular expression dialects.
 PUNCTUATION = r"^[^.!?:;]*$"
-SHOUTING = r"(!!.*){3}"
-SYMBOLS = r"([#*$%&<>]{2}.*){3}"
-NAVIGATION = r"([|].*){3}"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|licen[sc]ed under|copyright|terms of (use|service)|privacy policy|cookie|"
-    r"subscribe|newsletter|javascript|click here|sign (in|up)|log in)"
-)
+SHOUTING = r"(!![^\n]*){3}"
+SYMBOLS = r"([#*$%&<>]{2}[^\n]*){3}"
+#: Parts between bars, arrows or dots, as of menus and paths.
+NAVIGATION = r"([|»›·•→][^\n]*){3}"
+#: Phrases of notices, in the languages of the corpus, and such that only count in short lines.
+NOTICES = (
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl",
+    "tous droits r", "conditions d.utilisation", "politique de confidentialit", "todos los derechos reservados", "condiciones de uso", "pol.tica de privacidad",
+)
+CALLS = (
+    "copyright", "cookie", "subscribe", "newsletter", "javascript", "click here", "sign in", "sign up", "log in", "read more", "share this",
+    "anmelden", "abonnieren", "weiterlesen", "hier klicken", "se connecter", "abonnez-vous", "lire la suite", "cliquez ici", "iniciar sesi", "suscr.bete", "leer m.s", "haga clic",
+)
+BOILERPLATE, CALL = (f"({'|'.join(map(either_case, x))})" for x in (NOTICES, CALLS))
+#: A call fails a line of less than this many characters only: prose may speak of cookies.
+CALL_CHARS = 60
 #: A line without sentence punctuation fails only from this many characters on: short headings stay.
 HEADING_CHARS = 80
 
@@ -53,6 +69,7 @@ def line_fails(line: Column) -> Column:
         | line.rlike(SYMBOLS)
         | line.rlike(NAVIGATION)
         | line.rlike(BOILERPLATE)
+        | (F.length(line) < CALL_CHARS) & line.rlike(CALL)
     )
 
 
@@ -78,14 +95,21 @@ def measures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         df,
         n_words=n.cast("long"),
         grams=F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(F.array().cast("array<bigint>")),
-    ).drop("words")
+    )
     # only a row with two equal windows is worth sorting
     twice = F.size(F.array_distinct("grams")) < F.size("grams")
     none = F.array().cast("array<struct<g:bigint,i:int>>")
     placed = F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))
     df = _held(df, s=F.when(twice, F.sort_array(placed)).otherwise(none)).drop("grams")
-    pairs = F.zip_with("s", F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))), lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False)))
-    df = _held(df, eq=pairs)
+
+    def alike(a: Column, b: Column) -> Column:
+        """Equal hashes of equal words."""
+        same = a["g"] == b["g"]
+        for k in range(5):
+            same = same & (F.get("words", a["i"] + k) == F.get("words", b["i"] + k))
+        return F.coalesce(same, F.lit(False))
+
+    df = _held(df, eq=F.zip_with("s", F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))), alike)).drop("words")
     again = F.filter("s", lambda x, k: F.get("eq", k) | F.coalesce(F.get("eq", k - 1), F.lit(False)))
     df = _held(df, at=F.sort_array(F.transform(again, lambda x: x["i"]))).drop("s", "eq")
     steps = F.zip_with("at", F.slice("at", F.lit(2), F.greatest(F.size("at"), F.lit(1))), lambda p, q: F.when(p.isNull(), 0).otherwise(F.least(F.lit(5), F.coalesce(q - p, F.lit(5)))))
@@ -120,7 +144,8 @@ lines AS (
          coalesce(sum(length(solid)) FILTER (WHERE NOT (
            (length(line) >= {HEADING_CHARS} AND regexp_matches(line, '{PUNCTUATION}'))
            OR regexp_matches(line, '{SHOUTING}') OR regexp_matches(line, '{SYMBOLS}')
-           OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}'))), 0) AS kept_chars
+           OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}')
+           OR (length(line) < {CALL_CHARS} AND regexp_matches(line, '{CALL}')))), 0) AS kept_chars
   FROM g WHERE length(solid) > 0 GROUP BY doc_id),
 p AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),

@@ -106,6 +106,14 @@ def test_quality(docs, nothing):
     assert quality.measures(nothing).count() == 0
 
 
+def test_lines_that_fail(spark):
+    """Menus, notices and calls go; prose that mentions them stays, in every language of the corpus."""
+    bad = ["Home | News | Sport | Shop", "Start » Seite » Hier » Da", "© 2020 Firma. Alle Rechte vorbehalten.", "Tous droits réservés.", "Política de privacidad.", "Click here to read.", "Hier klicken.", "Buy!! Now!! Cheap!! Best!!", "## $$ %% && x.", "a" * 90]
+    good = ["He ate a cookie, and then he asked her if there was another one left in the big tin.", "One | two.", "A short heading", "Das Wort newsletter kommt in diesem langen Satz einmal vor, was aber nicht weiter schlimm ist.", "Oh no!! Really.", "Line with \u2028 a separator | and | one more."]
+    rows = spark.createDataFrame([(x,) for x in bad + good], "line string").select("line", quality.line_fails(F.col("line")).alias("fails")).collect()
+    assert {r["line"] for r in rows if r["fails"]} == set(bad)
+
+
 def test_near(docs, nothing):
     rows = near_join.near_groups(docs, 4, 85).collect()
     assert len(rows) == docs.count()
