@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -47,35 +48,78 @@ def keep_query(query: Column, history: Column) -> Column:
     return query
 
 
-def embed(chunks: DataFrame, embedder: Embedder = hashed_words, p: Params = DEFAULT, tries: int = 3) -> DataFrame:
-    """Adds ``embedding``. The embedder is called with at most batch_count texts or batch_chars characters; a call that fails is tried again, then the task is, elsewhere."""
-    from pyspark.sql import types as T
+def patiently(call: Callable, waits: tuple[float, ...]):
+    """What a call gives; one that fails is tried again after each wait, then the task is, elsewhere."""
+    for wait in waits:
+        try:
+            return call()
+        except Exception:  # whatever a model's client raises
+            time.sleep(wait)
+    return call()
+
 
-    def vectors(texts: list[str]) -> list[list[float]]:
-        for left in range(tries - 1, -1, -1):
-            try:
-                return embedder(texts)
-            except Exception:
-                if not left:
-                    raise
-        return []
+def embed(chunks: DataFrame, embedder: Embedder = hashed_words, p: Params = DEFAULT) -> DataFrame:
+    """Adds ``embedding``. The embedder is called with at most batch_count texts or batch_chars characters, batches of a task across those of Arrow, with a pause between calls."""
+    from pyspark.sql import types as T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames: list[pd.DataFrame] = []  # not yet given back, as texts of theirs still wait
+        held: list[str] = []
+        out: list[list[float]] = []
+        called = False
+
+        def call() -> None:
+            nonlocal held, called
+            if called:
+                time.sleep(p.embed_pause)
+            out.extend(patiently(lambda: embedder(held), p.embed_waits))
+            held, called = [], True
+
         for pdf in batches:
-            out: list[list[float]] = []
-            held: list[str] = []
+            frames.append(pdf)
+            size = sum(map(len, held))
             for text in pdf["text"]:
                 held.append(text or "")
-                if len(held) >= p.batch_count or sum(map(len, held)) >= p.batch_chars:
-                    out += vectors(held)
-                    held = []
-            out += vectors(held) if held else []
-            yield pdf.assign(embedding=out)
+                size += len(held[-1])
+                if len(held) >= p.batch_count or size >= p.batch_chars:
+                    call()
+                    size = 0
+            while frames and len(out) >= len(frames[0]):
+                own = frames.pop(0)
+                yield own.assign(embedding=out[: len(own)])
+                del out[: len(own)]
+        if held:
+            call()
+        for own in frames:
+            yield own.assign(embedding=out[: len(own)])
+            del out[: len(own)]
 
     schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
     return chunks.mapInPandas(run, schema)
 
 
+def caption(images: DataFrame, captioner: Captioner, p: Params = DEFAULT, batch: int = 16) -> DataFrame:
+    """images: (..., content binary). Adds ``caption``, null where there is none or the captioner keeps failing: an image without a description fails no file."""
+    from pyspark.sql import types as T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            content, out = [bytes(c) if c is not None else b"" for c in pdf["content"]], []
+            for k in range(0, len(content), batch):
+                try:
+                    out += patiently(lambda own=content[k : k + batch]: captioner(own), p.embed_waits)
+                except Exception:  # told by the missing caption
+                    out += [None] * len(content[k : k + batch])
+            yield pdf.assign(caption=out)
+
+    return images.mapInPandas(run, T.StructType([*images.schema.fields, T.StructField("caption", T.StringType())]))
+
+
+def described(images: list[bytes]) -> list[str | None]:
+    """The captioner where there is no model: size and digest of what is not empty."""
+    return [f"{len(c)} bytes, {zlib.crc32(c):08x}" if c else None for c in images]
+
+
 def caption_summary(results: DataFrame) -> DataFrame:
     """results: (file_id, caption). file_id, total, ok, degraded."""
     return results.groupBy("file_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("caption").isNotNull()).alias("ok"), F.count_if(F.col("caption").isNull()).alias("degraded"))

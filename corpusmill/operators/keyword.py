@@ -86,11 +86,24 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, p: Params = DEFAULT, tok
     weighted = postings.join(frequency, ["user_id", "term"]).join(found.stats, "user_id").select("user_id", "term", "chunk_id", (F.col("idf") * tf * (p.k1 + 1) / (tf + norm)).alias("w"))
     scored = terms.join(weighted, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
     if fill:
-        every = queries.select("query_id", "user_id").join(chunks.select("user_id", "chunk_id"), "user_id").select("query_id", "chunk_id")
-        scored = every.join(scored, ["query_id", "chunk_id"], "left").na.fill(0.0, ["score"])
+        scored = scored.unionByName(_without_terms(chunks, queries, scored, p.keyword_k))
     return top(scored, F.desc(F.round("score", 9)), p.keyword_k)
 
 
+def _without_terms(chunks: DataFrame, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score 0: the first chunks by id of each query's tenant that share no term with it, k at least if there are.
+
+    Among the first k + n chunks of a tenant at least k are none of the n that
+    a query has found, so no query meets all chunks.
+    """
+    found = queries.select("query_id", "user_id").join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").withColumn("take", k + F.coalesce("n", F.lit(0)))
+    most = found.agg(F.max("take")).first()[0] or k
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("chunk_id"))
+    first = chunks.select("user_id", "chunk_id").withColumn("place", place).where(F.col("place") <= most)
+    every = found.join(first, "user_id").where(F.col("place") <= F.col("take")).select("query_id", "chunk_id")
+    return every.join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+
+
 def top(scored: DataFrame, order, k: int) -> DataFrame:
     """The first k of each query with their rank, ties by chunk id; cut before the shuffle as well."""
     w = Window.partitionBy("query_id").orderBy(order, "chunk_id")

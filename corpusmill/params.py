@@ -33,6 +33,8 @@ class Params:
     merge_max_len: int = 1500
     batch_count: int = 50
     batch_chars: int = 18_000
+    embed_pause: float = 0.1  # seconds between calls
+    embed_waits: tuple[float, ...] = (1.0, 2.0)  # seconds before another try: three tries
     keyword_max_len: int = 10
     rewrite_min_len: int = 3
     history_turns: int = 5

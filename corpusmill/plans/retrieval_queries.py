@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fusion, keyword, vector
 from ..params import DEFAULT, Params
-from ..sources import tables
+from ..sources import places, tables
 from . import search
 
 #: Words that the corpus has, in place of the defaults, so that every route is taken.
@@ -55,7 +55,11 @@ def vector_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, DEFAULT.distance_threshold)
+    """Vectors whose id is divisible by 50 as queries, with the default threshold."""
+    v = tables.vectors(spark, sf_dir)
+    asked = v.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "user_id", "embedding")
+    found = vector.vector_topk(v, asked)
+    return found.select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,26 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "strategy", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages; every third query is the first word of its passage alone."""
+    q = embedded_queries(spark, sf_dir)
+    return q.withColumn("text", F.when(F.col("query_id") % 3 == 1, F.regexp_extract("text", r"\S+", 0)).otherwise(F.col("text")))
+
+
+def hybrid_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in which all three routes occur."""
+    found = search.hybrid_search(tables.chunks(spark, sf_dir), tables.vectors(spark, sf_dir), routed_queries(spark, sf_dir), WORDS, threshold=REACH)
+    return found.select("query_id", "strategy", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search over an index that is written first; searches read only their terms."""
+    path = places.fresh(spark, "index")
+    keyword.write_index(keyword.term_tables(tables.chunks(spark, sf_dir)), path)
+    found = keyword.keyword_topk(tables.chunks(spark, sf_dir), tables.queries(spark, sf_dir), index=keyword.read_index(spark, path))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, q = tables.chunks(spark, sf_dir), tables.queries(spark, sf_dir)
     hits = keyword.keyword_topk(chunks, q).withColumnRenamed("rank", "position").join(q.select("query_id", "user_id", F.col("text").alias("query")), "query_id").join(chunks, ["user_id", "chunk_id"])
@@ -78,7 +102,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.messages(spark, sf_dir)
-    return rows.select("session_id", "id", fusion.strategy(F.col("content"), WORDS).alias("strategy"), fusion.strategy(F.substring("content", 1, 9), WORDS).alias("short_strategy"))
+    return rows.select("session_id", "id", fusion.strategy(F.col("content"), WORDS).alias("strategy"), fusion.strategy(F.regexp_extract("content", r"[^ \n\t]+", 0), WORDS).alias("short_strategy"))
 
 
 def rewrite_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +132,7 @@ def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.image_references(_hits(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, rrf_fusion, hybrid_search, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, rrf_fusion, hybrid_search, hybrid_routes, bm25_indexed_topk, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
 
 
 def words_sql(c: str) -> str:
@@ -120,6 +144,7 @@ t AS (SELECT source AS user_id, doc_id AS chunk_id, {words_sql('text')} AS terms
 st AS (SELECT user_id, count(*) AS n_docs, avg(len(terms)) AS avgdl FROM t GROUP BY user_id),
 df AS (SELECT user_id, term, count(*) AS df FROM (SELECT user_id, unnest(list_distinct(terms)) AS term FROM t) GROUP BY user_id, term)"""
 _QUERIES = "q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS user_id, text FROM benchmark)"
+_ROUTED = r"q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS user_id, CASE WHEN item_id % 3 = 1 THEN regexp_extract(text, '\S+') ELSE text END AS text FROM benchmark)"
 _BM25 = f"""{_QUERIES},{_TOKENS},
 i0 AS (SELECT df.*, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN st USING (user_id)),
 mi AS (SELECT user_id, avg(raw) AS mean FROM i0 GROUP BY user_id),
@@ -176,11 +201,13 @@ ORACLES = {
     "bm25_corpus_stats": f"WITH {_TOKENS.strip()}, g AS (SELECT user_id, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS sum_df, max(df) AS max_df FROM df GROUP BY user_id) SELECT user_id, n_docs, round(avgdl, 6) AS avgdl, n_terms, sum_df, max_df FROM st JOIN g USING (user_id)",
     "vector_topk": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT}",
     "vector_topk_threshold": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT} WHERE distance <= 0.8",
-    "vector_topk_default": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT} WHERE distance <= 0.45",
+    "vector_topk_default": f"WITH {_VECTORS}, qv AS (SELECT chunk_id AS query_id, user_id, e AS qe FROM v WHERE chunk_id % 50 = 0),{_NEAR} {_NEAR_OUT} WHERE distance <= 0.45",
+    "bm25_indexed_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
+    "hybrid_routes": f"WITH {_BM25.replace(_QUERIES, _ROUTED)},{_EMBEDDED[:-1]} WHERE {_strategy_sql('q.text')} <> 'bm25_only'),{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, {_strategy_sql('q.text')} AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr JOIN q USING (query_id) WHERE final_rank <= 5",
     "rrf_fusion": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(0)} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, position FROM rr",
     "hybrid_search": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, 'hybrid' AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",
     "rerank_topk": f"WITH {_BM25}, kp AS (SELECT *, rank AS position FROM kw),{_reranked('kp')} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",
-    "query_strategy": f"SELECT conv_id AS session_id, turn AS id, {_strategy_sql('text')} AS strategy, {_strategy_sql('text[1:9]')} AS short_strategy FROM conversations",
+    "query_strategy": f"SELECT conv_id AS session_id, turn AS id, {_strategy_sql('text')} AS strategy, {_strategy_sql("regexp_extract(text, '[^ \\n\\t]+')")} AS short_strategy FROM conversations",
     "rewrite_fallback": "SELECT conv_id AS session_id, turn AS id, md5(CASE WHEN length(text) % 3 = 0 OR length(regexp_replace(r, '^\\s+|\\s+$', '', 'g')) < 3 THEN text ELSE regexp_replace(r, '^\\s+|\\s+$', '', 'g') END) AS md5 FROM (SELECT *, CASE WHEN length(text) > 20 THEN text[1:20] || '...' ELSE text END AS r FROM conversations)",
     "context_blocks": f"WITH {_HITS}, b AS (SELECT query_id, string_agg('[来源: ' || original_filename || coalesce(', 第' || page || '页', '') || ', ' || current_chapter || ']' || chr(10) || text[1:500], chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY final_rank) AS c FROM hi GROUP BY query_id) SELECT query_id, md5(c) AS md5, length(c) AS n FROM b",
     "references_list": f"WITH {_HITS}, l AS (SELECT query_id, final_rank, original_filename || coalesce(' (第' || page || '页)', '') || ' [' || current_chapter || ']' AS label, original_filename AS source, coalesce(page, '') AS page, current_chapter AS chapter FROM hi), o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY final_rank) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY source, coalesce(TRY_CAST(page AS INTEGER), 0), final_rank) AS position, label, source, page, chapter FROM o",

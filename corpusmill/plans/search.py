@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import plugins
 from ..functions import text as tx
 from ..operators import fusion, keyword, vector
 from ..params import DEFAULT, Params
@@ -20,15 +21,25 @@ def hybrid_search(
     scorer: Callable[[Column, Column], Column] | None = fusion.overlap_score,
     threshold: float | None = None,
     index: keyword.Index | None = None,
+    rewriter: plugins.Rewriter = plugins.keep_query,
+    embedder: plugins.Embedder | None = None,
 ) -> DataFrame:
     """query_id, strategy, chunk_id, rrf_score, rerank_score, final_rank.
 
-    queries: (query_id, user_id, text, embedding), embedding of the rewritten
-    text. Bare keywords never reach the vector side; the keyword side and the
-    second ranking always see the original text. Queries without a tenant have
-    no results.
+    queries: (query_id, user_id, text), and history where the rewriter wants
+    it. Queries that ask or point at something are rewritten; a blank or short
+    result falls back to the query. The vector side searches by the embedder's
+    vector of that text, or without an embedder by the column embedding that
+    callers supply. Bare keywords never reach the vector side; the keyword side
+    and the second ranking always see the original text. Queries without a
+    tenant have no results.
     """
     asked = queries.where(F.coalesce("user_id", F.lit("")) != "").withColumn("strategy", fusion.strategy(F.col("text"), p))
+    if embedder is not None:
+        past = F.col("history") if "history" in queries.columns else F.lit(None).cast("string")
+        written = F.when(F.col("strategy") == "hybrid_rewritten", tx.accept_rewrite(F.col("text"), rewriter(F.col("text"), past), p)).otherwise(F.col("text"))
+        seen = asked.where("strategy <> 'bm25_only'").select("query_id", written.alias("text"))
+        asked = asked.drop("embedding").join(plugins.embed(seen, embedder, p).select("query_id", "embedding"), "query_id", "left")
     words = keyword.keyword_topk(chunks, asked, p, index=index)
     near = vector.vector_topk(vectors, asked.where((F.col("strategy") != "bm25_only") & F.col("embedding").isNotNull()), p, threshold)
     fused = fusion.rrf(words, near, p)

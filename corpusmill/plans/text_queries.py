@@ -48,8 +48,10 @@ def markdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) % 4).cast("int").alias("level"), F.substring(x, 1, 8).alias("text")))
-    return tables.documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(tx.toc_paths(heads), lambda h: F.concat_ws(":", h["level"], h["path"])), "|")).alias("md5"))
+    """Every line as a heading; paths as one digest, and how many."""
+    heads = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) % 4).cast("int").alias("level"), x.alias("text")))
+    paths = tables.documents(spark, sf_dir).select("doc_id", tx.toc_paths(heads).alias("p"))
+    return paths.select("doc_id", F.md5(F.array_join(F.transform("p", lambda h: F.concat_ws(":", h["level"], h["path"])), "|")).alias("md5"), F.size("p").cast("long").alias("n"))
 
 
 def toc_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +129,10 @@ def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of whole texts; page as its digest and length."""
     cells = F.array(F.array(F.array(F.col("lang"), F.lit(None).cast("string")), F.array(F.col("source"), F.lit("z"))))
-    page = layout.mixed_page(F.substring("text", 1, 80), cells, F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")))
-    return tables.table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
+    page = layout.mixed_page(F.col("text"), cells, F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(page).alias("md5"), F.length(page).cast("long").alias("n"))
 
 
 def mixed_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +229,9 @@ ORACLES = {
     f"o AS (SELECT doc_id, {_STRIP.format('array_to_string(' + _LINES.replace("@TEXT@", "t") + ', chr(10))')} AS t FROM m) SELECT doc_id, md5(t) AS md5, length(t) AS n FROM o WHERE t <> ''",
     "toc_filter": f"WITH {_RAW}, o AS (SELECT doc_id, array_to_string({_LINES.replace("@TEXT@", "text")}, chr(10)) AS t FROM n) SELECT doc_id, md5(t) AS md5, length(t) AS n FROM o",
     "html_text": "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS md5 FROM pages",
-    "toc_paths": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t[1:8] AS t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
+    "toc_paths": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
     "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
-    "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
+    "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5, count(*) AS n FROM r GROUP BY doc_id",
     "toc_paths_whole": "WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, i, greatest(length(t) % 4, 1) AS lv, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l)), "
     "r AS (SELECT doc_id, i, lv, [t] AS stack FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, h.lv, list_append(r.stack[1:h.lv - 1], h.t) FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1) "
     "SELECT doc_id, md5(string_agg(lv || ':' || array_to_string(stack, ' > '), '|' ORDER BY i)) AS md5 FROM r GROUP BY doc_id",
@@ -255,7 +258,7 @@ ORACLES = {
     "pdf_type": f"WITH t AS (SELECT source AS file_id, {_IMAGES} AS t FROM documents) SELECT file_id, CASE WHEN count(DISTINCT t) = 1 THEN min(t) ELSE 'mixed' END AS pdf_type, count_if(t = 'scan_pdf')::BIGINT AS scan_pdf, count_if(t = 'text_mix_pdf')::BIGINT AS text_mix_pdf, count_if(t = 'text_pdf')::BIGINT AS text_pdf FROM t GROUP BY file_id",
     "chart_rects": f"WITH {_BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b WHERE w * h > 5000) SELECT doc_id, count(k.n) AS n, CAST(coalesce(sum((x + w) * (y + h)), 0) AS BIGINT) AS s FROM documents LEFT JOIN (SELECT * FROM k WHERE n <= 5) k USING (doc_id) GROUP BY doc_id",
     "block_split": f"WITH {_BOXES} SELECT doc_id, {_BOX_LIST.format('NOT')} AS text_boxes, {_BOX_LIST.format('')} AS image_boxes FROM b GROUP BY doc_id",
-    "mixed_pages": "SELECT doc_id, text[1:80] || chr(10) || chr(10) || lang || ' | ' || chr(10) || source || ' | z' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || '[图表描述]: ' || lang ELSE '' END AS page FROM documents",
+    "mixed_pages": "SELECT doc_id, md5(page) AS md5, length(page) AS n FROM (SELECT doc_id, text || chr(10) || chr(10) || lang || ' | ' || chr(10) || source || ' | z' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || '[图表描述]: ' || lang ELSE '' END AS page FROM documents)",
     "mixed_pages_whole": "SELECT doc_id, md5(text || chr(10) || chr(10) || lang || ' | ' || chr(10) || source || ' | z' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || '[图表描述]: ' || lang ELSE '' END) AS md5 FROM documents",
     "exact_dedup": f"WITH {_FILES} SELECT file_id, md5, min(file_id) OVER (PARTITION BY md5) AS first_id, file_id <> min(file_id) OVER (PARTITION BY md5) AS duplicate FROM f",
     "duplicate_files": f"WITH {_FILES} SELECT user_id, file_id, md5, min(file_id) OVER (PARTITION BY user_id, md5) AS first_id, file_id <> min(file_id) OVER (PARTITION BY user_id, md5) AS duplicate FROM f",

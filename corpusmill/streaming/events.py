@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..sources import places
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -53,8 +52,7 @@ def ingest_stream(spark: SparkSession, folder: str, schema, checkpoint: str, sin
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All of a bounded stream, drained into a Parquet table: in append mode batch by batch, in complete mode the last state."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = places.fresh(spark, name)
 
     def sink(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/table/batch={n if mode == 'append' else 0}")

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as text_functions
 from corpusmill.operators import chunking, fusion, keyword, layout, uploads, vector
 from corpusmill.operators import management as mg
 from corpusmill.params import Params
@@ -28,6 +30,32 @@ def test_vector_threshold(spark):
     assert ids(p=Params(vector_k=2), threshold=0.0) == [0, 1]
 
 
+def test_vector_groups(spark, monkeypatch):
+    """Many queries in groups find what few find by broadcast, ties cut by chunk."""
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(f"u{k % 3}", k, rng.normal(size=4).tolist() if k % 5 else [1.0, 0.0, 0.0, 0.0]) for k in range(400)], "user_id string, chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(k, f"u{k % 4}", rng.normal(size=4).tolist()) for k in range(60)], "query_id long, user_id string, embedding array<double>")
+    found = lambda: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["distance"], 8)) for r in vector.vector_topk(v, q, threshold=0).collect())
+    want = found()
+    assert len(want) == 450
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector, "CHUNK_BLOCK", 50)
+    assert found() == want
+
+
+def test_fill(spark):
+    """Against all chunks of the tenant, in the order of score and id."""
+    chunks = spark.createDataFrame([("u", k, f"w{k % 7} x") for k in range(40)] + [("v", 100, "w1")], "user_id string, chunk_id long, text string")
+    q = spark.createDataFrame([(k, "u", f"w{k} w{k + 1}") for k in range(5)] + [(9, "v", "none")], "query_id long, user_id string, text string")
+    score = {(r["query_id"], r["chunk_id"]): round(r["score"], 9) for r in keyword.keyword_topk(chunks, q, Params(keyword_k=1000)).collect()}
+    got = {}
+    for r in keyword.keyword_topk(chunks, q, fill=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for k in range(5):
+        assert got[k] == sorted(range(40), key=lambda c: (-score.get((k, c), 0.0), c))[:10]
+    assert got[9] == [100]
+
+
 def test_rrf(spark):
     k = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id long, chunk_id string, rank int")
     v = spark.createDataFrame([(1, "y", 1), (1, "x", 2), (1, "z", 3)], "query_id long, chunk_id string, rank int")
@@ -59,6 +87,77 @@ def test_split_text():
     assert all(shared)
 
 
+def plain_split(text, separators, size=500, overlap=50):
+    """A splitter by the book: split at the first separator that occurs, keep it in front, merge small parts, go on with large ones."""
+    sep, rest = "", ()
+    for i, s in enumerate(separators):
+        if s == "" or s in text:
+            sep, rest = s, separators[i + 1 :]
+            break
+    if sep:
+        parts = text.split(sep)
+        parts = [parts[0]] + [sep + p for p in parts[1:]]
+    else:
+        parts = list(text)
+    out, window = [], []
+
+    def flush():
+        nonlocal window
+        if window:
+            joined = "".join(window).strip()
+            if joined:
+                out.append(joined)
+
+    def add(part):
+        nonlocal window
+        if window and sum(map(len, window)) + len(part) > size:
+            flush()
+            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(part) > size):
+                window = window[1:]
+        window.append(part)
+
+    for part in (p for p in parts if p):
+        if len(part) < size:
+            add(part)
+            continue
+        flush()
+        window = []
+        if rest:
+            out.extend(plain_split(part, rest, size, overlap))
+        else:
+            out.append(part)
+    flush()
+    return out
+
+
+def test_split_chunks_on_the_table(spark):
+    """All chunks of all texts, and what ingestion makes of them, against the plain splitter."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    import pandas as pd
+    from conftest import TESTDATA
+
+    from corpusmill.params import SEPARATORS
+    from corpusmill.plans import catalog
+
+    d = pd.read_parquet(f"{TESTDATA}/documents.parquet")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = Counter()
+    for i, t, source in zip(d.doc_id, d.text, d.source, strict=True):
+        for k, piece in enumerate(plain_split(t, SEPARATORS)):
+            want[f"{source}_{md5(f'{i}|{t}')}_{k:04d}", k, md5(piece), len(piece)] += 1
+    got = Counter((r["chunk_id"], r["chunk_index"], r["md5"], r["n"]) for r in catalog.QUERIES["split_chunks"](spark, TESTDATA).collect())
+    assert got == want
+    clean = {r["t"]: r["c"] for r in spark.createDataFrame(d[["text"]]).select(F.col("text").alias("t"), text_functions.clean(F.col("text")).alias("c")).collect()}
+    files = {(s, md5(t)): clean[t] for s, t in zip(d.source, d.text, strict=True) if clean[t]}
+    told = defaultdict(lambda: [0, 0, 0])
+    for (s, _), t in files.items():
+        pieces = plain_split(t, SEPARATORS)
+        told[s] = [told[s][0] + len(pieces), told[s][1] + (len(pieces) > 0), max([told[s][2], *map(len, pieces)])]
+    assert {r["user_id"]: [r["n_chunks"], r["n_files"], r["longest"]] for r in catalog.QUERIES["ingest_files"](spark, TESTDATA).collect()} == told
+
+
 def test_merge(spark):
     rows = [(1, 0, "a", 1, ["p"], [1.0, 0.0]), (1, 1, "b", 2, ["p", "q"], [1.0, 0.0]), (1, 2, "c", 5, None, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "file_id long, seq int, text string, page int, image_paths array<string>, embedding array<double>")
