@@ -27,6 +27,12 @@ class Captioner(Protocol):
     def __call__(self, images: list[bytes]) -> list[str | None]: ...
 
 
+class Recognizer(Protocol):
+    """Lines (distance from the top, text) that stand in images given as bytes."""
+
+    def __call__(self, images: list[bytes]) -> list[list[tuple[float, str]]]: ...
+
+
 Rewriter = Callable[[Column, Column], Column]
 Scorer = Callable[[Column, Column], Column]
 
@@ -115,6 +121,29 @@ def caption(images: DataFrame, captioner: Captioner, p: Params = DEFAULT, batch:
     return images.mapInPandas(run, T.StructType([*images.schema.fields, T.StructField("caption", T.StringType())]))
 
 
+def recognize(images: DataFrame, recognizer: Recognizer, p: Params = DEFAULT, batch: int = 16) -> DataFrame:
+    """images: (..., content binary). Adds ``lines``, array<struct<y, text>>; empty where nothing stands or the recognizer keeps failing."""
+    from pyspark.sql import types as T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            content, out = [bytes(c) if c is not None else b"" for c in pdf["content"]], []
+            for k in range(0, len(content), batch):
+                try:
+                    out += patiently(lambda own=content[k : k + batch]: recognizer(own), p.embed_waits)
+                except Exception:  # as an image without text
+                    out += [[]] * len(content[k : k + batch])
+            yield pdf.assign(lines=[[{"y": float(y), "text": t} for y, t in lines] for lines in out])
+
+    line = T.StructType([T.StructField("y", T.DoubleType()), T.StructField("text", T.StringType())])
+    return images.mapInPandas(run, T.StructType([*images.schema.fields, T.StructField("lines", T.ArrayType(line))]))
+
+
+def no_lines(images: list[bytes]) -> list[list[tuple[float, str]]]:
+    """The recognizer where there is no model."""
+    return [[] for _ in images]
+
+
 def described(images: list[bytes]) -> list[str | None]:
     """The captioner where there is no model: size and digest of what is not empty."""
     return [f"{len(c)} bytes, {zlib.crc32(c):08x}" if c else None for c in images]

@@ -37,6 +37,21 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(keys).distinct(), keys, "left_anti")
 
 
+def cascade(chunks: DataFrame, ledger: DataFrame, images: DataFrame, gone: DataFrame, keys: tuple[str, ...] = ("user_id", "md5")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Deletion of documents, or with keys (user_id,) of tenants: what stays of chunks, ledger and images. Write them in this order: what a failure leaves behind is then still in the ledger, and can be deleted again."""
+    return tuple(without(rows, gone, list(keys)) for rows in (chunks, ledger, images))  # type: ignore[return-value]
+
+
+def orphan_images(images: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Images of documents that the ledger does not have, as after a failure."""
+    return images.join(ledger.select("user_id", "md5").distinct(), ["user_id", "md5"], "left_anti")
+
+
+def listed(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Chunks of documents that the ledger has: what stays of a store when appending to the ledger has failed."""
+    return chunks.join(ledger.select("user_id", "md5").distinct(), ["user_id", "md5"], "left_semi")
+
+
 def upsert(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows take the place of old ones with equal keys."""
     return without(rows, new, keys).unionByName(new, allowMissingColumns=True)

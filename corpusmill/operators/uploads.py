@@ -46,6 +46,21 @@ def archive_fits(members: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return out.withColumn("fits", F.col("bytes") <= p.max_expanded_bytes)
 
 
+# First bytes of files in hex, with their media type.
+MEDIA = (("25504446", "application/pdf"), ("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("D0CF11E0", "application/x-ole-storage"))
+#: Bytes of a file that its media type is told by.
+SNIFFED = 2048
+
+
+def media_type(content_hex: Column) -> Column:
+    """The media type by the first SNIFFED bytes, given as upper-case hex: a guess that is stored with the upload and refuses none."""
+    head = F.substring(content_hex, 1, 2 * SNIFFED)
+    out = F.when(F.coalesce(F.length(head), F.lit(0)) == 0, "application/x-empty")
+    for first, kind in MEDIA:
+        out = out.when(head.startswith(first), kind)
+    return out.when(F.regexp_replace(head, "(..)", "$1 ").contains("00 "), "application/octet-stream").otherwise("text/plain")
+
+
 def diagnose(content_hex: Column) -> Column:
     """Status by the first bytes, given as upper-case hex of the content's beginning."""
     out = F.when(F.length(content_hex) == 0, "empty_file")

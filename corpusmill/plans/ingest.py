@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, management, uploads
 from ..params import DEFAULT, Params
+from ..sources import loaders, places, tables
 
 
 def ingest(files: DataFrame, ledger: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -25,5 +26,38 @@ def publish(store: str, chunks: DataFrame) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(store)
 
 
+def record(store: str, ledger: str, chunks: DataFrame, rows: DataFrame) -> None:
+    """Publish chunks, then append their documents to the ledger. If that fails, the chunks that the ledger does not list go again, and the failure is raised."""
+    spark = chunks.sparkSession
+    publish(store, chunks)
+    try:
+        loaders.append_ledger(rows, ledger)
+    except Exception:
+        roll_back(spark, store, ledger)
+        raise
+
+
+def roll_back(spark: SparkSession, store: str, ledger: str) -> None:
+    """Leave only what the ledger lists in a store; the rest is written aside first, as Spark can't replace what it reads."""
+    there = Path(spark, ledger).exists()
+    known = loaders.read_ledger(spark, ledger) if there else tables.empty(spark, "user_id string, md5 string")
+    held = spark.read.parquet(store)
+    aside = places.fresh(spark, "rollback")
+    management.listed(held, known).write.parquet(aside)
+    spark.read.schema(held.schema).parquet(aside).write.mode("overwrite").partitionBy("user_id").parquet(store)
+
+
+class Path:
+    """A path in whatever file system Spark reads it from."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.path)
+
+
 def merge_into(store: DataFrame, chunks: DataFrame) -> DataFrame:
     return management.upsert(store, chunks, ["chunk_id"])

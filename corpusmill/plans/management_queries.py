@@ -47,6 +47,16 @@ def clear_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.without(_store(spark, sf_dir), spark.createDataFrame([("src0",)], "user_id string"), ["user_id"]).select("user_id", "md5", "chunk_index")
 
 
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents go from chunks, ledger and images (one for each chunk); the ledger lacks two tenants, whose images are orphans."""
+    store = _store(spark, sf_dir)
+    ledger = store.where("user_id not in ('src1', 'src2')").select("user_id", "md5").distinct()
+    images = store.select("user_id", "md5", F.concat_ws("/", "user_id", "chunk_index").alias("path"))
+    chunks, left, kept = mg.cascade(store, ledger, images, _labelled(spark, sf_dir, "toxic = 1"))
+    tell = lambda df, what: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "user_id", "n")
+    return tell(chunks, "chunks").unionByName(tell(left, "ledger")).unionByName(tell(kept, "images")).unionByName(tell(mg.orphan_images(kept, left), "orphans")).unionByName(tell(mg.listed(chunks, left), "listed"))
+
+
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents come again under another name."""
     new = _labelled(spark, sf_dir, "toxic = 1").withColumn("original_filename", F.lit("again"))
@@ -190,7 +200,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_catalogue, ledger_reconcile, delete_by_md5, delete_by_filename, clear_user, upsert_chunks, conversation_list, conversation_page, context_window, session_title, title_backfill, history_text,
+        document_catalogue, ledger_reconcile, cascade_delete, delete_by_md5, delete_by_filename, clear_user, upsert_chunks, conversation_list, conversation_page, context_window, session_title, title_backfill, history_text,
         simple_rewrite, append_exchange, conversation_delete, message_json, role_remap, task_progress, error_details, degradation_merge, tool_limit, stage_percent, event_lines, stream_progress,
         stream_windows, stream_dedup, stream_sessions,
     )
@@ -215,6 +225,10 @@ ORACLES = {
     "document_catalogue": f"WITH {_STORE} SELECT user_id, md5, arg_min(original_filename, chunk_index) AS original_filename, arg_min(created_at, chunk_index) AS upload_time, count(*) AS n_chunks FROM s GROUP BY user_id, md5",
     "ledger_reconcile": f"WITH {_STORE}, l AS (SELECT user_id, md5 FROM s JOIN labels ON doc_id = chunk_index UNION SELECT 'src' || (item_id % 20), md5(text) FROM benchmark), d AS (SELECT DISTINCT user_id, md5 FROM s) "
     "SELECT *, 'backfill' AS action FROM (FROM d EXCEPT FROM l) UNION ALL SELECT *, 'purge' FROM (FROM l EXCEPT FROM d)",
+    "cascade_delete": f"WITH {_STORE}, g AS (SELECT DISTINCT user_id, md5 FROM s JOIN labels ON doc_id = chunk_index WHERE toxic = 1), c AS (SELECT * FROM s WHERE (user_id, md5) NOT IN (SELECT (user_id, md5) FROM g)), "
+    "l AS (SELECT DISTINCT user_id, md5 FROM c WHERE user_id NOT IN ('src1', 'src2')), "
+    "a AS (SELECT 'chunks' AS what, user_id FROM c UNION ALL SELECT 'ledger', user_id FROM l UNION ALL SELECT 'images', user_id FROM c UNION ALL SELECT 'orphans', user_id FROM c WHERE user_id IN ('src1', 'src2') UNION ALL SELECT 'listed', user_id FROM c WHERE user_id NOT IN ('src1', 'src2')) "
+    "SELECT what, user_id, count(*) AS n FROM a GROUP BY what, user_id",
     "delete_by_md5": f"WITH {_STORE} SELECT user_id, md5, chunk_index FROM s WHERE (user_id, md5) NOT IN (SELECT (user_id, md5) FROM s JOIN labels ON doc_id = chunk_index WHERE toxic = 1)",
     "delete_by_filename": f"WITH {_STORE}, g AS (SELECT DISTINCT user_id, md5 FROM s WHERE original_filename IN (SELECT original_filename FROM s JOIN labels ON doc_id = chunk_index WHERE quality = 0)) SELECT user_id, md5, chunk_index FROM s ANTI JOIN g USING (user_id, md5)",
     "clear_user": f"WITH {_STORE} SELECT user_id, md5, chunk_index FROM s WHERE user_id <> 'src0'",

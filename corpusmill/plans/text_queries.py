@@ -176,6 +176,13 @@ def magic_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir).select("doc_id", uploads.diagnose(F.col("head")).alias("status"))
 
 
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of files, and texts as they are."""
+    rows = _named(spark, sf_dir).select("doc_id", uploads.media_type(F.col("head")).alias("of_head"))
+    whole = tables.documents(spark, sf_dir).select("doc_id", uploads.media_type(F.hex(F.encode("text", "UTF-8"))).alias("of_text"))
+    return rows.join(whole, "doc_id")
+
+
 def error_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.table(spark, sf_dir, "documents")
     errors = F.array(F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "No module named x").otherwise("ok"), F.when(F.col("doc_id") % 2 == 0, "文件已加密").otherwise("fitz"))
@@ -199,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, toc_filter, html_text, markdown_strip, markdown_parse, toc_paths, toc_paths_whole, split_chunks, ingest_files, semantic_merge, phash_dedup, batch_assign, page_ranges, pdf_type, page_types,
-        chart_rects, block_split, mixed_pages, mixed_pages_whole, exact_dedup, duplicate_files, validate_upload, archive_limits, magic_diagnosis, error_triage, classify_error, encoding_fallback,
+        chart_rects, block_split, mixed_pages, mixed_pages_whole, exact_dedup, duplicate_files, validate_upload, archive_limits, magic_diagnosis, media_types, error_triage, classify_error, encoding_fallback,
     )
 }
 
@@ -265,6 +272,7 @@ ORACLES = {
     "validate_upload": f"WITH n AS (SELECT doc_id, n_chars * 30000 AS size, 'd/f.' || {_pick(ENDINGS)} AS name FROM documents) SELECT doc_id, CASE WHEN size > 104857600 THEN 'size_exceeded' WHEN NOT {_OK} THEN 'unsupported_format' ELSE 'ok' END AS verdict FROM n",
     "archive_limits": f"WITH n AS (SELECT source AS archive_id, n_chars * 3000 AS size, 'd/f.' || {_pick(ENDINGS)} AS name FROM documents) SELECT archive_id, count_if({_OK})::BIGINT AS n_valid, count_if(NOT {_OK})::BIGINT AS n_skipped, CAST(sum(CASE WHEN {_OK} THEN size ELSE 0 END) AS BIGINT) AS bytes, sum(CASE WHEN {_OK} THEN size ELSE 0 END) <= 209715200 AS fits FROM n GROUP BY archive_id",
     "magic_diagnosis": f"SELECT doc_id, CASE {_pick(HEADS)} WHEN '' THEN 'empty_file' WHEN '25504446' THEN 'parse_error' WHEN '68656C6C' THEN 'unknown_format' ELSE 'unsupported_format' END AS status FROM documents",
+    "media_types": f"SELECT doc_id, CASE {_pick(HEADS)} WHEN '' THEN 'application/x-empty' WHEN '25504446' THEN 'application/pdf' WHEN '89504E47' THEN 'image/png' WHEN 'FFD8FFE0' THEN 'image/jpeg' WHEN '47494638' THEN 'image/gif' WHEN 'D0CF11E0' THEN 'application/x-ole-storage' ELSE 'text/plain' END AS of_head, CASE WHEN text = '' THEN 'application/x-empty' ELSE 'text/plain' END AS of_text FROM documents",
     "error_triage": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'No module named x' WHEN doc_id % 2 = 0 THEN '文件已加密' ELSE 'fitz' END AS error FROM documents",
     "classify_error": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'duplicate' WHEN event_id % 5 < 2 THEN 'empty_content' WHEN event_id % 5 < 4 THEN 'size_exceeded' ELSE 'parse_failed' END AS error_type FROM events",
     "encoding_fallback": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g') END) AS md5 FROM documents",

@@ -6,7 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -115,26 +115,57 @@ def load_files(files: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return files.select("path", "ext", "content").mapInPandas(run, LOADED)
 
 
-def expand_archives(archives: DataFrame) -> DataFrame:
-    """archives: (path, content). archive, name, content of the members; names that lead outside are left out."""
+def docx_images(content: bytes) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the embedded images, named as docx() names them."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        media = [n for n in z.namelist() if n.startswith("word/media/")]
+        return [(f"docx_i{k}.{PurePosixPath(n).suffix.lstrip('.') or 'png'}", z.read(n)) for k, n in enumerate(media)]
+
+
+def expand_archives(archives: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """archives: (path, content). archive, name, content, error of the members; names that lead outside are left out.
 
-    def members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    What an archive says of its members' sizes is not trusted: a member is read
+    only as far as the limit on all expanded bytes goes. An archive beyond that,
+    or beyond the limit on its own size, ends with a row with an error, as does
+    one that is broken; no archive fails the job.
+    """
+
+    def members(name: str, content: bytes) -> Iterator[tuple[str, Callable]]:
         if name.lower().endswith(".zip"):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+                yield from ((i.filename, lambda i=i: z.open(i)) for i in z.infolist() if not i.is_dir())
         else:
             with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                yield from ((m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile())
+                yield from ((m.name, lambda m=m: t.extractfile(m)) for m in t if m.isfile())
+
+    def rows(path: str, content: bytes) -> Iterator[tuple[str, str | None, bytes | None, str | None]]:
+        left = p.max_expanded_bytes
+        if len(content) > p.max_archive_bytes:
+            yield path, None, None, "size_exceeded"
+            return
+        try:
+            for name, open_ in members(path, content):
+                parts = PurePosixPath(name.replace("\\", "/")).parts
+                if not parts or name.startswith("/") or ".." in parts:
+                    continue
+                with open_() as f:
+                    data = f.read(left + 1)
+                left -= len(data)
+                if left < 0:
+                    yield path, None, None, "size_exceeded"
+                    return
+                yield path, "/".join(parts), data, None
+        except Exception as e:  # a broken archive is a row with its error
+            yield path, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for name, data in members(path, bytes(content)):
-                    parts = PurePosixPath(name.replace("\\", "/")).parts
-                    if parts and not name.startswith("/") and ".." not in parts:
-                        yield pd.DataFrame({"archive": [path], "name": ["/".join(parts)], "content": [data]})
+                for row in rows(path, bytes(content)):
+                    yield pd.DataFrame([row], columns=["archive", "name", "content", "error"])
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+    return archives.select("path", "content").mapInPandas(run, "archive string, name string, content binary, error string")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -8,13 +8,16 @@ Unicode. What it can't read, a plug-in can: operators only ask for rows of
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .loaders import docx_images
+
 PAGES = "path string, page int, text string, images array<struct<name:string,w:int,h:int>>, error string"
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"^(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -144,14 +147,45 @@ class Pdf:
                 out.append({"name": f"p{number}_i{len(out)}.{kind}", "w": size[0], "h": size[1]})
         return out
 
+    def image_bytes(self, page: bytes, number: int) -> list[tuple[str, bytes]]:
+        """(name, content) of the images of a page that are JPEG files, or plain grey or RGB samples, which become PNG files."""
+        out = []
+        bodies = [self.objects.get(int(n), b"") for n in re.findall(rb"/[^\s/<>\[\]()]+\s+(\d+)\s+\d+\s+R", self.value(self.value(page, b"Resources"), b"XObject"))]
+        named = self.images(page, number)
+        for image, body in zip(named, (b for b in bodies if re.search(rb"/Subtype\s*/Image\b", b)), strict=True):
+            m = _STREAM.match(body)
+            if b"/DCTDecode" in body:
+                out.append((image["name"], m[2] if m else b""))
+            else:
+                samples, w, h = self.stream(body), image["w"], image["h"]
+                for channels, kind in ((1, 0), (3, 2)):
+                    if w and h and len(samples) == w * h * channels:
+                        out.append((image["name"], png(samples, w, h, kind)))
+        return out
+
+
+def png(samples: bytes, w: int, h: int, kind: int) -> bytes:
+    """Samples of eight bits as a PNG file; kind: 0 grey, 2 RGB."""
+    size = len(samples) // h
+    lines = b"".join(b"\x00" + samples[k * size : (k + 1) * size] for k in range(h))
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
-def load_pages(files: DataFrame) -> DataFrame:
-    """files: (path, content). A row a page; a file that can't be read is one row with page 0 and its error."""
+
+def load_pages(files: DataFrame, other: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """files: (path, content). A row a page; a file that can't be read is one row with page 0 and its error. other: texts of the pages of a file by another extractor, asked where this one fails; never for encrypted files."""
 
     def rows(path: str, content: bytes) -> list[dict]:
         try:
-            pdf = Pdf(content)
-            found = [{"path": path, "page": k, "text": pdf.text(p), "images": pdf.images(p, k), "error": None} for k, p in enumerate(pdf.pages(), 1)]
+            try:
+                pdf = Pdf(content)
+                found = [{"path": path, "page": k, "text": pdf.text(p), "images": pdf.images(p, k), "error": None} for k, p in enumerate(pdf.pages(), 1)]
+            except Encrypted:
+                raise
+            except Exception:
+                if other is None:
+                    raise
+                found = [{"path": path, "page": k, "text": t, "images": [], "error": None} for k, t in enumerate(other(content), 1)]
             return found or [{"path": path, "page": 0, "text": None, "images": [], "error": "解析结果为空"}]
         except Exception as e:  # a broken file is a row with its error
             return [{"path": path, "page": 0, "text": None, "images": [], "error": f"{type(e).__name__}: {e}"}]
@@ -164,6 +198,29 @@ def load_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+def load_images(files: DataFrame) -> DataFrame:
+    """files: (path, content). path, page, name, content of the images of PDF and DOCX files (page 0); files that can't be read have none."""
+
+    def found(path: str, content: bytes) -> Iterator[tuple[int, str, bytes]]:
+        try:
+            if content.startswith(b"%PDF"):
+                pdf = Pdf(content)
+                for k, p in enumerate(pdf.pages(), 1):
+                    yield from ((k, name, data) for name, data in pdf.image_bytes(p, k))
+            elif path.lower().endswith(".docx"):
+                yield from ((0, name, data) for name, data in docx_images(content))
+        except Exception:  # load_pages and load_files tell the error
+            return
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                for page, name, data in found(path, bytes(content)):
+                    yield pd.DataFrame([(path, page, name, data)], columns=["path", "page", "name", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, name string, content binary")
+
+
 def complete_files(pages: DataFrame) -> DataFrame:
     """Pages of the files in which every page has text: one blank page fails its file."""
     blank = F.max((F.coalesce(F.trim("text"), F.lit("")) == "").cast("int")).over(Window.partitionBy("path"))

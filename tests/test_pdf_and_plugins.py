@@ -50,9 +50,67 @@ def test_files(spark):
     assert {r["file_id"]: r["pdf_type"] for r in typed.collect()} == {"a": "mixed", "b": "mixed"}
 
 
+def test_pages_by_type_in_one_plan(spark):
+    """Text, mixed and scanned pages, broken files, a second extractor, against plain strings."""
+    from corpusmill.plans import documents
+
+    mixed = made([rb"BT /F1 12 Tf (Intro) Tj ET", rb"BT /F1 12 Tf (Figure below) Tj ET"])
+    files = spark.createDataFrame([("t", bytearray(made(PAGES))), ("m", bytearray(mixed)), ("c", bytearray(b"junk")), ("e", bytearray(made(PAGES, b"trailer << /Encrypt 9 0 R >>")))], "path string, content binary")
+    told = lambda images: [f"seen {c.decode()}" for c in images]
+    read = lambda images: [[(9.0, "below"), (1.0, "above"), (5.0, " ")] for _ in images]
+    tables = spark.createDataFrame([("m", 2, [[["a", None], ["b", "c"]]])], documents.TABLES)
+    rows = {(r["path"], r["page"]): (r["page_type"], r["text"]) for r in documents.page_texts(files, captioner=told, recognizer=read, tables=tables).collect()}
+    assert rows["t", 1] == ("text_pdf", "Hello (x)\nworld") and rows["t", 3] == ("scan_pdf", "above\nbelow")
+    assert rows["m", 1] == ("text_pdf", "Intro") and rows["m", 2] == ("text_mix_pdf", "Figure below\n\na | \nb | c\n\n\n\n[图表描述]: seen x")
+    assert rows["c", 0] == (None, None) and rows["e", 0] == (None, None)
+    plain = {(r["path"], r["page"]): r["text"] for r in documents.page_texts(files, other=lambda content: ["one", "two"]).collect()}
+    assert plain["t", 3] == plugins.described([b"x"])[0] and plain["c", 2] == "two" and plain["e", 0] is None
+
+
+def test_image_bytes(spark):
+    import io
+    import zipfile
+
+    samples = bytes(range(12))
+    body = b"<< /Subtype /Image /Width 2 /Height 2 /Filter /FlateDecode >> stream\n" + zlib.compress(samples) + b"\nendstream"
+    data = made(PAGES).replace(b"7 0 obj << /Subtype /Image /Width 100 /Height 40 /Filter /DCTDecode >> stream\nx\nendstream endobj", b"7 0 obj " + body + b" endobj")
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("word/media/a.jpeg", b"J")
+    files = spark.createDataFrame([("a.pdf", bytearray(data)), ("b.docx", bytearray(docx.getvalue())), ("c.pdf", bytearray(b"%PDF broken"))], "path string, content binary")
+    rows = {(r["path"], r["page"], r["name"]): bytes(r["content"]) for r in pdf.load_images(files).collect()}
+    assert set(rows) == {("a.pdf", 3, "p3_i0.png"), ("b.docx", 0, "docx_i0.jpeg")} and rows["b.docx", 0, "docx_i0.jpeg"] == b"J"
+    made_png = rows["a.pdf", 3, "p3_i0.png"]
+    assert made_png[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(made_png.split(b"IDAT")[1][:-16]) == b"\x00" + samples[:6] + b"\x00" + samples[6:]
+
+
+def test_captions_that_fail(spark):
+    df = spark.createDataFrame([(k, bytearray(b"x" * k)) for k in range(3)], "id long, content binary")
+
+    def never(images):
+        raise OSError
+
+    assert {r["caption"] for r in plugins.caption(df, never, Params(embed_waits=())).collect()} == {None}
+    assert [r["caption"] is None for r in plugins.caption(df, plugins.described).orderBy("id").collect()] == [True, False, False]
+    assert plugins.recognize(df, never, Params(embed_waits=())).where("size(lines) > 0").count() == 0
+
+
+def test_rewriting_in_the_plan(spark):
+    """Queries that ask are searched by the vector of what the rewriter makes of them, others by their own."""
+    from corpusmill.plans import search
+
+    chunks = spark.createDataFrame([("u", 1, "alpha beta"), ("u", 2, "gamma delta"), ("u", 3, "other thing")], "user_id string, chunk_id long, text string")
+    vectors = plugins.embed(chunks).select("user_id", "chunk_id", "embedding")
+    q = spark.createDataFrame([(1, "u", "what is it?", "h"), (2, "u", "gamma delta longer text", "h"), (3, "u", "gamma", "h"), (4, "u", "is that so?", None)], "query_id long, user_id string, text string, history string")
+    rewriter = lambda text, past: F.when(past.isNotNull(), "alpha beta").otherwise(" x")
+    got = search.hybrid_search(chunks, vectors, q, embedder=plugins.hashed_words, rewriter=rewriter, threshold=0.5).collect()
+    found = {(r["query_id"], r["strategy"]): r["chunk_id"] for r in got}
+    assert found == {(1, "hybrid_rewritten"): 1, (2, "hybrid"): 2, (3, "bm25_only"): 2}
+
+
 def test_embedding_in_batches(spark, tmp_path):
     df = spark.createDataFrame([(k, "a b" if k % 2 else "c") for k in range(9)], "id long, text string")
-    rows = plugins.embed(df, p=Params(batch_count=2)).collect()
+    rows = plugins.embed(df, p=Params(batch_count=2, embed_pause=0)).collect()
     assert len(rows) == 9 and rows[0].asDict().keys() == {"id", "text", "embedding"}
     assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in rows)
     log = str(tmp_path / "calls")
@@ -64,7 +122,7 @@ def test_embedding_in_batches(spark, tmp_path):
             raise OSError
         return [[0.0]] * len(texts)
 
-    assert plugins.embed(df.coalesce(1), flaky, Params(batch_count=4)).count() == 9
+    assert plugins.embed(df.coalesce(1), flaky, Params(batch_count=4, embed_pause=0, embed_waits=(0.0,))).count() == 9
     assert sorted(open(log).read().split()) == ["1", "4", "4", "4"]
 
 

@@ -4,6 +4,7 @@ import io
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.sources import loaders
@@ -63,6 +64,44 @@ def test_files_and_archives(spark, tmp_path):
     assert sorted((r["name"], bytes(r["content"])) for r in members.collect()) == [("d/x.txt", b"1"), ("y.txt", b"3")]
 
 
+def test_archives_that_do_not_fit_or_are_broken(spark):
+    import io
+    import zipfile
+
+    from corpusmill.params import Params
+
+    def zipped(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return bytearray(out.getvalue())
+
+    df = spark.createDataFrame([("a.zip", zipped(a=b"1" * 50, b=b"2" * 60)), ("b.zip", bytearray(b"PK junk")), ("c.tar.gz", bytearray(b"junk")), ("d.zip", zipped(x=b"3")), ("e.zip", zipped(**{f"n{k}": b"" for k in range(90)}))], "path string, content binary")
+    rows = loaders.expand_archives(df, Params(max_expanded_bytes=100, max_archive_bytes=5000)).collect()
+    told = {(r["archive"], r["name"]): (r["content"] and bytes(r["content"]), r["error"]) for r in rows}
+    assert told["a.zip", "a"] == (b"1" * 50, None) and told["a.zip", None] == (None, "size_exceeded") and ("a.zip", "b") not in told
+    assert "BadZipFile" in told["b.zip", None][1] and "ReadError" in told["c.tar.gz", None][1]
+    assert told["d.zip", "x"] == (b"3", None) and told["e.zip", None] == (None, "size_exceeded")
+
+
+def test_a_failed_ledger_takes_its_chunks_along(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import ingest
+
+    store, ledger = str(tmp_path / "store"), str(tmp_path / "ledger")
+    chunks = lambda user, md5: spark.createDataFrame([(md5, f"{md5}-{k}", user) for k in range(2)], "md5 string, chunk_id string, user_id string")
+    rows = lambda user, md5: spark.createDataFrame([(user, md5, "f", "f", "t")], "user_id string, md5 string, filename string, original_filename string, upload_time string")
+    ingest.record(store, ledger, chunks("u", "m1"), rows("u", "m1"))
+
+    def fails(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(loaders, "append_ledger", fails)
+    with pytest.raises(OSError):
+        ingest.record(store, ledger, chunks("v", "m2"), rows("v", "m2"))
+    assert {r["md5"] for r in spark.read.parquet(store).collect()} == {"m1"}
+
+
 def test_ledger(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = spark.createDataFrame([("u", "m1", "f", "f", "t"), ("u", "m2", "g", "g", "t")], "user_id string, md5 string, filename string, original_filename string, upload_time string")
