@@ -17,6 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hangs every node on the smallest node that it can see; the
     edges of a node are never gathered, only their minimum is. Rounds grow
     with the logarithm of the largest component.
+
+    Defined results: edges of a node with itself, and no edges at all, give no
+    row; repeated and turned edges count once; nulls are not edges.
     """
     e = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     seen = _digest(e)

@@ -21,7 +21,7 @@ Defined results
 * null, empty and blank texts: no shingle, linked with nothing
 * fewer words than a shingle has: the whole sequence is the only shingle
 * very long texts: whole
-* rows with the same id: one document, whose components are one
+* ids are whole numbers, others fail; rows with the same id: one document
 * null id: linked with nothing, null component
 * empty table: empty result
 * extra or clashing columns: carried by ``drop_near_copies``, never looked at

@@ -1,4 +1,10 @@
-"""Word shingles of whole batches of texts in numpy, straight from Arrow buffers."""
+"""Word shingles of whole batches of texts in numpy, straight from Arrow buffers.
+
+Defined results: null, empty and blank texts have none; a text of fewer words
+than a shingle has one, the whole sequence; very long texts are taken whole,
+at some 60 bytes of memory for each of theirs; the rest of a batch does not
+change a text's set.
+"""
 
 from __future__ import annotations
 
