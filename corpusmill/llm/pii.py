@@ -49,7 +49,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: How secrets are announced in documents that windows for training are taken from.
 SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|password)[\x20\"':=]{1,4}([A-Za-z0-9+/_-]{16,})")
 
-#: Documents that windows for training are taken from, at most: those with personal data whose contents have the smallest hashes.
+#: Documents that windows for training are looked for in, and are taken from, at most: those whose contents have the smallest hashes.
+TRAIN_LOOKED = 6_000
 TRAIN_DOCS = 300
 #: Labelled spans of a document that windows are cut around, and characters of such a window, at most.
 TRAIN_SPANS = 6
@@ -213,17 +214,21 @@ def around(text: str, turn: int) -> list[tuple[str, list[tuple[str, int, int]]]]
 def labelled_windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Windows of a bounded sample of documents. Only hashes are sorted, and only windows leave the executors."""
     text = docs[text_col]
-    some = docs.where(text.rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]")).select(F.xxhash64(docs[id_col].cast("string"), text).alias("h"), text.alias("text"))
-    chosen = some.groupBy("h").count().select(F.col("h").alias("c")).orderBy("c").limit(TRAIN_DOCS)
+    some = docs.where(text.isNotNull()).select(F.xxhash64(docs[id_col].cast("string"), text).alias("h"), text.alias("text"))
+    chosen = some.groupBy("h").agg(F.lit(1)).select(F.col("h").alias("c")).orderBy("c").limit(TRAIN_LOOKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"text": t, "spans": [dict(zip(("kind", "start", "end"), x, strict=True)) for x in s]} for t, s in around(text, h % 9973)] for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _WINDOWS)], ["h", "windows"])
+            keep, found = [], []
+            for h, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                windows = around(own, h % 9973)
+                keep.append(any(spans for _, spans in windows))
+                found.append([{"text": t, "spans": [dict(zip(("kind", "start", "end"), x, strict=True)) for x in s]} for t, s in windows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _WINDOWS)], ["h", "windows"]).filter(pa.array(keep, pa.bool_()))
 
     rows = some.join(F.broadcast(chosen), F.col("h") == F.col("c")).select("h", "text").mapInArrow(run, "h long, windows array<struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>>")
-    one = rows.groupBy("h").agg(F.min("windows").alias("windows")).collect()  # equal rows once; a few windows each
-    return [(w["text"], [tuple(s) for s in w["spans"]]) for r in sorted(one) for w in r["windows"]]
+    one = rows.groupBy("h").agg(F.min("windows").alias("windows")).orderBy("h").limit(TRAIN_DOCS).collect()  # equal rows once; a few windows each
+    return [(w["text"], [tuple(s) for s in w["spans"]]) for r in one for w in r["windows"]]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
