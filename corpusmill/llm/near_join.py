@@ -46,9 +46,10 @@ from .shingles import mix, sets
 SMALL = 16
 #: Nodes in a block of a cluster; a cluster of more has pivots.
 BLOCK = 120
-#: Pivots of a cluster, and bytes of their sets, at most; bytes of the sets that are compared with them in one group; turns with pivots.
+#: Pivots of a cluster, and bytes of their sets, at most; nodes, and bytes of their sets, that are compared with them in one group; turns with pivots.
 PIVOTS = 64
 PIVOT_BYTES = 4 << 20
+GROUP_NODES = 400
 GROUP_BYTES = 16 << 20
 TURNS = 6
 #: Documents by the sketch from which on a shingle counts as one of many nodes unseen, and parts that its postings are dealt to.
@@ -391,7 +392,7 @@ def main_component(pdf: pd.DataFrame) -> tuple[dict[int, int], set[int], list[tu
 
 def _around_pivots(members: DataFrame, sizes: DataFrame, percent: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
     """One turn over large clusters: edges (a, b), and the members that are left to be compared with each other."""
-    groups = sizes.withColumn("parts", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int")).select("cluster", "parts")
+    groups = sizes.withColumn("parts", F.ceil(F.greatest(F.col("bytes") / GROUP_BYTES, F.col("size") / GROUP_NODES)).cast("int")).select("cluster", "parts")
     m = members.join(groups, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
     first = Window.partitionBy("cluster").orderBy("draw", "node")
     drawn = members.select("cluster", "node", F.xxhash64("node", F.lit(100 + turn)).alias("draw"), F.octet_length("grams").cast("long").alias("size")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
