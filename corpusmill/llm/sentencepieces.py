@@ -173,6 +173,11 @@ class Bpe:
         self.words[word] = found
         self.held += 4 * len(word) + len(found[0]) + len(found[2])
 
+    def forget(self) -> None:
+        """Empty the memory."""
+        self.words = {}
+        self.held = 0
+
     def learn(self, words: Iterable[str]) -> None:
         """Put words into the memory."""
         new = [w for w in words if w not in self.words]
@@ -193,8 +198,7 @@ class Bpe:
         for k in range(0, len(texts), 256):
             cut = [self.segments(t) for t in texts[k : k + 256]]
             if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
-                self.words.clear()
-                self.held = 0
+                self.forget()
             self.learn({w for c in cut for w in c})
             for c in cut:
                 got = [self.words[w] for w in c]
@@ -245,6 +249,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
                 cols.append(pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        model.forget()  # the worker may do other work next
 
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
