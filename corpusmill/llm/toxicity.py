@@ -39,6 +39,7 @@ import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,8 @@ SCORE_ROWS = 64
 #: Most frequent terms, whose weights are a dense matrix; it decides on speed alone.
 HEAD = 512
 BLOCK = 64
+#: Postings that are made ready at once.
+PIECE_POSTINGS = 500_000
 #: Blocks that are looked into before any is skipped for what they hold.
 FIRST = 4
 NEIGHBOURS = 15
@@ -179,7 +182,7 @@ class Index:
     shift: float = 0.0
     looked: list[int] = field(default_factory=lambda: [0, 0])  # blocks looked into, and all
 
-    MADE = ("head", "column", "group", "block", "most", "place", "value", "_first", "looked")
+    MADE = ("head", "column", "group", "block", "most", "place", "count", "_first", "looked")
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in self.MADE}
@@ -198,17 +201,31 @@ class Index:
         for k, t in enumerate(often.tolist()):
             own = slice(self.start[t], self.start[t + 1])
             self.head[k, self.entry[own]] = self.tf[self.times[own]] * self.weight[t] / self.norm[self.entry[own]]
-        term = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        rest = self.column[term] < 0
-        term, self.place = term[rest], self.entry[rest].astype(np.int32)
-        self.value = (self.tf[self.times[rest]] * self.weight[term] / self.norm[self.place]).astype(np.float32)
-        block = self.place // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
-        self.block = np.append(block[first], 0)
-        self.most = np.append(np.maximum.reduceat(self.value, first) if len(first) else self.value, np.float32(0))
-        self.group = np.searchsorted(term[first], np.arange(len(size) + 1)).astype(np.int64)  # groups of a term
-        self.place, self.value = np.append(self.place, 0), np.append(self.value, np.float32(0))
-        self._first = np.append(first, len(term))
+        # of the others, a few terms at a time: entries and counts side by side, and for each block that a term has its largest weight
+        kept, places, firsts, blocks_, most = [], [], [], [], []
+        groups, total = np.zeros(len(size) + 1, np.int64), 0
+        wide = np.min_scalar_type(max(1, blocks))
+        cuts = [*np.unique(np.searchsorted(self.start, np.arange(0, int(self.start[-1]), PIECE_POSTINGS))).tolist(), len(size)]
+        for a, b in pairwise(cuts):
+            own = slice(int(self.start[a]), int(self.start[b]))
+            term = np.repeat(np.arange(a, b, dtype=np.int32), size[a:b])
+            rest = self.column[term] < 0
+            term, place, times = term[rest], self.entry[own][rest], self.times[own][rest]
+            value = (self.tf[times] * self.weight[term] / self.norm[place]).astype(np.float32)
+            block = place // BLOCK
+            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+            if len(first):
+                groups[a + 1 : b + 1] = np.bincount(term[first] - a, minlength=b - a)
+                most.append(np.maximum.reduceat(value, first))
+                blocks_.append(block[first].astype(wide))
+                firsts.append((first + total).astype(np.int32))
+            kept.append(times)
+            places.append(place)
+            total += len(term)
+        join = lambda parts, kind, end: np.concatenate([*parts, np.array([end], kind)]).astype(kind, copy=False)
+        self.place, self.count = join(places, self.entry.dtype, 0), join(kept, self.times.dtype, 0)
+        self.block, self.most, self._first = join(blocks_, wide, 0), join(most, np.float32, 0), join(firsts, np.int32, total)
+        self.group = np.cumsum(groups)  # groups of a term
 
     def known(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(term, weight) of those that are in the index, of unit length."""
@@ -239,7 +256,7 @@ class Index:
         rare = self.column[terms] < 0
         own, w = terms[rare], w[rare].astype(np.float32)
         begin, end = self.group[own], self.group[own + 1]
-        group, w = ranges(begin, end), np.repeat(w, end - begin)
+        group, w, full = ranges(begin, end), np.repeat(w, end - begin), np.repeat(w * self.weight[own], end - begin)
         of = self.block[group]
         bound = top + np.bincount(of, weights=w * self.most[group], minlength=len(top)) + 1e-6
         order = np.argsort(-bound, kind="stable")
@@ -252,11 +269,11 @@ class Index:
             inside[wanted] = True
             mine = inside[of]
             g = group[mine]
-            begin, end = self._first[g], self._first[g + 1]
+            begin, end = self._first[g].astype(np.int64), self._first[g + 1].astype(np.int64)
             at = ranges(begin, end)
-            more = np.bincount(self.place[at], weights=np.repeat(w[mine], end - begin) * self.value[at], minlength=len(dots))
+            more = np.bincount(self.place[at], weights=np.repeat(full[mine], end - begin) * self.tf[self.count[at]], minlength=len(dots))
             entries = ranges(wanted * BLOCK, np.minimum(wanted * BLOCK + BLOCK, len(self.norm)))
-            sims, where = np.r_[sims, dots[entries] + more[entries]], np.r_[where, entries]
+            sims, where = np.r_[sims, dots[entries] + more[entries] / self.norm[entries]], np.r_[where, entries]
             self.looked[0] += len(wanted)
             if len(sims) >= k:
                 least = max(least, float(np.partition(sims, -k)[-k]))

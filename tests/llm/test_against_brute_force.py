@@ -194,6 +194,7 @@ def test_neighbours_are_the_exact_ones(monkeypatch, head):
     """Against all cosines, whatever is dense; blocks are skipped."""
     monkeypatch.setattr(toxicity, "HEAD", head)
     monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "PIECE_POSTINGS", 1000)
     rng = np.random.default_rng(2)
     topics = [rng.integers(0, 400, 30) for _ in range(12)]
     draw = lambda: Counter(int(k) for k in rng.choice(topics[int(rng.integers(12))], 12)) + Counter({int(rng.integers(400)): 1})
