@@ -227,6 +227,12 @@ class Index:
         self.block, self.most, self._first = join(blocks_, wide, 0), join(most, np.float32, 0), join(firsts, np.int32, total)
         self.group = np.cumsum(groups)  # groups of a term
 
+    def forget(self) -> None:
+        """Drop what ``ready`` has made, as workers keep the index when a task has ended."""
+        for name in self.MADE:
+            if name != "looked":
+                self.__dict__.pop(name, None)
+
     def known(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(term, weight) of those that are in the index, of unit length."""
         if not len(self.keys):
@@ -399,6 +405,7 @@ def left_out(shared, rows: DataFrame) -> DataFrame:
                 best = np.argsort(-np.where(n > 0, sims, -1), kind="stable")[:NEIGHBOURS]
                 votes.append(index.vote(sims[best], n[best], toxic[best]))
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(0)], ["vote", "label"])
+        index.forget()
 
     return rows.select("label", "alike", "terms", "counts").mapInArrow(run, "vote double, label int")
 
@@ -438,6 +445,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
             if evidence:
                 columns.append(pa.array([own.evidence(*x) for x in near], _NEAR))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"][: len(columns)])
+        own.forget()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     more = ", evidence array<struct<id:string,cosine:double,n:int,toxic:int>>" if evidence else ""
@@ -455,6 +463,7 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
         own = shared.value
         for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
             yield batch.filter(pa.array(own.scores(batch.column(at).to_pylist())[0] < THRESHOLD))
+        own.forget()
 
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the names are
