@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, near_join, pii, quality, sentencepieces, sharding, toxicity, warc
+from . import centroids, divergence, exact_dedup, langid, minhash, mixing, near_join, pii, quality, sentencepieces, sharding, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op4_quality_rules": quality.SQL,
     "op5_ngram_jaccard": near_join.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_minhash_near_dedup": minhash.SQL,
+    "op12_centroid_clustering": centroids.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
