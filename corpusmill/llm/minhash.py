@@ -166,6 +166,25 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) ->
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect what is similar in every cluster; members: (node, cluster, grams). The edges of each turn are written before the next, so that no plan holds more than one turn."""
+    members = common.stored(members, "clusters")
+    edges: list[DataFrame] = []
+    for turn in range(near_join.TURNS + 1):
+        sizes = common.stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("grams").cast("long")).alias("bytes")).where("size > 1"), "sizes")
+        large = sizes.where(F.col("size") > near_join.BLOCK)
+        last = turn == near_join.TURNS or large.isEmpty()
+        edges.append(common.stored(near_join._in_blocks(members, sizes if last else sizes.where(F.col("size") <= near_join.BLOCK), percent), "edges"))
+        if last:
+            break
+        found, members = near_join._around_pivots(members.join(large.select("cluster"), "cluster", "left_semi"), large, percent, turn)
+        edges += [common.stored(e, "edges") for e in found]
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: components of the pairs with 100 * intersection >= percent * union."""
     with common.batches(docs.sparkSession):
@@ -196,7 +215,7 @@ def _near_groups(source: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     known = common.stored(near_join._sets_of(source, common.stored(wanted, "wanted"), words), "sets")
     with_sets = pairs.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    links = common.stored(near_join._verified(with_sets, percent).unionByName(near_join._cluster_links(members.join(known, "node"), percent)), "links")
+    links = common.stored(near_join._verified(with_sets, percent).unionByName(_cluster_links(members.join(known, "node"), percent)), "links")
     found = connected_components(links)
 
     full = heads.drop("sig").join(nodes.drop("sig"), ["n", "s1", "s2"], "left").join(found, "node", "left")
