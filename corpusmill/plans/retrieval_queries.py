@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import fusion, keyword, vector
+from ..operators import cells, fusion, keyword, segments, vector
 from ..params import DEFAULT, Params
 from ..sources import places, tables
 from . import search
@@ -62,6 +62,14 @@ def vector_topk_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of vector_topk over cells that are written first."""
+    v, path = tables.vectors(spark, sf_dir), places.fresh(spark, "cells")
+    cells.write_cells(v, path)
+    found = cells.cells_topk(spark, path, tenant_centres(v), threshold=0)
+    return found.select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = embedded_queries(spark, sf_dir)
     words = keyword.keyword_topk(tables.chunks(spark, sf_dir), q)
@@ -94,6 +102,19 @@ def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_segments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search over an index that took the chunks in four additions, lost the toxic ones in a fifth change, and was merged."""
+    index = segments.KeywordIndex(spark, places.fresh(spark, "segments"))
+    chunks = tables.chunks(spark, sf_dir)
+    for k in range(4):
+        index.update(chunks.where(F.pmod("chunk_id", F.lit(4)) == k))
+    toxic = tables.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+    index.update(gone=chunks.join(toxic, "chunk_id", "left_semi"))
+    index.merge()
+    found = index.search(tables.queries(spark, sf_dir))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, q = tables.chunks(spark, sf_dir), tables.queries(spark, sf_dir)
     hits = keyword.keyword_topk(chunks, q).withColumnRenamed("rank", "position").join(q.select("query_id", "user_id", F.col("text").alias("query")), "query_id").join(chunks, ["user_id", "chunk_id"])
@@ -132,7 +153,7 @@ def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.image_references(_hits(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, rrf_fusion, hybrid_search, hybrid_routes, bm25_indexed_topk, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, vector_cells_topk, rrf_fusion, hybrid_search, hybrid_routes, bm25_indexed_topk, bm25_segments_topk, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
 
 
 def words_sql(c: str) -> str:
@@ -200,9 +221,11 @@ ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
     "bm25_corpus_stats": f"WITH {_TOKENS.strip()}, g AS (SELECT user_id, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS sum_df, max(df) AS max_df FROM df GROUP BY user_id) SELECT user_id, n_docs, round(avgdl, 6) AS avgdl, n_terms, sum_df, max_df FROM st JOIN g USING (user_id)",
     "vector_topk": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT}",
+    "vector_cells_topk": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT}",
     "vector_topk_threshold": f"WITH {_CENTRES},{_NEAR} {_NEAR_OUT} WHERE distance <= 0.8",
     "vector_topk_default": f"WITH {_VECTORS}, qv AS (SELECT chunk_id AS query_id, user_id, e AS qe FROM v WHERE chunk_id % 50 = 0),{_NEAR} {_NEAR_OUT} WHERE distance <= 0.45",
     "bm25_indexed_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
+    "bm25_segments_topk": f"WITH {_BM25.replace('FROM documents', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw",
     "hybrid_routes": f"WITH {_BM25.replace(_QUERIES, _ROUTED)},{_EMBEDDED[:-1]} WHERE {_strategy_sql('q.text')} <> 'bm25_only'),{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, {_strategy_sql('q.text')} AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr JOIN q USING (query_id) WHERE final_rank <= 5",
     "rrf_fusion": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(0)} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, position FROM rr",
     "hybrid_search": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, 'hybrid' AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",

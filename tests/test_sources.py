@@ -85,23 +85,6 @@ def test_archives_that_do_not_fit_or_are_broken(spark):
     assert told["d.zip", "x"] == (b"3", None) and told["e.zip", None] == (None, "size_exceeded")
 
 
-def test_a_failed_ledger_takes_its_chunks_along(spark, tmp_path, monkeypatch):
-    from corpusmill.plans import ingest
-
-    store, ledger = str(tmp_path / "store"), str(tmp_path / "ledger")
-    chunks = lambda user, md5: spark.createDataFrame([(md5, f"{md5}-{k}", user) for k in range(2)], "md5 string, chunk_id string, user_id string")
-    rows = lambda user, md5: spark.createDataFrame([(user, md5, "f", "f", "t")], "user_id string, md5 string, filename string, original_filename string, upload_time string")
-    ingest.record(store, ledger, chunks("u", "m1"), rows("u", "m1"))
-
-    def fails(*_):
-        raise OSError("disk")
-
-    monkeypatch.setattr(loaders, "append_ledger", fails)
-    with pytest.raises(OSError):
-        ingest.record(store, ledger, chunks("v", "m2"), rows("v", "m2"))
-    assert {r["md5"] for r in spark.read.parquet(store).collect()} == {"m1"}
-
-
 def test_ledger(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = spark.createDataFrame([("u", "m1", "f", "f", "t"), ("u", "m2", "g", "g", "t")], "user_id string, md5 string, filename string, original_filename string, upload_time string")
@@ -113,16 +96,6 @@ def test_ledger(spark, tmp_path):
     assert any("m2" in x for x in left) and any("broken" in x for x in left) and not any('"m1"' in x for x in left)
 
 
-def test_publish_replaces_a_tenant(spark, tmp_path):
-    from corpusmill.plans import ingest
-
-    path = str(tmp_path / "store")
-    rows = spark.createDataFrame([("u", "a"), ("w", "b")], "user_id string, chunk_id string")
-    ingest.publish(path, rows)
-    ingest.publish(path, spark.createDataFrame([("u", "c")], "user_id string, chunk_id string"))
-    assert sorted(r["chunk_id"] for r in spark.read.parquet(path).collect()) == ["b", "c"]
-
-
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = spark.createDataFrame([("u", "a", 1), ("u", "a", 2), ("u", "b", 4000)], "user_id string, md5 string, s long").withColumn("ts", F.timestamp_seconds("s"))
