@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..params import DEFAULT, Params
+from ..sources import places
 
 
 def split_text(text: str, p: Params = DEFAULT) -> list[str]:
@@ -146,25 +147,95 @@ def batch_numbers(items: Column, p: Params = DEFAULT) -> Column:
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
-def assign_batches(items: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """items: (user_id, seq, n_chunks, n_chars). user_id, seq, batch.
+def next_starts(n: np.ndarray, c: np.ndarray, p: Params) -> np.ndarray:
+    """For a batch that starts before each item of a range: the item behind the one that fills it, or -1 if the range ends first."""
+    total_n, total_c = np.cumsum(n), np.cumsum(c)
+    end = np.minimum(np.searchsorted(total_n, total_n - n + p.batch_count), np.searchsorted(total_c, total_c - c + p.batch_chars))
+    return np.where(end < len(n), end + 1, -1)
 
-    Batches depend on all that went before, so a tenant's items pass one task
-    in order; they stream through it, and three counters are all it holds.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, batch, n, c = None, 0, 0, 0
-        for pdf in batches:
-            out = []
-            for u, x, y in zip(pdf["user_id"], pdf["n_chunks"].tolist(), pdf["n_chars"].tolist(), strict=True):
-                if u != user:
-                    user, batch, n, c = u, 0, 0, 0
-                out.append(batch)
-                n, c = n + x, c + y
-                if n >= p.batch_count or c >= p.batch_chars:
-                    batch, n, c = batch + 1, 0, 0
-            yield pd.DataFrame({"user_id": pdf["user_id"], "seq": pdf["seq"], "batch": out})
-
-    rows = items.select("user_id", F.col("seq").cast("long"), F.col("n_chunks").cast("long"), F.col("n_chars").cast("long"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "seq").mapInPandas(run, "user_id string, seq long, batch int")
+def range_map(n: np.ndarray, c: np.ndarray, p: Params) -> pd.DataFrame:
+    """What a range of items does to a batch that is open when it begins: rows (n, c, closed, open_n, open_c) in order.
+
+    The batch is filled by the first row of which n or c, what came since the
+    range began, is enough for it; closed is how many batches end in the range
+    then, and open_n and open_c what the last one left open has. The last row
+    is the whole range, for a batch that isn't filled in it (closed 0). Starts
+    jump to the next start, twice as far in each round.
+    """
+    k = len(n)
+    total_n, total_c = np.cumsum(n), np.cumsum(c)
+    start = next_starts(n, c, p)
+    jump = np.r_[np.where(start >= 0, start, np.arange(k)), k]
+    closed = np.r_[(start >= 0).astype(np.int64), 0]
+    while (jump[jump] != jump).any():
+        closed, jump = closed + closed[jump], jump[jump]
+    before_n, before_c = np.r_[0, total_n], np.r_[0, total_c]
+    # the items up to the one that fills even an empty batch, of equal totals the first
+    size = min(k, 1 + min(np.searchsorted(total_n, p.batch_count), np.searchsorted(total_c, p.batch_chars)))
+    head = np.flatnonzero(np.r_[True, (n[1:size] > 0) | (c[1:size] > 0)])
+    last = jump[head + 1]
+    rows = {"n": total_n[head], "c": total_c[head], "closed": 1 + closed[head + 1], "open_n": total_n[-1] - before_n[last], "open_c": total_c[-1] - before_c[last]}
+    out = pd.DataFrame(rows)
+    out.loc[len(out)] = [total_n[-1], total_c[-1], 0, 0, 0]
+    return out.astype("int64")
+
+
+def through_range(rows: pd.DataFrame, n: int, c: int, p: Params) -> tuple[int, int, int]:
+    """(batches closed, n, c) behind a range, for a batch with n and c before it."""
+    fills = np.flatnonzero((rows["n"].to_numpy()[:-1] + n >= p.batch_count) | (rows["c"].to_numpy()[:-1] + c >= p.batch_chars))
+    if not len(fills):
+        whole = rows.iloc[-1]
+        return 0, n + int(whole["n"]), c + int(whole["c"])
+    at = rows.iloc[fills[0]]
+    return int(at["closed"]), int(at["open_n"]), int(at["open_c"])
+
+
+def assign_batches(items: DataFrame, p: Params = DEFAULT, range_items: int = 100_000) -> DataFrame:
+    """items: (user_id, seq, n_chunks, n_chars). user_id, seq, batch: the batch of each item, in order; a batch closes behind the item that fills it.
+
+    A tenant's items are dealt to ranges. Each range tells what it does to a
+    batch that is open before it, by some rows; only these pass one task for
+    each tenant, which tells every range what it begins with, and ranges number
+    their own items. Counts are 0 or more, null counts 0; a null tenant is a
+    tenant; items of equal seq stand in any order.
+    """
+    spark = items.sparkSession
+    rows = items.select("user_id", F.col("seq").cast("long"), *[F.greatest(F.coalesce(F.col(x).cast("long"), F.lit(0)), F.lit(0)).alias(x) for x in ("n_chunks", "n_chars")])
+    ranges = max(1, -(-rows.count() // range_items))
+    path = places.fresh(spark, "batches")
+    rows.repartitionByRange(ranges, F.coalesce("user_id", F.lit("")), "user_id", "seq").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(f"{_ddl(rows)}, part int").parquet(path)
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        out = range_map(pdf["n_chunks"].to_numpy(), pdf["n_chars"].to_numpy(), p)
+        return out.assign(user_id=key[0], part=key[1], place=range(len(out)))[["user_id", "part", "place", *out.columns[:5]]]
+
+    def chained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        batch, n, c, out = 0, 0, 0, []
+        for part, own in pdf.sort_values(["part", "place"]).groupby("part"):
+            out.append((key[0], part, batch, n, c))
+            closed, n, c = through_range(own, n, c, p)
+            batch += closed
+        return pd.DataFrame(out, columns=["user_id", "part", "batch", "n", "c"])
+
+    def numbered(own: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("seq", kind="stable")
+        n, c = own["n_chunks"].to_numpy(copy=True), own["n_chars"].to_numpy(copy=True)
+        batch, n[0], c[0] = int(begin["batch"].iloc[0]), n[0] + begin["n"].iloc[0], c[0] + begin["c"].iloc[0]
+        start, at, opens = next_starts(n, c, p), 0, []
+        while 0 <= at < len(n):
+            opens.append(at)
+            at = int(start[at])
+        first = np.zeros(len(n), np.int64)
+        first[opens[1:]] = 1
+        return pd.DataFrame({"user_id": own["user_id"], "seq": own["seq"], "batch": batch + np.cumsum(first)})
+
+    maps = dealt.groupBy("user_id", "part").applyInPandas(told, "user_id string, part int, place int, n long, c long, closed long, open_n long, open_c long")
+    begins = maps.groupBy("user_id").applyInPandas(chained, "user_id string, part int, batch long, n long, c long")
+    return dealt.groupBy("user_id", "part").cogroup(begins.groupBy("user_id", "part")).applyInPandas(numbered, "user_id string, seq long, batch int")
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)

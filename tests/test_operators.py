@@ -173,6 +173,56 @@ def test_phash(spark):
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 3, (1, 4): 4, (2, 0): 0, (2, 1): 1, (2, 2): 2, (2, 3): 0}
 
 
+def plain_batches(rows, p):
+    out = {}
+    for user in {r[0] for r in rows}:
+        batch = n = c = 0
+        for _, seq, x, y in sorted(r for r in rows if r[0] == user):
+            out[user, seq] = batch
+            n, c = n + (x or 0), c + (y or 0)
+            if n >= p.batch_count or c >= p.batch_chars:
+                batch, n, c = batch + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("items", [1, 7, 64, 10_000])
+def test_batches_over_ranges_are_those_of_one_loop(spark, items):
+    import random
+
+    from corpusmill.params import Params
+
+    draw, p = random.Random(items), Params(batch_count=9, batch_chars=40)
+    rows = [("big", k, draw.choice([0, 0, 1, 2, 3, 30]), draw.choice([0, 1, 5, 50])) for k in range(300)] + [("zero", k, 0, 0) for k in range(40)] + [("null", 3, None, None), ("null", 4, 9, None), ("null", 5, 1, 1)]
+    df = spark.createDataFrame(rows, "user_id string, seq long, n_chunks long, n_chars long").repartition(5)
+    assert {(r["user_id"], r["seq"]): r["batch"] for r in chunking.assign_batches(df, p, range_items=items).collect()} == plain_batches(rows, p)
+
+
+def test_a_range_tells_what_it_does_to_any_open_batch():
+    import numpy as np
+
+    from corpusmill.params import Params
+
+    draw, p = np.random.default_rng(7), Params(batch_count=6, batch_chars=20)
+    for _ in range(200):
+        x, y = draw.integers(0, 4, 12), draw.integers(0, 9, 12)
+        told = chunking.range_map(x, y, p)
+        assert len(told) <= 13
+        for n in range(6):
+            for c in range(0, 20, 3):
+                closed, a, b = 0, n, c
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    a, b = a + i, b + j
+                    if a >= 6 or b >= 20:
+                        closed, a, b = closed + 1, 0, 0
+                assert chunking.through_range(told, n, c, p) == (closed, a, b)
+
+
+def test_batches_of_a_null_tenant_and_of_no_items(spark):
+    df = spark.createDataFrame([(None, 1, 60, 1), (None, 2, 1, 1), ("", 1, 1, 1)], "user_id string, seq long, n_chunks long, n_chars long")
+    assert sorted((r["user_id"] is None, r["seq"], r["batch"]) for r in chunking.assign_batches(df).collect()) == [(False, 1, 0), (True, 1, 0), (True, 2, 1)]
+    assert chunking.assign_batches(df.limit(0)).count() == 0
+
+
 def test_batches(spark):
     df = spark.createDataFrame([("u", 1, 30, 9000), ("u", 2, 25, 1000), ("u", 3, 1, 18000), ("u", 4, 5, 100)], "user_id string, seq long, n_chunks int, n_chars long")
     assert [r["batch"] for r in chunking.assign_batches(df).orderBy("seq").collect()] == [0, 0, 1, 2]
