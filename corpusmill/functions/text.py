@@ -113,18 +113,16 @@ def table_row(cells: Column) -> Column:
 
 
 def page_ranges(pages: Column) -> Column:
-    """[1, 2, 3, 5] as "1-3,5"; sorted and distinct first."""
-    pages = F.array_sort(F.array_distinct(pages))
+    """[1, 2, 3, 5] as "1-3,5"; sorted and distinct first, nulls left out. Runs begin and end where a neighbour is missing, so time grows with the pages."""
     run = lambda s, e: F.when(e > s, F.concat(s.cast("string"), F.lit("-"), e.cast("string"))).otherwise(s.cast("string"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))
 
-    def step(a: Column, p: Column) -> Column:
-        p = p.cast("int")
-        goes_on = a["e"].isNotNull() & (p == a["e"] + 1)
-        done = F.when(goes_on | a["e"].isNull(), a["done"]).otherwise(F.array_append(a["done"], run(a["s"], a["e"])))
-        return F.struct(done.alias("done"), F.when(goes_on, a["s"]).otherwise(p).alias("s"), p.alias("e"))
+    def ranges(own: Column) -> Column:
+        first = F.filter(own, lambda p, i: (i == 0) | (F.get(own, i - 1) != p - 1))
+        last = F.filter(own, lambda p, i: (i == F.size(own) - 1) | (F.get(own, i + 1) != p + 1))
+        return F.array_join(F.zip_with(first, last, run), ",")
 
-    return F.aggregate(pages, start, step, lambda a: F.array_join(F.when(a["e"].isNull(), a["done"]).otherwise(F.array_append(a["done"], run(a["s"], a["e"]))), ","))
+    # bound to a variable: an expression would be worked out again for every page
+    return F.get(F.transform(F.array(F.array_sort(F.array_distinct(F.array_compact(pages)))), ranges), 0)
 
 
 def toc_paths(headings: Column) -> Column:
@@ -202,6 +200,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
+def time_stamp(at: Column) -> Column:
+    """A time in the form that ledgers, catalogues and conversations have, in whole seconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def scaled_size(width: Column, height: Column, most: int = 2048) -> Column:
     """Size of an image whose longer side is at most so many pixels."""
     ratio = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))

@@ -23,6 +23,11 @@ def file_types(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return counts.select("file_id", F.when(F.col("one") == F.col("two"), F.col("one")).otherwise("mixed").alias("pdf_type"), *kinds)
 
 
+def type_histogram(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """pages: (file_id, has_text, images). file_id, page_type, n."""
+    return pages.groupBy("file_id", page_type(F.col("has_text"), F.col("images"), p).alias("page_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_types_or_text(types: Column, n_pages: Column) -> Column:
     """Where pages could not be typed, all are text."""
     return F.coalesce(types, F.array_repeat(F.lit("text_pdf"), n_pages))

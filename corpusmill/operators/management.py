@@ -157,6 +157,12 @@ def task_progress(results: DataFrame, totals: DataFrame | None = None) -> DataFr
     return both.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("n_results"))).drop("n_results")
 
 
+def error_details(results: DataFrame) -> DataFrame:
+    """results: (task_id, seq, status). task_id, details (seq, status) in order: what of a task did not succeed."""
+    bad = results.where(outcome(F.col("status")) != "success")
+    return bad.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seq", "status"))).alias("details"))
+
+
 def tool_calls(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """events: (session_id, seq, tool). Adds the number of the call, the limit of the tool, and whether it is over."""
     limits = F.create_map(*[F.lit(x) for pair in p.tool_limits for x in pair])

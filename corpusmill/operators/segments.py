@@ -267,11 +267,11 @@ class KeywordIndex:
         if not files:
             return {}
         gone = self._stored(self.store.read("tokens", state, files).join(leaving.distinct(), ["user_id", "chunk_id"], "left_semi"), "gone")
+        if gone.isEmpty():
+            return {}
         terms = gone.select("segment", "user_id", F.explode("terms").alias("t")).groupBy("segment", "user_id", F.col("t.term").alias("term")).agg((-F.count(F.lit(1))).alias("df"))
         lost = {"deleted": gone.select("segment", "user_id", "chunk_id"), "lost_terms": terms, "lost_totals": _totals(gone, ["segment", "user_id"], -1)}
         written = {t: self.store.write(t, rows) for t, rows in lost.items()}
-        if not written["deleted"][0]:
-            return {}
         self.store.mark(state, "tokens", leaving, out)
         more = self.store.added(state, written, None)
         out.add += more.add

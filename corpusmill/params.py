@@ -59,6 +59,7 @@ class Params:
     max_archive_bytes: int = 50 << 20
     max_expanded_bytes: int = 200 << 20
     idle_seconds: int = 600
+    queue_size: int = 256  # events that wait for a reader
     file_types: tuple[str, ...] = FILE_TYPES
     encodings: tuple[str, ...] = ENCODINGS
     clean_text: bool = True

@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..operators import layout
 from ..operators import management as mg
+from ..params import Params
 from ..sources import tables
 from ..streaming import events as ev
+from ..streaming import keyed
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +147,8 @@ def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_id", _mapped(F.col("event_type"), STATUS).alias("status"))
-    bad = e.where(mg.outcome(F.col("status")) != "success")
-    return bad.groupBy("task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "status"))), lambda s: F.concat_ws(":", s["event_id"], s["status"])), ",").alias("details"))
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), _mapped(F.col("event_type"), STATUS).alias("status"))
+    return mg.error_details(e).select("task_id", F.array_join(F.transform("details", lambda s: F.concat_ws(":", s["seq"], s["status"])), ",").alias("details"))
 
 
 def degradation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +198,24 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sessions(e).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
+def stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task's events wait in a queue of four, which its purchases read."""
+    events = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), (F.col("event_type") == "purchase").alias("reads"))
+    return ev.run_to_table(keyed.bounded(events, Params(queue_size=4)), "stream_bounded", "append")
+
+
+def stream_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tasks that ended as no event came in time; those that the watermark has not passed are under way."""
+    events = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), "ts")
+    return ev.run_to_table(keyed.timed_out(events), "stream_timeouts", "append").select("task_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         document_catalogue, ledger_reconcile, cascade_delete, delete_by_md5, delete_by_filename, clear_user, upsert_chunks, conversation_list, conversation_page, context_window, session_title, title_backfill, history_text,
         simple_rewrite, append_exchange, conversation_delete, message_json, role_remap, task_progress, error_details, degradation_merge, tool_limit, stage_percent, event_lines, stream_progress,
-        stream_windows, stream_dedup, stream_sessions,
+        stream_windows, stream_dedup, stream_sessions, stream_bounded, stream_timeouts,
     )
 }
 
@@ -255,4 +268,10 @@ ORACLES = {
     "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT DISTINCT user_id, event_type AS md5 FROM events",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k",
+    "stream_bounded": "WITH e AS (SELECT user_id AS task_id, event_id AS seq, event_type AS event, event_type = 'purchase' AS reads FROM events), t AS (SELECT *, coalesce(sum(CAST(reads AS INTEGER)) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM e), "
+    "k AS (SELECT task_id, seq, event, row_number() OVER w AS place, greatest(0, count(*) OVER (PARTITION BY task_id, turn) - 4) AS dropped, turn FROM t WHERE NOT reads WINDOW w AS (PARTITION BY task_id, turn ORDER BY seq)), "
+    "r AS (SELECT task_id, turn, seq AS taken FROM t WHERE reads) SELECT task_id, seq, event, taken, dropped FROM k JOIN r USING (task_id, turn) WHERE place <= 4",
+    "stream_timeouts": "WITH g AS (SELECT user_id AS task_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), "
+    "r AS (SELECT task_id, k, min(ts) AS started, max(ts) + INTERVAL 600 SECOND AS ended, count(*) AS n, k = max(k) OVER (PARTITION BY task_id) AS latest FROM s GROUP BY task_id, k) "
+    "SELECT task_id, started, ended, n FROM r WHERE NOT latest OR epoch_ms(ended) < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)",
 }

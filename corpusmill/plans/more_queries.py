@@ -14,8 +14,8 @@ from ..sources import tables
 
 def page_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
-    kind = layout.page_type(n > 700, F.array(F.struct((n % 60).alias("w"), (n % 45).alias("h"))))
-    return tables.table(spark, sf_dir, "documents").groupBy("source", kind.alias("page_type")).agg(F.count(F.lit(1)).alias("n"))
+    pages = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), (n > 700).alias("has_text"), F.array(F.struct((n % 60).alias("w"), (n % 45).alias("h"))).alias("images"))
+    return layout.type_histogram(pages).withColumnRenamed("file_id", "source")
 
 
 def page_type_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
+    return tables.table(spark, sf_dir, "events").select("event_id", tx.time_stamp(F.col("ts")).alias("stamp"))
 
 
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,14 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "strategy", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+def hybrid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, its keyword side over an index by segments."""
+    chunks, index = tables.chunks(spark, sf_dir), segments.KeywordIndex(spark, places.fresh(spark, "segments"))
+    index.update(chunks)
+    found = search.hybrid_search(chunks, tables.vectors(spark, sf_dir), embedded_queries(spark, sf_dir), threshold=REACH, index=index)
+    return found.select("query_id", "strategy", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
 def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages; every third query is the first word of its passage alone."""
     q = embedded_queries(spark, sf_dir)
@@ -153,7 +161,7 @@ def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.image_references(_hits(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, vector_cells_topk, rrf_fusion, hybrid_search, hybrid_routes, bm25_indexed_topk, bm25_segments_topk, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, vector_topk, vector_topk_threshold, vector_topk_default, vector_cells_topk, rrf_fusion, hybrid_search, hybrid_segments, hybrid_routes, bm25_indexed_topk, bm25_segments_topk, rerank_topk, query_strategy, rewrite_fallback, context_blocks, references_list, image_refs)}
 
 
 def words_sql(c: str) -> str:
@@ -229,6 +237,7 @@ ORACLES = {
     "hybrid_routes": f"WITH {_BM25.replace(_QUERIES, _ROUTED)},{_EMBEDDED[:-1]} WHERE {_strategy_sql('q.text')} <> 'bm25_only'),{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, {_strategy_sql('q.text')} AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr JOIN q USING (query_id) WHERE final_rank <= 5",
     "rrf_fusion": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(0)} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, position FROM rr",
     "hybrid_search": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, 'hybrid' AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",
+    "hybrid_segments": f"WITH {_BM25},{_EMBEDDED},{_NEAR},{_fused(REACH)},{_reranked('rr')} SELECT query_id, 'hybrid' AS strategy, chunk_id, round(rrf_score, 9) AS rrf_score, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",
     "rerank_topk": f"WITH {_BM25}, kp AS (SELECT *, rank AS position FROM kw),{_reranked('kp')} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, final_rank FROM fr WHERE final_rank <= 5",
     "query_strategy": f"SELECT conv_id AS session_id, turn AS id, {_strategy_sql('text')} AS strategy, {_strategy_sql("regexp_extract(text, '[^ \\n\\t]+')")} AS short_strategy FROM conversations",
     "rewrite_fallback": "SELECT conv_id AS session_id, turn AS id, md5(CASE WHEN length(text) % 3 = 0 OR length(regexp_replace(r, '^\\s+|\\s+$', '', 'g')) < 3 THEN text ELSE regexp_replace(r, '^\\s+|\\s+$', '', 'g') END) AS md5 FROM (SELECT *, CASE WHEN length(text) > 20 THEN text[1:20] || '...' ELSE text END AS r FROM conversations)",

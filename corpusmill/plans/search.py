@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plugins
 from ..functions import text as tx
-from ..operators import fusion, keyword, vector
+from ..operators import fusion, keyword, segments, vector
 from ..params import DEFAULT, Params
 
 
@@ -20,7 +20,7 @@ def hybrid_search(
     p: Params = DEFAULT,
     scorer: Callable[[Column, Column], Column] | None = fusion.overlap_score,
     threshold: float | None = None,
-    index: keyword.Index | None = None,
+    index: keyword.Index | segments.KeywordIndex | None = None,
     rewriter: plugins.Rewriter = plugins.keep_query,
     embedder: plugins.Embedder | None = None,
 ) -> DataFrame:
@@ -32,7 +32,9 @@ def hybrid_search(
     vector of that text, or without an embedder by the column embedding that
     callers supply. Bare keywords never reach the vector side; the keyword side
     and the second ranking always see the original text. Queries without a
-    tenant have no results.
+    tenant have no results. The keyword side searches a kept index where it is
+    given one (an index by segments with its own settings), else it counts the
+    chunks' terms anew.
     """
     asked = queries.where(F.coalesce("user_id", F.lit("")) != "").withColumn("strategy", fusion.strategy(F.col("text"), p))
     if embedder is not None:
@@ -40,7 +42,7 @@ def hybrid_search(
         written = F.when(F.col("strategy") == "hybrid_rewritten", tx.accept_rewrite(F.col("text"), rewriter(F.col("text"), past), p)).otherwise(F.col("text"))
         seen = asked.where("strategy <> 'bm25_only'").select("query_id", written.alias("text"))
         asked = asked.drop("embedding").join(plugins.embed(seen, embedder, p).select("query_id", "embedding"), "query_id", "left")
-    words = keyword.keyword_topk(chunks, asked, p, index=index)
+    words = index.search(asked) if isinstance(index, segments.KeywordIndex) else keyword.keyword_topk(chunks, asked, p, index=index)
     near = vector.vector_topk(vectors, asked.where((F.col("strategy") != "bm25_only") & F.col("embedding").isNotNull()), p, threshold)
     fused = fusion.rrf(words, near, p)
     texts = chunks.select("user_id", "chunk_id", "text")
