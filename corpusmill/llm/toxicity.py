@@ -418,8 +418,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     # Hash and number of terms of at most MAX_EXAMPLES rows: where the sample ends
     sizes = sorted(tuple(r) for r in rows.select("order", "n").collect())
     total = np.cumsum([n for _, n in sizes])
-    if len(sizes) and total[-1] > MAX_POSTINGS:
-        rows = rows.where(F.col("order") < sizes[int(np.searchsorted(total, MAX_POSTINGS, "right"))][0])
+    # the first example stays, however long
+    end = max(1, int(np.searchsorted(total, MAX_POSTINGS, "right")))
+    if end < len(sizes):
+        rows = rows.where(F.col("order") < sizes[end][0])
     told = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     index = build(rows.select("id", "label", "alike", "terms", "counts").toLocalIterator(), told[2], *count_terms(rows), told[0], told[1])
     judged = left_out(spark.sparkContext.broadcast(index), rows.where(F.pmod("order", F.lit(CALIBRATED)) == 0)).collect()
