@@ -36,7 +36,11 @@ def either_case(phrase: str) -> str:
 
 
 #: Patterns that make a line fail. Portable between regular expression dialects.
-PUNCTUATION = r"^[^.!?:;]*$"
+#: Sentence punctuation by script: Latin, Greek and Cyrillic; full width and vertical; Arabic and Urdu; Devanagari and its neighbours; Ethiopic; Armenian; Burmese; Khmer; Tibetan.
+MARKS = ".!?:;…" + "。．！？：；｡︒" + "؟؛۔" + "।॥" + "።፧፨" + "։՞՜" + "၊။" + "។៕" + "།༎"
+#: Scripts that end sentences with a space: Thai and Lao.
+UNMARKED = "ก-๛ກ-ໟ"
+PUNCTUATION = f"^[^{MARKS}{UNMARKED}]*$"
 SHOUTING = r"(!![^\n]*){3}"
 SYMBOLS = r"([#*$%&<>]{2}[^\n]*){3}"
 #: Parts between bars, arrows or dots, as of menus and paths.
