@@ -21,9 +21,10 @@ Defined results
 * fewer words than a shingle has: the whole sequence is the only shingle
 * very long texts: whole
 * ids are whole numbers, others fail; rows with the same id are one document,
-  whatever their texts
+  whatever their texts; for ``drop_near_copies`` ids may be of any type, and
+  rows are documents
 * null id: linked with nothing, null component, kept
-* ties and repeated rows: the smallest id of a component stays, in all its rows
+* ties and repeated rows: one row of the smallest id of a component stays
 * empty table: empty result
 * extra or clashing columns: carried by ``drop_near_copies``, never looked at
 """
@@ -223,9 +224,8 @@ def _near_groups(source: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its component, and rows without an id."""
-    gone = near_groups(docs, words, percent, text_col, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component of docs, that of the smallest id, with all its columns; rows without an id stay."""
+    return near_join.one_of_each(docs, lambda rows, row: near_groups(rows, words, percent, text_col, row), id_col)
 
 
 def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

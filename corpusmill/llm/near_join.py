@@ -21,7 +21,8 @@ Defined results
 * null, empty and blank texts: no shingle, linked with nothing
 * fewer words than a shingle has: the whole sequence is the only shingle
 * very long texts: whole
-* ids are whole numbers, others fail; rows with the same id: one document
+* ids are whole numbers, others fail; rows with the same id: one document;
+  for ``drop_near_copies`` ids may be of any type, and rows are documents
 * null id: linked with nothing, null component
 * empty table: empty result
 * extra or clashing columns: carried by ``drop_near_copies``, never looked at
@@ -30,7 +31,7 @@ Defined results
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -504,13 +505,28 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame, str], DataFrame], id_col: str) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: of each the row with the smallest id; rows without an id stay.
+
+    groups: the components of a table by a column of whole numbers. They are
+    found over numbers of the rows, so ids of any type that has an order will
+    do, and rows that share an id but not their text are documents of their own.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    held = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    some = held.where(F.col(f"`{id_col}`").isNotNull())
+    told = groups(some, row).select(F.col("doc_id").alias("_own"), "component_id")
+    told = common.stored(some.select(F.col(row).alias("_own"), F.col(f"`{id_col}`").alias("_id")).join(told, "_own"), "told")
+    best = told.groupBy("component_id").agg(F.min(F.struct("_id", "_own"))["_own"].alias("_best"))
+    gone = told.join(best, "component_id").where("_own <> _best").select("_own")
+    return held.join(gone, held[row] == gone["_own"], "left_anti").drop(row)
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: one row of each; rows without an id stay."""
-    groups = near_groups(docs, words, percent, text_col, id_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    held = docs.where(docs[id_col].isNotNull())
-    own = held[id_col].cast("long") == keep["_keep"]
-    return held.join(keep, own, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    """One row of each component of docs, that of the smallest id, with all its columns; rows without an id stay."""
+    return one_of_each(docs, lambda rows, row: near_groups(rows, words, percent, text_col, row), id_col)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
