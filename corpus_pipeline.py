@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by a similarity of 0.8 or more over five words, the one with the smallest id stays. Texts without words and rows without an id are joined with nothing; rows with one id are one document. Ids must be whole numbers."""
+    """Of documents joined by a similarity of 0.8 or more over five words, the one with the smallest id stays. Texts without words and rows without an id are joined with nothing; rows that share an id but not their text are documents of their own."""
     return near_join.drop_near_copies(docs, words=5, percent=80)
 
 
