@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,17 +127,47 @@ def page_ranges(pages: Column) -> Column:
     return F.get(F.transform(F.array(F.array_sort(F.array_distinct(F.array_compact(pages)))), ranges), 0)
 
 
+#: Items that a scan folds at a time.
+SCANNED = 512
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], row: str) -> Column:
+    """A row for each item: step(state, item) tells the next state and the row, whose type is named.
+
+    A fold that appends to an array copies it each time. Here stretches of
+    items are folded by themselves, so that only short arrays are copied, and
+    what the stretches give is joined once in the end.
+    """
+
+    def stretch(state: Column, part: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, told = step(a["s"], x)
+            return F.struct(after.alias("s"), F.array_append(a["out"], told).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("s"), F.array().cast(f"array<{row}>").alias("out")), one)
+
+    def add(a: Column, part: Column) -> Column:
+        # bound to a variable: an expression would be worked out once for each use
+        return F.get(F.transform(F.array(stretch(a["s"], part)), lambda r: F.struct(r["s"].alias("s"), F.array_append(a["outs"], r["out"]).alias("outs"))), 0)
+
+    def whole(own: Column) -> Column:
+        last = F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / SCANNED).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * SCANNED + 1, F.lit(SCANNED)))
+        begin = F.struct(start.alias("s"), F.array().cast(f"array<array<{row}>>").alias("outs"))
+        return F.when(own.isNotNull(), F.flatten(F.aggregate(parts, begin, add, lambda a: a["outs"])))
+
+    return F.get(F.transform(F.array(items), whole), 0)
+
+
 def toc_paths(headings: Column) -> Column:
     """array<struct<level, text>> with the path of each heading: levels below 1 count as 1, a skipped level is no step."""
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<level:int,text:string,path:string>>").alias("out"))
 
-    def step(a: Column, h: Column) -> Column:
+    def step(stack: Column, h: Column) -> tuple[Column, Column]:
         level = F.greatest(h["level"], F.lit(1))
-        stack = F.array_append(F.slice(a["stack"], F.lit(1), level - 1), h["text"])
-        row = F.struct(level.cast("int").alias("level"), h["text"].alias("text"), F.array_join(stack, " > ").alias("path"))
-        return F.struct(stack.alias("stack"), F.array_append(a["out"], row).alias("out"))
+        stack = F.array_append(F.slice(stack, F.lit(1), level - 1), h["text"])
+        return stack, F.struct(level.cast("int").alias("level"), h["text"].alias("text"), F.array_join(stack, " > ").alias("path"))
 
-    return F.aggregate(headings, start, step, lambda a: a["out"])
+    return scan(headings, F.array().cast("array<string>"), step, "struct<level:int,text:string,path:string>")
 
 
 def reference_label(source: Column, page: Column, chapter: Column) -> Column:

@@ -131,20 +131,15 @@ def phash_groups(images: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def batch_numbers(items: Column, p: Params = DEFAULT) -> Column:
     """array<struct<seq, n_chunks, n_chars>> in order, with the batch of each: a batch closes behind the item that fills it."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<seq:bigint,batch:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
         n, c = a["n"] + x["n_chunks"], a["c"] + x["n_chars"]
         full = (n >= p.batch_count) | (c >= p.batch_chars)
-        row = F.struct(x["seq"].cast("long").alias("seq"), a["batch"].alias("batch"))
-        return F.struct(
-            F.when(full, a["batch"] + 1).otherwise(a["batch"]).alias("batch"),
-            F.when(full, 0).otherwise(n).cast("long").alias("n"),
-            F.when(full, 0).otherwise(c).cast("long").alias("c"),
-            F.array_append(a["out"], row).alias("out"),
-        )
-
-    return F.aggregate(items, start, step, lambda a: a["out"])
+        after = F.struct(F.when(full, a["batch"] + 1).otherwise(a["batch"]).alias("batch"), F.when(full, 0).otherwise(n).cast("long").alias("n"), F.when(full, 0).otherwise(c).cast("long").alias("c"))
+        return after, F.struct(x["seq"].cast("long").alias("seq"), a["batch"].alias("batch"))
+
+    return tx.scan(items, start, step, "struct<seq:bigint,batch:int>")
 
 
 def next_starts(n: np.ndarray, c: np.ndarray, p: Params) -> np.ndarray:

@@ -94,3 +94,22 @@ def test_markdown():
     text, toc = parse_markdown("# A\n\nx **b** [t](u) ![a](u)\nmore\n\n## B\n\n- x\n  - y\n- [x] z\n\n1. q\n2. r\n\n> w\n> v\n\n```py\ncode\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n---\n# C\n### D\n\n<div>gone</div>\n")
     assert [t[2] for t in toc] == ["A", "A > B", "C", "C > D"]
     assert text.split("\n\n") == ["# A", "x b t [图: a] more", "## B", "• x", "    • y", "☑ z", "1. q", "2. r", "> w v", "[代码块 py]\ncode\n[/代码块]", "| a | b |\n| --- | --- |\n| 1 | 2 |", "---", "# C", "### D"]
+
+
+def test_paths_of_very_many_headings(spark):
+    import time
+
+    from corpusmill.sources.loaders import paths_of
+
+    n = 200_000
+    level = lambda k: (k * 7919 + k // 3) % 6
+    one = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(((k * 7919 + F.floor(k / 3)) % 6).cast("int").alias("level"), k.cast("string").alias("text"))).alias("h"))
+    began = time.time()
+    got = one.select(F.transform(tx.toc_paths(F.col("h")), lambda r: F.concat_ws(":", r["level"], r["path"])).alias("p")).first()["p"]
+    assert time.time() - began < 30
+    assert got == [f"{r['level']}:{r['path']}" for r in paths_of([(max(1, level(k)), str(k)) for k in range(n)])]
+
+
+def test_scans_of_no_and_of_null_items(spark):
+    rows = spark.createDataFrame([([],), (None,), ([(1, "a")] * 1025,)], "h array<struct<level:int,text:string>>").select(tx.toc_paths(F.col("h")).alias("p")).collect()
+    assert [r["p"] if r["p"] is None else len(r["p"]) for r in rows] == [0, None, 1025]

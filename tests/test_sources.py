@@ -4,7 +4,6 @@ import io
 import tarfile
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.sources import loaders
