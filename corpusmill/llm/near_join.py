@@ -453,18 +453,18 @@ def _around_pivots(members: DataFrame, sizes: DataFrame, percent: int, turn: int
 
 
 def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges that connect what is similar in every cluster; members: (node, cluster, grams)."""
+    """(a, b): edges that connect what is similar in every cluster; members: (node, cluster, grams). The edges of each turn are written before the next, so that no plan holds more than one turn."""
     members = common.stored(members, "clusters")
     edges: list[DataFrame] = []
     for turn in range(TURNS + 1):
         sizes = common.stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("grams").cast("long")).alias("bytes")).where("size > 1"), "sizes")
         large = sizes.where(F.col("size") > BLOCK)
-        if turn == TURNS or large.isEmpty():
-            edges.append(_in_blocks(members, sizes, percent))
+        last = turn == TURNS or large.isEmpty()
+        edges.append(common.stored(_in_blocks(members, sizes if last else sizes.where(F.col("size") <= BLOCK), percent), "edges"))
+        if last:
             break
-        edges.append(_in_blocks(members, sizes.where(F.col("size") <= BLOCK), percent))
         found, members = _around_pivots(members.join(large.select("cluster"), "cluster", "left_semi"), large, percent, turn)
-        edges += found
+        edges += [common.stored(e, "edges") for e in found]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
