@@ -36,11 +36,12 @@ def either_case(phrase: str) -> str:
 
 
 #: Patterns that make a line fail. Portable between regular expression dialects.
-#: Sentence punctuation by script: Latin, Greek and Cyrillic; full width and vertical; Arabic and Urdu; Devanagari and its neighbours; Ethiopic; Armenian; Burmese; Khmer; Tibetan.
-MARKS = ".!?:;…" + "。．！？：；｡︒" + "؟؛۔" + "।॥" + "።፧፨" + "։՞՜" + "၊။" + "។៕" + "།༎"
+#: A line without sentence punctuation has none of ASCII, which is looked for first, and none of other scripts: full width and vertical; Arabic and Urdu; Devanagari and its neighbours; Ethiopic; Armenian; Burmese; Khmer; Tibetan.
+UNPUNCTUATED = r"^[^.!?:;]*$"
+MARKS = "…" + "。．！？：；｡︒" + "؟؛۔" + "।॥" + "።፧፨" + "։՞՜" + "၊။" + "។៕" + "།༎"
 #: Scripts that end sentences with a space: Thai and Lao.
 UNMARKED = "ก-๛ກ-ໟ"
-PUNCTUATION = f"^[^{MARKS}{UNMARKED}]*$"
+OTHER_MARKS = f"[{MARKS}{UNMARKED}]"
 SHOUTING = r"(!![^\n]*){3}"
 SYMBOLS = r"([#*$%&<>]{2}[^\n]*){3}"
 #: Parts between bars, arrows or dots, as of menus and paths.
@@ -68,7 +69,7 @@ def _held(df: DataFrame, **cols: Column) -> DataFrame:
 
 def line_fails(line: Column) -> Column:
     return (
-        (F.length(line) >= HEADING_CHARS) & line.rlike(PUNCTUATION)
+        (F.length(line) >= HEADING_CHARS) & line.rlike(UNPUNCTUATED) & ~line.rlike(OTHER_MARKS)
         | line.rlike(SHOUTING)
         | line.rlike(SYMBOLS)
         | line.rlike(NAVIGATION)
@@ -146,7 +147,7 @@ g AS (
 lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
          coalesce(sum(length(solid)) FILTER (WHERE NOT (
-           (length(line) >= {HEADING_CHARS} AND regexp_matches(line, '{PUNCTUATION}'))
+           (length(line) >= {HEADING_CHARS} AND regexp_matches(line, '{UNPUNCTUATED}') AND NOT regexp_matches(line, '{OTHER_MARKS}'))
            OR regexp_matches(line, '{SHOUTING}') OR regexp_matches(line, '{SYMBOLS}')
            OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}')
            OR (length(line) < {CALL_CHARS} AND regexp_matches(line, '{CALL}')))), 0) AS kept_chars
