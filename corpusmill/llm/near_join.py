@@ -65,6 +65,8 @@ SKETCH_PARTS = 16
 FAN_IN = 32
 #: Bits of the filter that tells which texts to hash again, 1 MB; false hits only cost time.
 FILTER_BITS = 23
+#: Bits of the set of shingles that a first look found around many nodes, 2 MB; false hits only change the order, for all documents alike.
+KNOWN_BITS = 24
 
 
 def required(n: int, percent: int) -> int:
@@ -132,8 +134,8 @@ def choose_prefix(excess: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return best + 1, int(size[best])
 
 
-def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) -> DataFrame:
-    """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents."""
+def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int, known=None) -> DataFrame:
+    """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents. Shingles that are known to be crowded come behind those that the sketch takes for rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value.astype(np.float32)
@@ -150,11 +152,15 @@ def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) ->
                     hot.append(b"")
                     continue
                 at = (u >> np.uint64(64 - bits)).astype(np.int64)
-                lv = level[at]
+                lv, beyond = level[at], excess[at]
+                if known is not None:
+                    bit = (u & np.uint64((1 << KNOWN_BITS) - 1)).astype(np.int64)
+                    many = known.value[bit >> 6] >> (bit & 63) & 1
+                    lv, beyond = np.maximum(lv, many), np.maximum(beyond, many * SMALL)
                 if lv.any():
                     order = np.lexsort((u, lv))
-                    u, at = u[order], at[order]
-                k, size = choose_prefix(excess[at], len(u), percent)
+                    u, at, beyond = u[order], at[order], beyond[order]
+                k, size = choose_prefix(beyond, len(u), percent)
                 m.append(k)
                 tokens.append(u[:size].tobytes())
                 hot.append((counts[at[:size]] > HOT).tobytes())
@@ -163,6 +169,17 @@ def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int) ->
     return source.mapInArrow(run, "doc_id long, m int, tokens binary, hot binary")
 
 
+def _crowded(prefixes: DataFrame) -> np.ndarray:
+    """A bit for each shingle that is in the prefixes of many documents, of fixed size. The sketch can't tell these from rare ones once its counters hold many shingles each; unrelated texts would meet in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["token"])
+
+    many = prefixes.select("tokens").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > SMALL)
+    return _bits(many.select(F.col("token").bitwiseAND(F.lit((1 << KNOWN_BITS) - 1)).alias("bit")), KNOWN_BITS)
+
+
 def _postings(prefixes: DataFrame) -> DataFrame:
     """token, node, m, part: one row for each shingle of each prefix; part: from 1 on for shingles in very many documents, else 0."""
 
@@ -239,24 +256,31 @@ def _around_many(postings: DataFrame, many: DataFrame) -> DataFrame:
     postings: (token, node, m); many: (node, h), the number of such shingles
     of a node. A pair without a shingle of few nodes in common needs at least
     min(m, m') of them on both sides, so a node with fewer than its own m, and
-    than the least m around the shingle, has no such partner there.
+    than the least m around its shingles, has no such partner. Of h shingles,
+    in one order for all, the first shared one is among the first h - m + 1
+    on both sides; those of the fewest nodes come first.
     """
-    least = common.stored(postings.groupBy("token").agg(F.min("m").alias("least")), "least")
-    able = postings.join(many, "node").join(least, "token").where(F.col("h") >= F.least("m", "least"))
-    able = common.stored(able.select("token", "node"), "able")
+    around = common.stored(postings.groupBy("token").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("df")), "around")
+    own = postings.join(around, "token").join(many, "node")
+    need = Window.partitionBy("node")
+    own = own.withColumn("need", F.least(F.min("m").over(need), F.min("least").over(need))).where("h >= need")
+    own = own.withColumn("rank", F.row_number().over(need.orderBy("df", "token"))).where(F.col("rank") <= F.col("h") - F.col("need") + 1)
+    able = common.stored(own.select("token", "node"), "able")
     first = common.stored(able.groupBy("token").agg(F.min("node").alias("a")), "first")
     return able.join(first, "token").select("a", F.col("node").alias("b")).where("a <> b")
 
 
+def _bits(numbers: DataFrame, bits: int) -> np.ndarray:
+    """The set of the numbers (bit) below 2^bits, a bit for each."""
+    rows = numbers.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """A bit for each hash of a node, of fixed size."""
-    rows = nodes.select(F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
-    ).collect()
-    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    for r in rows:
-        out[r["at"]] = r["bits"]
-    return out
+    return _bits(nodes.select(F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)).alias("bit")), FILTER_BITS)
 
 
 def _sets_of(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -482,7 +506,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
     sketch = spark.sparkContext.broadcast(_sum_sketch(both.where("part is not null").select("part", "salt", "counts"), bits))
     nodes = common.stored(heads.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
 
-    prefixes = _prefixes(source.where("doc_id is not null"), words, percent, sketch, bits).where("m > 0")
+    some = source.where("doc_id is not null")
+    known = spark.sparkContext.broadcast(_crowded(_prefixes(some, words, percent, sketch, bits)))
+    prefixes = _prefixes(some, words, percent, sketch, bits, known).where("m > 0")
     ids = nodes.select(F.col("node").alias("doc_id")).distinct()
     met = common.stored(_meetings(_postings(prefixes.join(ids, "doc_id", "left_semi"))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
     crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
@@ -496,9 +522,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
     members = common.stored(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "members").withColumnRenamed("component", "cluster")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    known = common.stored(_sets_of(source, common.stored(wanted, "wanted"), words), "sets")
-    with_sets = pairs.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    links = common.stored(_verified(with_sets, percent).unionByName(_cluster_links(members.join(known, "node"), percent)), "links")
+    own = common.stored(_sets_of(source, common.stored(wanted, "wanted"), words), "sets")
+    with_sets = pairs.join(own.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    links = common.stored(_verified(with_sets, percent).unionByName(_cluster_links(members.join(own, "node"), percent)), "links")
     found = connected_components(links)
 
     full = heads.join(nodes, ["n", "s1", "s2"], "left").join(found, "node", "left")
