@@ -1,15 +1,18 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 A text is the set of its word shingles; equal sets are one node. A node's
-signature has COORDINATES minima under as many hash functions; each pair
-(coordinate, value) is a posting list of the nodes that have it. Similar sets
-collide in a share of the coordinates that follows their Jaccard similarity,
-so pairs with at least ``threshold`` collisions are retained and confirmed on
-their full sets. The threshold is the largest that a pair just similar enough
-fails with a probability of at most MISS.
-
-Two nodes with t collisions share at least m of the first K - t + m postings
-of any common order, so only these prefixes meet, rare lists first. Lists of
+signature has COORDINATES minima under as many hash functions; the values of
+BAND neighbouring coordinates are a posting, whose list has the nodes with the
+same. Similar sets collide in a share of the coordinates that follows their
+Jaccard similarity, so pairs with at least ``threshold`` collisions are
+retained and confirmed on their full sets. The threshold is the largest that a
+pair just similar enough fails with a probability of at most MISS; that of the
+postings that it shares is of the same kind, so MISS counts twice. Postings of
+single coordinates would have lists that grow with the corpus until unrelated
+sets meet in many of them, as common shingles are minima of many sets.
+
+Two nodes with t common postings share at least m of the first K - t + m
+in any common order, so only these prefixes meet, rare lists first. Lists of
 few nodes are merged: their collisions are counted pair by pair. Long lists
 are skipped; what they may add to a count is bounded, and looked up in the
 signatures of the pairs that are left. Nodes that may collide often enough in
@@ -48,8 +51,10 @@ from .shingles import mix, sets
 COORDINATES = 96
 #: Probability that a pair at the similarity asked for has too few collisions.
 MISS = 1e-10
+#: Neighbouring coordinates that make one posting: unrelated texts share one in about the square of their similarity.
+BAND = 2
 #: Postings that a pair must share in its prefixes before it is looked at.
-MATCHES = 6
+MATCHES = 8
 #: Shingles hashed at once, so that they stay in a core's cache.
 SLICE = 1 << 16
 #: Counters of the sketch that orders the lists: 2^16 to 2^24, about one for four postings.
@@ -60,7 +65,7 @@ _FACTORS = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2)
 _SPREAD = np.uint64(0x94D049BB133111EB)
 
 
-def threshold(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+def threshold(percent: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
     """The largest number of collisions that a pair of this similarity reaches with a probability of 1 - miss at least."""
     p, total = percent / 100, 0.0
     for t in range(coordinates + 1):
@@ -112,19 +117,28 @@ def _heads(source: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary")
 
 
-def _tokens(column: pa.Array) -> np.ndarray:
-    """(rows, COORDINATES): each pair of coordinate and value as one number."""
-    values = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    return mix(values.astype(np.uint64) | np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))
+def bands(percent: int) -> tuple[int, int]:
+    """(coordinates of a posting, postings that a pair just similar enough shares with a probability of 1 - MISS at least): BAND of them where that leaves MATCHES, else single ones."""
+    shared = threshold(percent**BAND / 100 ** (BAND - 1), COORDINATES // BAND)
+    return (BAND, shared) if shared >= MATCHES else (1, threshold(percent))
 
 
-def _sketch(nodes: DataFrame, bits: int) -> np.ndarray:
+def _tokens(column: pa.Array, band: int) -> np.ndarray:
+    """(rows, COORDINATES // band): the values of each band with its place as one number."""
+    values = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES // band, band).astype(np.uint64)
+    out = np.tile(np.arange(COORDINATES // band, dtype=np.uint64), (len(values), 1))
+    for k in range(band):
+        out = mix(out << np.uint64(32) ^ out ^ values[:, :, k])
+    return out
+
+
+def _sketch(nodes: DataFrame, band: int, bits: int) -> np.ndarray:
     """About how many nodes each list has, by the high bits of its token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            counts += np.bincount((_tokens(batch.column(0)) >> np.uint64(64 - bits)).astype(np.int64).ravel(), minlength=1 << bits).astype(np.uint32)
+            counts += np.bincount((_tokens(batch.column(0), band) >> np.uint64(64 - bits)).astype(np.int64).ravel(), minlength=1 << bits).astype(np.uint32)
         if counts.any():
             k, salt = near_join.SKETCH_PARTS, int(counts[: 1 << 10].sum()) % near_join.FAN_IN
             parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(k, -1)]
@@ -133,7 +147,7 @@ def _sketch(nodes: DataFrame, bits: int) -> np.ndarray:
     return near_join._sum_sketch(nodes.select("sig").mapInArrow(run, "part int, salt int, counts binary"), bits)
 
 
-def _postings(nodes: DataFrame, prefix: int, sketch, bits: int) -> DataFrame:
+def _postings(nodes: DataFrame, band: int, prefix: int, matches: int, sketch, bits: int) -> DataFrame:
     """token, node, m, part: the first postings of each node, rare lists first; part: from 1 on in lists of very many nodes, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +155,14 @@ def _postings(nodes: DataFrame, prefix: int, sketch, bits: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                tokens = _tokens(batch.column(1))
+                tokens = _tokens(batch.column(1), band)
                 seen = counts[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((tokens, (4 * np.log2(np.maximum(seen, 1))).astype(np.int8)), axis=1)[:, :prefix]
                 token = np.take_along_axis(tokens, order, 1).ravel()
                 hot = np.take_along_axis(seen, order, 1).ravel() > near_join.HOT
                 node = np.repeat(batch.column(0).to_numpy(), prefix)
                 part = np.where(hot, 1 + mix(node.view(np.uint64)) % np.uint64(near_join.HOT_PARTS), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(np.full(len(node), MATCHES, np.int32)), pa.array(part)], ["token", "node", "m", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(np.full(len(node), matches, np.int32)), pa.array(part)], ["token", "node", "m", "part"])
 
     return nodes.select("node", "sig").mapInArrow(run, "token long, node long, m int, part int")
 
@@ -182,9 +196,11 @@ def _near_groups(source: DataFrame, words: int, percent: int) -> DataFrame:
     # a set so small that no other can be similar to it meets no one
     able = nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("node", "n", "sig")
     bits = int(np.clip(np.ceil(np.log2(max(1, able.count()) * COORDINATES / 4)), *SKETCH_BITS))
-    sketch = source.sparkSession.sparkContext.broadcast(_sketch(able, bits))
+    band, shared = bands(percent)
+    matches = max(1, min(MATCHES, shared))
+    sketch = source.sparkSession.sparkContext.broadcast(_sketch(able, band, bits))
 
-    postings = _postings(able, min(COORDINATES, COORDINATES - least + MATCHES), sketch, bits)
+    postings = _postings(able, band, min(COORDINATES // band, COORDINATES // band - shared + matches), matches, sketch, bits)
     met = common.stored(near_join._meetings(postings).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
     crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
     many = common.stored(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "many")
