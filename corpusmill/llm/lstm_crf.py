@@ -9,6 +9,8 @@ import numpy as np
 #: ASCII, other letters, other characters, padding.
 SYMBOLS = 131
 PAD = 130
+#: Runs of a chain that are walked at once: what is held of them stays in the cache.
+RUNS = 256
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,10 +131,10 @@ class LstmCrf:
     # -- reading --------------------------------------------------------------
 
     def ready(self) -> None:
-        """Single-precision copies, a row for each gate, that need one tanh for all: a sigmoid is half a tanh of half its input."""
+        """Single-precision copies, a row for each gate, that need one exponential for all: with r = 1 / (1 + exp(-x)) a sigmoid is r, and the tanh of x / 2 is 2 r - 1."""
         h, p = self.hidden, self.params
-        half = np.r_[np.full(3 * h, 0.5), np.ones(h)]
-        self.fast = {f"{n}{d}": np.ascontiguousarray((p[f"{n}{d}"] * half).T, np.float32) for d in (0, 1) for n in ("gates", "back")}
+        turned = np.r_[np.full(3 * h, -1.0), np.full(h, -2.0)]
+        self.fast = {f"{n}{d}": np.ascontiguousarray((p[f"{n}{d}"] * turned).T, np.float32) for d in (0, 1) for n in ("gates", "back")}
         self.fast |= {"emit": np.ascontiguousarray(p["emit"].T, np.float32), "bias": p["bias"].astype(np.float32), "move": p["move"].astype(np.float32)}
 
     def _read(self, x: np.ndarray, d: int, out: np.ndarray) -> None:
@@ -142,20 +144,23 @@ class LstmCrf:
         state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
         a, s = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
         kept, top = np.empty((h, n), np.float32), np.empty((h, n), np.float32)
-        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
-            np.take(gates, x[t], axis=1, out=a, mode="clip")
-            np.matmul(back, state, out=s)
-            s += a
-            np.tanh(s, out=s)
-            gate = s[: 3 * h]
-            gate *= 0.5
-            gate += 0.5
-            np.multiply(s[:h], s[3 * h :], out=kept)
-            cell *= s[h : 2 * h]
-            cell += kept
-            np.tanh(cell, out=top)
-            state = out[t]
-            np.multiply(s[2 * h : 3 * h], top, out=state)
+        with np.errstate(over="ignore"):  # a gate that is shut: exp is infinite, r is 0
+            for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+                np.take(gates, x[t], axis=1, out=a, mode="clip")
+                np.matmul(back, state, out=s)
+                s += a
+                np.exp(s, out=s)
+                s += 1
+                np.reciprocal(s, out=s)
+                tanh = s[3 * h :]
+                tanh *= 2
+                tanh -= 1
+                np.multiply(s[:h], tanh, out=kept)
+                cell *= s[h : 2 * h]
+                cell += kept
+                np.tanh(cell, out=top)
+                state = out[t]
+                np.multiply(s[2 * h : 3 * h], top, out=state)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x: (time, windows). The score of each tag (time, tags, windows)."""
@@ -189,14 +194,29 @@ def best_path(e: np.ndarray, move: np.ndarray, length: int = 64) -> np.ndarray:
     never = np.float32(-1e9)
     if rest:  # tag 0 behind the end changes nothing but by what leads to it, so it is free
         e = np.concatenate([e, np.zeros((rest, k), e.dtype)])
-    e = e.reshape(parts, length, k).swapaxes(0, 1)
-    valid = np.ones((length, parts), bool)
-    valid[length - rest :, -1] = False
+    e = np.ascontiguousarray(e.reshape(parts, length, k).transpose(1, 2, 0))
     stay = np.where(np.eye(k, dtype=bool), np.float32(0), never)
-    step = lambda t: np.where(valid[t][:, None, None], move + e[t][:, None, :], stay)
-    whole = step(0)
-    for t in range(1, length):
-        whole = (whole[:, :, :, None] + step(t)[:, None]).max(2)
+    groups = [slice(a, min(a + RUNS, parts)) for a in range(0, parts, RUNS)]
+
+    def step(t: int, own: slice) -> np.ndarray:
+        """(tag before, tag, run)."""
+        out = move[:, :, None] + e[t, :, own]
+        if t >= length - rest and own.stop == parts:
+            out[:, :, -1] = stay
+        return out
+
+    whole = np.empty((parts, k, k), np.float32)
+    for own in groups:
+        held = step(0, own)
+        best, ways = np.empty_like(held), np.empty_like(held)
+        for t in range(1, length):
+            s = step(t, own)
+            np.add(held[:, 0, None], s[0], out=best)
+            for m in range(1, k):
+                np.add(held[:, m, None], s[m], out=ways)
+                np.maximum(best, ways, out=best)
+            held, best = best, held
+        whole[own] = held.transpose(2, 0, 1)
     score = np.full((parts + 1, k), never, np.float64)
     score[0, 0] = 0
     for p in range(parts):
@@ -205,15 +225,19 @@ def best_path(e: np.ndarray, move: np.ndarray, length: int = 64) -> np.ndarray:
     last[-1] = int(score[-1].argmax())
     for p in range(parts - 1, -1, -1):
         last[p] = int((score[p] + whole[p][:, last[p + 1]]).argmax())
-    all_ = np.arange(parts)
-    best = step(0)[all_, last[:-1]]
-    come = np.zeros((length, parts, k), np.int8)
-    for t in range(1, length):
-        ways = best[:, :, None] + step(t)
-        come[t] = ways.argmax(1)
-        best = ways.max(1)
     path = np.zeros((length, parts), np.int8)
     path[-1] = last[1:]
-    for t in range(length - 1, 0, -1):
-        path[t - 1] = come[t][all_, path[t]]
+    for own in groups:
+        all_ = np.arange(own.stop - own.start)
+        top = step(0, own)[last[own], :, all_].T
+        come = np.zeros((length, k, len(all_)), np.int8)
+        for t in range(1, length):
+            s, before = step(t, own), top
+            top = before[0] + s[0]
+            for m in range(1, k):
+                way = before[m] + s[m]
+                np.copyto(come[t], m, where=way > top)
+                np.maximum(top, way, out=top)
+        for t in range(length - 1, 0, -1):
+            path[t - 1, own] = come[t][path[t, own], all_]
     return path.T.ravel()[:n]

@@ -59,8 +59,9 @@ TEMPLATES = 500
 EPOCHS = 14
 WINDOW = 256
 OVERLAP = 32
-#: Windows that are read at once.
+#: Windows that are read at once, and whose scores are kept (6 KB each) until it is known which places are open; of more, those that are needed are read again.
 AT_ONCE = 1024
+KEPT = 16_384
 _digit = re.compile("[0-9]")
 
 
@@ -269,26 +270,33 @@ def tagged(model: LstmCrf, texts: list[str]) -> dict[int, list[tuple[str, int, i
 
     whole = place + WINDOW <= end
 
-    def read(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, scores, weight) of windows in turns in which no place occurs twice; places behind a text are those behind all texts."""
+    def placed(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, weight) of windows; places behind a text are those behind all texts."""
+        at = place[own] + time
+        if not whole[own].all():
+            at = np.where(at < end[own], at, len(flat))
+        weight = np.ones((WINDOW, len(own)), np.float32)
+        weight[:OVERLAP, number[own] > 0] *= rise[:, None]
+        weight[-OVERLAP:, number[own] + 1 < count[text[own]]] *= 1 - rise[:, None]
+        return at, weight
+
+    def read(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, scores) in turns in which no place occurs twice."""
         for k in range(0, len(windows), AT_ONCE):
             for half in (0, 1):
                 own = windows[k : k + AT_ONCE]
                 own = own[number[own] % 2 == half]
-                if not len(own):
-                    continue
-                at = place[own] + time
-                if not whole[own].all():
-                    at = np.where(at < end[own], at, len(flat))
-                weight = np.ones((WINDOW, len(own)), np.float32)
-                weight[:OVERLAP, number[own] > 0] *= rise[:, None]
-                weight[-OVERLAP:, number[own] + 1 < count[text[own]]] *= 1 - rise[:, None]
-                yield at, model.emissions(padded[at]), weight
+                if len(own):
+                    yield own, model.emissions(padded[placed(own)[0]])
 
     padded = np.r_[flat, np.uint8(PAD)].astype(np.intp)
     gain, least = model.gain()
     lead = np.zeros(len(flat) + 1, np.float32)
-    for at, e, weight in read(np.arange(len(text))):
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for own, e in read(np.arange(len(text))):
+        at, weight = placed(own)
+        if len(text) <= KEPT:
+            kept.append((own, e))
         most = e[:, 1] + gain[0]
         for k in range(2, tags):
             np.maximum(most, e[:, k] + gain[k - 1], out=most)
@@ -304,7 +312,10 @@ def tagged(model: LstmCrf, texts: list[str]) -> dict[int, list[tuple[str, int, i
     shared = (number[window] > 0) & (position - place[window] < OVERLAP)
     score, rank = np.zeros((len(position), tags), np.float32), np.cumsum(open_) - 1  # rank of a place among the open ones
     open_ = np.append(open_, False)
-    for at, e, weight in read(np.union1d(window, window[shared] - 1)):
+    wanted = np.union1d(window, window[shared] - 1)
+    held = ((own[mine], e[:, :, mine]) for own, e in kept if (mine := np.isin(own, wanted)).any())
+    for own, e in held if kept else read(wanted):
+        at, weight = placed(own)
         ok = open_[at]
         score[rank[at[ok]]] += e.swapaxes(1, 2)[ok] * weight[ok, None]
     # one chain of all runs of open positions, each behind a place that has tag 0 for certain
