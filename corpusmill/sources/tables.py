@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts in one Arrow batch handed to Python, and bytes beyond which a batch of longer texts ends; a single text may be longer.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that carry whole texts to Python workers, so that what a worker holds doesn't depend on the table. For the session, as plans run later."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
+
+
 #: Bytes of input for each core below which a table is dealt out anew.
 SPREAD_BYTES = 16 << 20
 
@@ -24,11 +35,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for work on whole texts."""
+    text_batches(spark)
     return spread(table(spark, sf_dir, "documents"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the chunks of their tenants: user_id, chunk_id, text."""
+    text_batches(spark)
     return spread(table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("chunk_id"), "text"))
 
 
