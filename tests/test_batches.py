@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.sources import tables
+from corpusmill.sources import loaders, tables
 
 UNBOUND = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
 
@@ -25,3 +25,15 @@ def test_batches_of_documents(spark, tmp_path):
         unbound(spark)
         sizes = batches(read(spark, str(tmp_path)).select("text"))
         assert sum(sizes) == 3000 and max(sizes) <= tables.BATCH_ROWS
+
+
+def bounded(spark):
+    return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= tables.BATCH_ROWS
+
+
+def test_batches_of_files_and_archives(spark):
+    files = spark.createDataFrame([("a.txt", "txt", b"x")], "path string, ext string, content binary")
+    for read in (loaders.load_files, loaders.expand_archives):
+        unbound(spark)
+        read(files)
+        assert bounded(spark)
