@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..params import DEFAULT, Params
-from ..sources import places
+from ..sources import places, tables
 
 
 def split_text(text: str, p: Params = DEFAULT) -> list[str]:
@@ -67,6 +67,7 @@ def split_chunks(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, p) if t else [])
 
+    tables.text_batches(pages.sparkSession)
     rows = pages.select("user_id", "md5", "page", F.posexplode(pieces("text")).alias("n", "text"))
     w = Window.partitionBy("user_id", "md5").orderBy("page", "n")
     rows = rows.withColumn("chunk_index", F.row_number().over(w) - 1)

@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusmill.operators import chunking
 from corpusmill.sources import loaders, tables
 
 UNBOUND = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
@@ -37,3 +38,9 @@ def test_batches_of_files_and_archives(spark):
         unbound(spark)
         read(files)
         assert bounded(spark)
+
+
+def test_batches_of_pages_to_split(spark):
+    unbound(spark)
+    chunking.split_chunks(spark.createDataFrame([("u", "m", 1, "x")], "user_id string, md5 string, page int, text string"))
+    assert bounded(spark)
