@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..params import DEFAULT, Params
+from ..sources import places
+from .segments import counted
 
 
 def tokenised(chunks: DataFrame, tokenizer=tx.words) -> DataFrame:
@@ -58,12 +60,26 @@ def term_tables(chunks: DataFrame, p: Params = DEFAULT, tokenizer=tx.words) -> I
 
 def write_index(index: Index, path: str) -> None:
     """Keep an index: a tenant is a folder, and terms are sorted, so that a search reads the row groups of its terms only."""
-    counted = index.postings.groupBy("user_id", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = index.postings
+    if "tf" not in postings.columns:
+        postings = postings.groupBy("user_id", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    for name, rows in (("frequency", index.frequency), ("postings", counted)):
+    for name, rows in (("frequency", index.frequency), ("postings", postings)):
         rows.repartitionByRange("user_id", "term").sortWithinPartitions("user_id", "term").write.mode("overwrite").partitionBy("user_id").parquet(f"{path}/{name}")
 
 
+def build_index(chunks: DataFrame, path: str, p: Params = DEFAULT, tokenizer=tx.words) -> None:
+    """Keep the index of chunks. Texts are taken apart once, and a chunk's terms are counted where it lies; postings are then shuffled once, into their order."""
+    rows = counted(chunks, tokenizer).select("user_id", "chunk_id", "dl", "terms")
+    held = places.fresh(chunks.sparkSession, "counted")
+    rows.write.parquet(held)
+    rows = chunks.sparkSession.read.schema(rows.schema).parquet(held)
+    stats = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = rows.select("user_id", "chunk_id", "dl", F.explode("terms").alias("t")).select("user_id", "chunk_id", "dl", "t.term", "t.tf")
+    frequency = inverse_frequency(postings.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df")), stats, p)
+    write_index(Index(stats, frequency, postings), path)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/frequency"), spark.read.parquet(f"{path}/postings"))
 

@@ -105,7 +105,7 @@ def hybrid_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword search over an index that is written first; searches read only their terms."""
     path = places.fresh(spark, "index")
-    keyword.write_index(keyword.term_tables(tables.chunks(spark, sf_dir)), path)
+    keyword.build_index(tables.chunks(spark, sf_dir), path)
     found = keyword.keyword_topk(tables.chunks(spark, sf_dir), tables.queries(spark, sf_dir), index=keyword.read_index(spark, path))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
