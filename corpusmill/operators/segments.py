@@ -28,6 +28,7 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from ..sources.store import Change, State, Store
 BLOCK = 8
 #: Blocks of a query that are scored before there is a threshold.
 FIRST = 4
+#: Bytes of files that one task reads for a segment. It sorts what it reads, which takes many times the room: a term of a chunk some 50 bytes.
+SORT_BYTES = 16 << 20
 #: Segments of like size that are merged, and how much larger the next size is.
 FAN_IN = 4
 KEYS = {
@@ -142,7 +145,8 @@ class KeywordIndex:
         """chunks: (user_id, chunk_id, text) that come; gone: (user_id, chunk_id) that go. One version; chunks that are there already are replaced."""
         written: dict[str, tuple] = {}
         if chunks is not None:
-            written = self._segment(counted(chunks, self.tokenizer))
+            with _read_at_once(self.spark, SORT_BYTES):
+                written = self._segment(counted(chunks, self.tokenizer))
         fresh = self._read(written, "tokens").select("user_id", "chunk_id") if written else None
         leaving = gone.select("user_id", "chunk_id") if gone is not None else None
         leaving = fresh if leaving is None else leaving if fresh is None else leaving.unionByName(fresh)
@@ -174,7 +178,8 @@ class KeywordIndex:
                 files = [f for f in state.of("tokens") if f.low["segment"] in chosen]
                 key = json.dumps(sorted((f.path, f.marks) for f in files))
                 if key not in done:
-                    done[key] = self._segment(self.store.read("tokens", state, files).drop("segment"))
+                    with _read_at_once(self.spark, SORT_BYTES):
+                        done[key] = self._segment(self.store.read("tokens", state, files).drop("segment"))
                 out = self.store.added(state, done[key], None)
                 out.drop += [f.path for t in OWN for f in state.of(t) if f.low["segment"] in chosen]
                 names = self.spark.createDataFrame([(s,) for s in sorted(chosen)], "segment string")
@@ -266,9 +271,12 @@ class KeywordIndex:
         files = self.store.holders(state, "tokens", leaving)
         if not files:
             return {}
-        gone = self._stored(self.store.read("tokens", state, files).join(leaving.distinct(), ["user_id", "chunk_id"], "left_semi"), "gone")
-        if gone.isEmpty():
+        # by keys alone first: most additions replace nothing, and the terms of all segments would move to find that out
+        held = self.store.read("tokens", state, files)
+        own = self._stored(held.select("segment", "user_id", "chunk_id").join(leaving.distinct(), ["user_id", "chunk_id"], "left_semi"), "own")
+        if own.isEmpty():
             return {}
+        gone = self._stored(held.join(own, ["segment", "user_id", "chunk_id"], "left_semi"), "gone")
         terms = gone.select("segment", "user_id", F.explode("terms").alias("t")).groupBy("segment", "user_id", F.col("t.term").alias("term")).agg((-F.count(F.lit(1))).alias("df"))
         lost = {"deleted": gone.select("segment", "user_id", "chunk_id"), "lost_terms": terms, "lost_totals": _totals(gone, ["segment", "user_id"], -1)}
         written = {t: self.store.write(t, rows) for t, rows in lost.items()}
@@ -315,6 +323,18 @@ class KeywordIndex:
         return set(next((names for _, names in sorted(tiers.items()) if len(names) >= FAN_IN), ()))
 
 
+@contextmanager
+def _read_at_once(spark: SparkSession, size: int) -> Iterator[None]:
+    """Files are read in parts of at most so many bytes by what runs inside; the setting is as before afterwards."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 

@@ -88,3 +88,26 @@ def test_blocks_are_skipped(spark, tmp_path):
     found = index.search(one(tables.queries(spark, whole)), told)
     assert 0 < told["scored"] < 0.6 * told["blocks"]
     assert ranked(found) == ranked(keyword.keyword_topk(one(tables.chunks(spark, whole)), one(tables.queries(spark, whole))))
+
+
+def test_tasks_of_a_segment_read_little_at_once(spark, tmp_path, monkeypatch):
+    name = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(name), []
+    index = KeywordIndex(spark, str(tmp_path / "i"))
+    written = index.store.write
+    monkeypatch.setattr(index.store, "write", lambda table, rows, *a, **k: (seen.append((table, spark.conf.get(name))), written(table, rows, *a, **k))[1])
+    index.update(spark.createDataFrame([("u", 1, "a b")], CHUNKS))
+    assert {t: size for t, size in seen if t in segments.OWN} == dict.fromkeys(segments.OWN, str(segments.SORT_BYTES))
+    assert spark.conf.get(name) == before
+
+
+def test_additions_that_replace_nothing_move_no_terms(spark, tmp_path, monkeypatch):
+    index = KeywordIndex(spark, str(tmp_path / "i"))
+    index.update(spark.createDataFrame([("u", 1, "a b"), ("u", 3, "c")], CHUNKS))
+    kept, stored = [], index._stored
+    monkeypatch.setattr(index, "_stored", lambda rows, name: (kept.append((name, rows.columns)), stored(rows, name))[1])
+    index.update(spark.createDataFrame([("u", 2, "a")], CHUNKS))
+    assert not any("terms" in columns for _, columns in kept)
+    index.update(spark.createDataFrame([("u", 3, "d d")], CHUNKS))
+    assert ranked(index.search(spark.createDataFrame([(1, "u", "c"), (2, "u", "d")], "query_id long, user_id string, text string")))[0][2] == 3
+    assert any("terms" in columns for _, columns in kept)
