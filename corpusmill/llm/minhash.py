@@ -99,6 +99,7 @@ def signatures(grams: list[np.ndarray]) -> np.ndarray:
 def _heads(source: DataFrame, words: int) -> DataFrame:
     """doc_id, n, s1, s2, sig: the size of each set, 128 bits that stand for it, and its signature (empty without shingles)."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
@@ -135,6 +136,7 @@ def _tokens(column: pa.Array, band: int) -> np.ndarray:
 def _sketch(nodes: DataFrame, band: int, bits: int) -> np.ndarray:
     """About how many nodes each list has, by the high bits of its token."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
@@ -150,6 +152,7 @@ def _sketch(nodes: DataFrame, band: int, bits: int) -> np.ndarray:
 def _postings(nodes: DataFrame, band: int, prefix: int, matches: int, sketch, bits: int) -> DataFrame:
     """token, node, m, part: the first postings of each node, rare lists first; part: from 1 on in lists of very many nodes, else 0."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for whole in batches:
@@ -172,6 +175,7 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) ->
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))

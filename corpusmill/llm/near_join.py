@@ -81,6 +81,7 @@ def _source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def _heads(source: DataFrame, words: int, bits: int) -> DataFrame:
     """Rows of two kinds from one pass: the set of each document (n, s1, s2), and in the end the parts of each task's sketch."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
         for batch in batches:
@@ -134,8 +135,8 @@ def choose_prefix(excess: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return best + 1, int(size[best])
 
 
-def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int, known=None) -> DataFrame:
-    """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents. Shingles that are known to be crowded come behind those that the sketch takes for rare."""
+def _prefixes_of(words: int, percent: int, sketch, bits: int, known=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a worker makes of batches of documents for ``_prefixes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value.astype(np.float32)
@@ -166,23 +167,32 @@ def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int, kn
                 hot.append((counts[at[:size]] > HOT).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(m, pa.int32()), pa.array(tokens, pa.binary()), pa.array(hot, pa.binary())], ["doc_id", "m", "tokens", "hot"])
 
-    return source.mapInArrow(run, "doc_id long, m int, tokens binary, hot binary")
+    return run
 
 
-def _crowded(prefixes: DataFrame) -> np.ndarray:
+def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int, known=None) -> DataFrame:
+    """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents. Shingles that are known to be crowded come behind those that the sketch takes for rare."""
+    return source.mapInArrow(common.tidy(_prefixes_of(words, percent, sketch, bits, known)), "doc_id long, m int, tokens binary, hot binary")
+
+
+def _crowded(source: DataFrame, words: int, percent: int, sketch, bits: int) -> np.ndarray:
     """A bit for each shingle that is in the prefixes of many documents, of fixed size. The sketch can't tell these from rare ones once its counters hold many shingles each; unrelated texts would meet in them."""
+    prefixes = _prefixes_of(words, percent, sketch, bits)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["token"])
+        # in the worker that finds the prefixes: a second one beside it would stay for as long as the stages go on
+        for batch in prefixes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64))], ["token"])
 
-    many = prefixes.select("tokens").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > SMALL)
+    many = source.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > SMALL)
     return _bits(many.select(F.col("token").bitwiseAND(F.lit((1 << KNOWN_BITS) - 1)).alias("bit")), KNOWN_BITS)
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
     """token, node, m, part: one row for each shingle of each prefix; part: from 1 on for shingles in very many documents, else 0."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, hot = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -200,6 +210,7 @@ def _meetings(postings: DataFrame) -> DataFrame:
     def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(m)], ["kind", "a", "b", "m"])
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         hot: int | None = None  # token of many nodes that the last batch ended with
@@ -289,6 +300,7 @@ def _sets_of(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(_filter_of(nodes))
     marked = source.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bits.value
         for batch in batches:
@@ -302,6 +314,7 @@ def _sets_of(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (a, b, x, y) whose sets x and y are similar enough."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -507,7 +520,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
     nodes = common.stored(heads.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
 
     some = source.where("doc_id is not null")
-    known = spark.sparkContext.broadcast(_crowded(_prefixes(some, words, percent, sketch, bits)))
+    known = spark.sparkContext.broadcast(_crowded(some, words, percent, sketch, bits))
     prefixes = _prefixes(some, words, percent, sketch, bits, known).where("m > 0")
     ids = nodes.select(F.col("node").alias("doc_id")).distinct()
     met = common.stored(_meetings(_postings(prefixes.join(ids, "doc_id", "left_semi"))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")

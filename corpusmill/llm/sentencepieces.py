@@ -237,6 +237,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
     path = model_file or default_model()
     kind = source.schema["doc_id"].dataType.simpleString()
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in batches:

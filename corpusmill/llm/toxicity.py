@@ -154,6 +154,7 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def vectors(sample: DataFrame) -> DataFrame:
     """(id, label, order, n, alike, terms, counts), one row for each id: the terms of the examples as packed hashes and counts; alike: a digest of both."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms_of(t) for t in batch.column(2).to_pylist()]
@@ -363,6 +364,7 @@ def platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def count_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, examples, toxic examples) of every term, in order of hashes."""
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()]
@@ -423,6 +425,7 @@ def build(rows: Iterable, postings: int, keys: np.ndarray, df: np.ndarray, bad:
 def left_out(shared, rows: DataFrame) -> DataFrame:
     """(vote, label) of examples, each judged by all others."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         order = np.argsort(index.alike)
@@ -472,6 +475,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
     shared = spark.sparkContext.broadcast(index)
     source = docs.select(docs[id_col].alias("doc_id"), common.held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
@@ -494,6 +498,7 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
     shared = spark.sparkContext.broadcast(index)
     at = docs.columns.index(text_col)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in (b.slice(k, SCORE_ROWS) for b in batches for k in range(0, len(b), SCORE_ROWS)):
