@@ -51,11 +51,12 @@ class Index(NamedTuple):
 
 
 def term_tables(chunks: DataFrame, p: Params = DEFAULT, tokenizer=tx.words) -> Index:
-    """The index of chunks as plans; nothing runs yet."""
+    """The index of chunks as plans, but for the numbers of chunks by term: they are counted once and kept, as idf and its mean both need them."""
     tokens = tokenised(chunks, tokenizer)
     stats = corpus_stats(tokens)
+    frequency = inverse_frequency(places.kept(document_frequency(tokens), "frequency"), stats, p)
     postings = _exploded(tokens, F.col("terms"), "user_id", "chunk_id", F.size("terms").alias("dl"))
-    return Index(stats, inverse_frequency(document_frequency(tokens), stats, p), postings)
+    return Index(stats, frequency, postings)
 
 
 def write_index(index: Index, path: str) -> None:
@@ -93,6 +94,9 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, p: Params = DEFAULT, tok
     """
     terms = _exploded(queries, tokenizer(F.col("text")), "query_id", "user_id").groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = terms.select("user_id", "term").distinct()
+    if index is None:
+        # kept, so that its size is known and few terms meet the postings where these lie, before any shuffle
+        asked = places.kept(asked, "asked")
     found = index or term_tables(chunks, p, tokenizer)
     frequency = found.frequency.join(asked, ["user_id", "term"], "left_semi")
     postings = found.postings.join(asked, ["user_id", "term"], "left_semi")

@@ -11,6 +11,7 @@ from ..functions import plugins
 from ..functions import text as tx
 from ..operators import fusion, keyword, segments, vector
 from ..params import DEFAULT, Params
+from ..sources import places
 
 
 def hybrid_search(
@@ -44,9 +45,9 @@ def hybrid_search(
         asked = asked.drop("embedding").join(plugins.embed(seen, embedder, p).select("query_id", "embedding"), "query_id", "left")
     words = index.search(asked) if isinstance(index, segments.KeywordIndex) else keyword.keyword_topk(chunks, asked, p, index=index)
     near = vector.vector_topk(vectors, asked.where((F.col("strategy") != "bm25_only") & F.col("embedding").isNotNull()), p, threshold)
-    fused = fusion.rrf(words, near, p)
-    texts = chunks.select("user_id", "chunk_id", "text")
-    hits = fused.join(asked.select("query_id", "user_id", "strategy", F.col("text").alias("query")), "query_id").join(texts, ["user_id", "chunk_id"])
+    fused = fusion.rrf(words, near, p).join(asked.select("query_id", "user_id", "strategy", F.col("text").alias("query")), "query_id")
+    # kept, so that few results meet the texts where these lie and no text is shuffled
+    hits = places.kept(fused, "fused").join(chunks.select("user_id", "chunk_id", "text"), ["user_id", "chunk_id"])
     return fusion.rerank(hits, p, scorer)
 
 
