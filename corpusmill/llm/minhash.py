@@ -16,8 +16,11 @@ in any common order, so only these prefixes meet, rare lists first. Lists of
 few nodes are merged: their collisions are counted pair by pair. Long lists
 are skipped; what they may add to a count is bounded, and looked up in the
 signatures of the pairs that are left. Nodes that may collide often enough in
-long lists alone form clusters, which are compared on full sets around pivots
-as the n-gram join does it. No list is cut.
+long lists alone form clusters. Short texts around a few common lines hang
+together in one that grows with the corpus, though hardly any two are similar;
+so the nodes of large clusters meet once more, by the rarest shingles of their
+full sets among themselves. What only common shingles hold together then is
+compared on full sets around pivots as the n-gram join does it. No list is cut.
 
 Defined results
 * null, empty and blank texts: no shingle, linked with nothing
@@ -35,7 +38,8 @@ Defined results
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from math import comb
 
 import numpy as np
@@ -57,6 +61,8 @@ BAND = 2
 MATCHES = 8
 #: Shingles hashed at once, so that they stay in a core's cache.
 SLICE = 1 << 16
+#: Counters of the sketch for each node of large clusters, within the same bounds.
+SHINGLES = 64
 #: Counters of the sketch that orders the lists: 2^16 to 2^24, about one for four postings.
 SKETCH_BITS = (16, 24)
 _rng = np.random.Generator(np.random.PCG64(20240311))
@@ -133,20 +139,20 @@ def _tokens(column: pa.Array, band: int) -> np.ndarray:
     return out
 
 
-def _sketch(nodes: DataFrame, band: int, bits: int) -> np.ndarray:
-    """About how many nodes each list has, by the high bits of its token."""
+def _sketch(packed: DataFrame, tokens: Callable[[pa.Array], np.ndarray], bits: int) -> np.ndarray:
+    """About how many nodes each list has, by the high bits of its token; tokens: those of the only column."""
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            counts += np.bincount((_tokens(batch.column(0), band) >> np.uint64(64 - bits)).astype(np.int64).ravel(), minlength=1 << bits).astype(np.uint32)
+            counts += np.bincount((tokens(batch.column(0)) >> np.uint64(64 - bits)).astype(np.int64).ravel(), minlength=1 << bits).astype(np.uint32)
         if counts.any():
             k, salt = near_join.SKETCH_PARTS, int(counts[: 1 << 10].sum()) % near_join.FAN_IN
             parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(k, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(parts, pa.binary())], ["part", "salt", "counts"])
 
-    return near_join._sum_sketch(nodes.select("sig").mapInArrow(run, "part int, salt int, counts binary"), bits)
+    return near_join._sum_sketch(packed.mapInArrow(run, "part int, salt int, counts binary"), bits)
 
 
 def _postings(nodes: DataFrame, band: int, prefix: int, matches: int, sketch, bits: int) -> DataFrame:
@@ -185,6 +191,23 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) ->
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _shingles(column: pa.Array) -> np.ndarray:
+    """The shingles of all sets in a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+
+
+def _unpacked(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, np.uint64) for x in column.to_pylist())
+
+
+def _by_shingles(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that may be similar, and (node, cluster) of what may be so by common shingles alone, for nodes of large clusters (node, grams)."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, held.count()) * SHINGLES)), *SKETCH_BITS))
+    sketch = held.sparkSession.sparkContext.broadcast(_sketch(held.select("grams"), _shingles, bits))
+    prefixes = held.select("node", "grams").mapInArrow(common.tidy(near_join._prefixes_of(_unpacked, percent, sketch, bits)), near_join.PREFIX)
+    return near_join._met(near_join._postings(prefixes))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: components of the pairs with 100 * intersection >= percent * union."""
     with common.batches(docs.sparkSession):
@@ -202,20 +225,20 @@ def _near_groups(source: DataFrame, words: int, percent: int) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(max(1, able.count()) * COORDINATES / 4)), *SKETCH_BITS))
     band, shared = bands(percent)
     matches = max(1, min(MATCHES, shared))
-    sketch = source.sparkSession.sparkContext.broadcast(_sketch(able, band, bits))
+    sketch = source.sparkSession.sparkContext.broadcast(_sketch(able.select("sig"), partial(_tokens, band=band), bits))
 
     postings = _postings(able, band, min(COORDINATES // band, COORDINATES // band - shared + matches), matches, sketch, bits)
-    met = common.stored(near_join._meetings(postings).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
-    crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
-    many = common.stored(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "many")
-    bound = F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    pairs = met.where("kind = 0").join(many.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left")
-    pairs = common.stored(_colliding(pairs.where(bound >= F.col("m")).select("a", "b"), able, least, percent), "pairs")
-    clusters = connected_components(near_join._around_many(crowded, many))
-    members = common.stored(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "members").withColumnRenamed("component", "cluster")
+    pairs, members = near_join._met(postings)
+    pairs = common.stored(_colliding(pairs, able, least, percent), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     known = common.stored(near_join._sets_of(source, common.stored(wanted, "wanted"), words), "sets")
+    large = common.stored(members.groupBy("cluster").count().where(F.col("count") > near_join.BLOCK), "large")
+    if not large.isEmpty():
+        held = common.stored(members.join(large, "cluster", "left_semi").join(known, "node").select("node", "grams"), "held")
+        more, dense = _by_shingles(held, percent)
+        pairs = pairs.unionByName(common.stored(_colliding(more, able, least, percent), "more")).distinct()
+        members = members.join(large, "cluster", "left_anti").unionByName(dense)
     with_sets = pairs.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     links = common.stored(near_join._verified(with_sets, percent).unionByName(near_join._cluster_links(members.join(known, "node"), percent)), "links")
     found = connected_components(links)

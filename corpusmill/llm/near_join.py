@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ PIVOT_BYTES = 4 << 20
 GROUP_NODES = 400
 GROUP_BYTES = 16 << 20
 TURNS = 6
+#: Bytes of sets that are dealt to pairs of blocks at once: what is more goes in waves, the shuffle of each dropped before the next.
+WAVE_BYTES = 4 << 30
 #: Documents by the sketch from which on a shingle counts as one of many nodes unseen, and parts that its postings are dealt to.
 HOT = 5_000
 HOT_PARTS = 64
@@ -65,6 +68,8 @@ SKETCH_PARTS = 16
 FAN_IN = 32
 #: Bits of the filter that tells which texts to hash again, 1 MB; false hits only cost time.
 FILTER_BITS = 23
+#: Columns of prefixes.
+PREFIX = "doc_id long, m int, tokens binary, hot binary"
 #: Bits of the set of shingles that a first look found around many nodes, 2 MB; false hits only change the order, for all documents alike.
 KNOWN_BITS = 24
 
@@ -135,8 +140,8 @@ def choose_prefix(excess: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return best + 1, int(size[best])
 
 
-def _prefixes_of(words: int, percent: int, sketch, bits: int, known=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What a worker makes of batches of documents for ``_prefixes``."""
+def _prefixes_of(own: Callable[[pa.Array], Iterator[np.ndarray]], percent: int, sketch, bits: int, known=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a worker makes of batches of documents for ``_prefixes``; own: the sets of their second column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value.astype(np.float32)
@@ -146,7 +151,7 @@ def _prefixes_of(words: int, percent: int, sketch, bits: int, known=None) -> Cal
         excess = np.where(counts > bound, counts - usual, 0)
         for batch in batches:
             m, tokens, hot = [], [], []
-            for u in sets(batch.column(1), words):
+            for u in own(batch.column(1)):
                 if not len(u):
                     m.append(0)
                     tokens.append(b"")
@@ -172,12 +177,12 @@ def _prefixes_of(words: int, percent: int, sketch, bits: int, known=None) -> Cal
 
 def _prefixes(source: DataFrame, words: int, percent: int, sketch, bits: int, known=None) -> DataFrame:
     """doc_id, m, tokens, hot: the prefix of each document as packed hashes, and as a byte each if the shingle is in very many documents. Shingles that are known to be crowded come behind those that the sketch takes for rare."""
-    return source.mapInArrow(common.tidy(_prefixes_of(words, percent, sketch, bits, known)), "doc_id long, m int, tokens binary, hot binary")
+    return source.mapInArrow(common.tidy(_prefixes_of(partial(sets, words=words), percent, sketch, bits, known)), PREFIX)
 
 
 def _crowded(source: DataFrame, words: int, percent: int, sketch, bits: int) -> np.ndarray:
     """A bit for each shingle that is in the prefixes of many documents, of fixed size. The sketch can't tell these from rare ones once its counters hold many shingles each; unrelated texts would meet in them."""
-    prefixes = _prefixes_of(words, percent, sketch, bits)
+    prefixes = _prefixes_of(partial(sets, words=words), percent, sketch, bits)
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +286,19 @@ def _around_many(postings: DataFrame, many: DataFrame) -> DataFrame:
     return able.join(first, "token").select("a", F.col("node").alias("b")).where("a <> b")
 
 
+def _met(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the pairs around shingles of few nodes that may share enough of all, and (node, cluster) of the nodes that may share enough of those of many alone."""
+    met = common.stored(_meetings(postings).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
+    crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
+    many = common.stored(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "many")
+    # shared shingles of few nodes, and at most so many of many nodes
+    bound = F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = met.where("kind = 0").join(many.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left")
+    clusters = connected_components(_around_many(crowded, many))
+    members = common.stored(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "members").withColumnRenamed("component", "cluster")
+    return pairs.where(bound >= F.col("m")).select("a", "b"), members
+
+
 def _bits(numbers: DataFrame, bits: int) -> np.ndarray:
     """The set of the numbers (bit) below 2^bits, a bit for each."""
     rows = numbers.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
@@ -378,12 +396,14 @@ def forest(node: np.ndarray, side: np.ndarray, grams: list[np.ndarray], percent:
     return edges
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of every two blocks of every cluster; members: (node, cluster, grams), sizes: (cluster, size)."""
+def _in_blocks(members: DataFrame, sizes: DataFrame, percent: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(a, b): a spanning forest of every two blocks of every cluster, of those that are in this wave; members: (node, cluster, grams), sizes: (cluster, size)."""
     blocks = members.join(sizes.select("cluster", "size"), "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = blocks.select("cluster", "node", "own", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    if waves > 1:
+        dealt = dealt.where((F.col("i") + F.col("j")) % waves == wave)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = forest(pdf["node"].to_numpy(), pdf["own"].to_numpy(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], percent)
@@ -497,7 +517,12 @@ def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
         sizes = common.stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("grams").cast("long")).alias("bytes")).where("size > 1"), "sizes")
         large = sizes.where(F.col("size") > BLOCK)
         last = turn == TURNS or large.isEmpty()
-        edges.append(common.stored(_in_blocks(members, sizes if last else sizes.where(F.col("size") <= BLOCK), percent), "edges"))
+        own = sizes if last else sizes.where(F.col("size") <= BLOCK)
+        waves = max(1, -(-int(own.agg(F.sum(F.col("bytes") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0) // WAVE_BYTES)) if last else 1
+        for wave in range(waves):
+            edges.append(common.stored(_in_blocks(members, own, percent, wave, waves), "edges"))
+            if waves > 1:
+                common.collect_garbage(members.sparkSession)
         if last:
             break
         found, members = _around_pivots(members.join(large.select("cluster"), "cluster", "left_semi"), large, percent, turn)
@@ -523,16 +548,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: st
     known = spark.sparkContext.broadcast(_crowded(some, words, percent, sketch, bits))
     prefixes = _prefixes(some, words, percent, sketch, bits, known).where("m > 0")
     ids = nodes.select(F.col("node").alias("doc_id")).distinct()
-    met = common.stored(_meetings(_postings(prefixes.join(ids, "doc_id", "left_semi"))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "met")
-    crowded = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "m")
-    many = common.stored(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "many")
-    # shared shingles of few nodes, and at most so many of many nodes
-    bound = F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    pairs = met.where("kind = 0").join(many.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left")
-    pairs = common.stored(pairs.where(bound >= F.col("m")).select("a", "b"), "pairs")
-    around = _around_many(crowded, many)
-    clusters = connected_components(around)
-    members = common.stored(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "members").withColumnRenamed("component", "cluster")
+    pairs, members = _met(_postings(prefixes.join(ids, "doc_id", "left_semi")))
+    pairs = common.stored(pairs, "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     own = common.stored(_sets_of(source, common.stored(wanted, "wanted"), words), "sets")
