@@ -520,7 +520,7 @@ def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
         own = sizes if last else sizes.where(F.col("size") <= BLOCK)
         waves = max(1, -(-int(own.agg(F.sum(F.col("bytes") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0) // WAVE_BYTES)) if last else 1
         for wave in range(waves):
-            edges.append(common.stored(_in_blocks(members, own, percent, wave, waves), "edges"))
+            edges.append(common.stored(_in_blocks(members, own, percent, *((wave, waves) if waves > 1 else ())), "edges"))
             if waves > 1:
                 common.collect_garbage(members.sparkSession)
         if last:
